@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step of a Python worker holds at a time (one longer text goes alone).
@@ -43,7 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYT
         n = batch.num_rows
         if not n:
             continue
-        size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         at, held = 0, 0
         for i in range(n):
             if held and held + size[i] > limit:
@@ -55,4 +56,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYT
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """A text column with "" for null, as large_string, whose offsets don't overflow."""
-    return pa.compute.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")

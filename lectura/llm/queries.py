@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, urlfilter
+from . import bpe, chat, repeats, urlfilter
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the strings of 100 bytes that occurred earlier."""
+    kept = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
+    return kept.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url's host, path, deciding rule and verdict."""
     judged = urlfilter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
@@ -37,6 +44,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Bytes as pairs of hex digits; every string of 100 bytes by where it starts.
+SQL_OP1 = """
+with hexed as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select doc_id, unnest(range(1, length(h) // 2 - 98)) as p, h from hexed),
+strings as (select doc_id, p, substr(h, 2 * p - 1, 200) as s from starts),
+firsts as (select *, row_number() over (partition by s order by doc_id, p) > 1 as later from strings),
+marked as (select distinct doc_id, unnest(range(p, p + 100)) as i from firsts where later),
+runs as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as island from marked),
+spans as (select doc_id, count(distinct island) as n_spans, count(*) as n_removed, list(i) as gone from runs group by doc_id),
+letters as (select doc_id, h, unnest(range(1, length(h) // 2 + 1)) as i from hexed),
+kept as (select l.doc_id, string_agg(substr(l.h, 2 * l.i - 1, 2), '' order by l.i) as k from letters l anti join marked m on l.doc_id = m.doc_id and l.i = m.i group by l.doc_id)
+select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
+from hexed d left join spans s on d.doc_id = s.doc_id left join kept k on d.doc_id = k.doc_id"""
+
+
 def _sql_host_path(url: str) -> tuple[str, str]:
     host = f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     return host, f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -85,8 +107,8 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op5_chat_windows, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op5_chat_windows, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _sql_op2(), "op5_chat_windows": _sql_op5()}
+    return {"op1_suffix_repeats": SQL_OP1, "op2_url_filter": _sql_op2(), "op5_chat_windows": _sql_op5()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, repeats, urlfilter
+from . import bpe, chat, repeats, simhash, urlfilter
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -28,6 +28,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint and component of near duplicates."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted in windows and read back from them."""
     table = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -107,7 +113,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op5_chat_windows, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op5_chat_windows, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

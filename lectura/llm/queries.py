@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, repeats, simhash, urlfilter
+from . import bpe, chat, decontaminate, outliers, repeats, simhash, urlfilter
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -34,6 +34,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's counts and verdict."""
+    judged = outliers.reject_outliers(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 3).alias("d2"))
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted in windows and read back from them."""
     table = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -43,6 +49,11 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(table.unionByName(planted)))
 
 
+def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with an item of the benchmark, and the item."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and decoded from its ids."""
     coded = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
@@ -113,7 +124,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op5_chat_windows, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op8_templates, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

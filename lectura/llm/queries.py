@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, outliers, repeats, simhash, urlfilter
+from . import bpe, chat, decontaminate, outliers, pii, repeats, simhash, urlfilter
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -49,6 +49,12 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(table.unionByName(planted)))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates for personal data."""
+    done = pii.replace_private(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
+
+
 def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with an item of the benchmark, and the item."""
     return decontaminate.contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -124,7 +130,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op8_templates, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op7_surrogates, op8_templates, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

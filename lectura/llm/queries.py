@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, outliers, pii, repeats, simhash, urlfilter
+from . import bpe, chat, decontaminate, langid, outliers, pii, repeats, simhash, urlfilter
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -82,6 +82,14 @@ select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::
 from hexed d left join spans s on d.doc_id = s.doc_id left join kept k on d.doc_id = k.doc_id"""
 
 
+def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language, learned from the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def _sql_host_path(url: str) -> tuple[str, str]:
     host = f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     return host, f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -130,7 +138,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op7_surrogates, op8_templates, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, written as a table into the shared checkpoint folder."""
+    path = f"{shared_dir(df.sparkSession)}/lectura-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that `column` (string or binary) holds about `limit` bytes in each part."""
     for batch in batches:
@@ -55,5 +63,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYT
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """A text column with "" for null, as large_string, whose offsets don't overflow."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """A text column with "" for null, as large_string (offsets don't overflow) of its own (some kernels ignore where a slice begins)."""
+    found = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return found.take(pa.array(range(len(found)), pa.int64()))

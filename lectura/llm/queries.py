@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, outliers, pii, repeats, simhash, urlfilter
+from . import bpe, chat, decontaminate, langid, lm, outliers, pii, repeats, simhash, urlfilter
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -49,6 +49,13 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(table.unionByName(planted)))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score by the base and by the model, learned from the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = docs.withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0)
+    return lm.learn_and_score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with surrogates for personal data."""
     done = pii.replace_private(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -138,7 +145,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -192,7 +192,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     """
     spark: SparkSession = df.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded, T.BinaryType(), False)] * bool(decoded))
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.BinaryType(), False)] if decoded else [])]
+    schema = T.StructType([*df.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _replay_of(ranks, pattern)

@@ -28,16 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import STEP_BYTES, slices, texts
 
 LENGTH, GRAM = 100, 32
 #: Classes of one gram that one suffix array takes; and classes in one block from which a gram counts as common.
-GROUP, GROUP_IN_BLOCK = 1024, 64
+GROUP, GROUP_IN_BLOCK = 512, 64
 #: Contexts that are sorted in one array.
-SORTED_AT_ONCE = 2048
+SORTED_AT_ONCE = 512
+#: Bytes of packed arrays that a task gathers before it deals them out.
+POOLED = 4 << 20
 
 ANCHORS, COMMON, COVERS, ASKS, STRINGS, CONTEXTS, DOCUMENT = 0, 1, 2, 3, 4, 5, 9
 ROW = "kind int, route long, doc_id long, blob binary"
@@ -175,8 +178,10 @@ def prefix_intervals(rows: np.ndarray, size: np.ndarray, place: np.ndarray, left
     """
     order = np.argsort(rows.view(f"V{rows.shape[1]}").ravel(), kind="stable")
     above, below = order[:-1], order[1:]
-    differs = rows[above] != rows[below]
-    shared = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    shared = np.empty(above.size, np.int64)
+    for at in range(0, above.size, 8192):
+        differs = rows[above[at : at + 8192]] != rows[below[at : at + 8192]]
+        shared[at : at + 8192] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
     shared = np.minimum(shared, np.minimum(size[above], size[below]))
     shared = np.append(shared, 0).tolist()
     order, left = order.tolist(), left.tolist()
@@ -221,7 +226,7 @@ def repeats_in(group: np.ndarray, doc: np.ndarray, at: np.ndarray, contexts: lis
     rest = size[owner] - offset
     rows = np.empty((owner.size, 8 + width), np.uint8)
     rows[:, :8] = np.unique(group, return_inverse=True)[1][owner].astype(">u8").view(np.uint8).reshape(-1, 8)
-    rows[:, 8:] = padded[flat[:, None] + np.arange(width)]
+    rows[:, 8:] = np.lib.stride_tricks.sliding_window_view(padded, width)[flat]
     rows[:, 8:][np.arange(width) >= rest[:, None]] = 0
     where = at[owner] + offset
     place = np.empty(owner.size, np.int64)
@@ -297,10 +302,30 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """One row a document: doc_id, n_bytes, removed array<struct<begin,end>> (maximal runs of bytes), kept binary."""
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, reach = 4 * tasks, length - gram
+    buckets, reach = tasks, length - gram
     id_type = dict(df.dtypes)[doc_id]
     documents = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    def pooled(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Packed rows joined to fewer, larger ones: one a kind and route for some megabytes of them."""
+        held: dict[tuple[int, int], list[bytes]] = {}
+        size = 0
+
+        def out() -> Iterator[tuple]:
+            for (kind, route), blobs in held.items():
+                yield kind, route, None, _pack(kind, *_unpack(kind, blobs))
+
+        for kind, route, doc, blob in rows:
+            if kind == CONTEXTS:
+                yield kind, route, doc, blob
+                continue
+            held.setdefault((kind, route), []).append(blob)
+            size += len(blob) + 64
+            if size > POOLED:
+                yield from out()
+                held, size = {}, 0
+        yield from out()
+
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in slices(batches, "text"):
             data, begin = _bytes_of(texts(part))
@@ -349,14 +374,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 asked = _unpack(ASKS, held.get(ASKS, []))
                 order = np.lexsort((asked[1], asked[0]))
                 asked, held = [a[order] for a in asked], {}
-            for part in slices(iter([rows]), "blob"):
+            for part in slices(iter([rows]), "blob", STEP_BYTES // 4):
                 ids = part.column("doc_id").to_numpy()
                 low, high = np.searchsorted(asked[0], ids, "left"), np.searchsorted(asked[0], ids, "right")
                 wanted = np.flatnonzero(high > low)
                 cut: list[tuple[int, np.ndarray, bytes]] = []
                 grams, owners, begins, pieces = [], [], [], []
                 for i in wanted.tolist():
-                    whole = part.column("blob")[i].as_py()
+                    whole = zstandard.decompress(part.column("blob")[i].as_py())
                     span = slice(low[i], high[i])
                     for at, group, many in zip(asked[1][span].tolist(), asked[2][span].tolist(), asked[3][span].tolist(), strict=True):
                         begin = max(at - reach, 0)
@@ -382,7 +407,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                     order = np.argsort(route_of, kind="stable")
                     for places in np.split(order, np.flatnonzero(np.diff(route_of[order])) + 1):
                         head = np.array([len(places)], "i8").tobytes() + grams[places].tobytes() + np.array([owners[k] for k in places], "i8").tobytes() + np.array([[begins[k], len(pieces[k])] for k in places], "i4").T.tobytes()
-                        yield CONTEXTS, int(route_of[places[0]]), None, head + b"".join(pieces[k] for k in places)
+                        yield CONTEXTS, int(route_of[places[0]]), None, zstandard.compress(head + b"".join(pieces[k] for k in places), 1)
 
     def interval_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for held in _by_route(batches):
@@ -393,7 +418,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             if doc.size:
                 yield from _string_rows((first, second), doc, at, buckets, length, last=True)
             found: list[tuple[int, int, int, bytes]] = []
-            for blob in held.get(CONTEXTS, []):
+            for blob in map(zstandard.decompress, held.get(CONTEXTS, [])):
                 n = int(np.frombuffer(blob, "i8", 1)[0])
                 grams, owner, edges = np.frombuffer(blob, "u8", n, 8), np.frombuffer(blob, "i8", n, 8 + 8 * n), np.frombuffer(blob, "i4", 2 * n, 8 + 16 * n)
                 at = 8 + 24 * n
@@ -421,11 +446,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 continue
             if covers is None:
                 covers, held = _merged(*_unpack(COVERS, held)), []
-            for part in slices(iter([rows]), "blob"):
+            for part in slices(iter([rows]), "blob", STEP_BYTES // 4):
                 ids = part.column("doc_id").to_numpy()
                 low, high = np.searchsorted(covers[0], ids, "left"), np.searchsorted(covers[0], ids, "right")
                 sizes, removed, kept = [], [], []
-                for i, whole in enumerate(part.column("blob").to_pylist()):
+                for i, whole in enumerate(map(zstandard.decompress, part.column("blob").to_pylist())):
                     spans = [(max(int(a), 0), min(int(b), len(whole))) for a, b in zip(covers[1][low[i] : high[i]], covers[2][low[i] : high[i]], strict=True)]
                     ends = [0, *(x for s in spans for x in s), len(whole)]
                     sizes.append(len(whole))
@@ -434,13 +459,19 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(1).compress
+        for part in slices(batches, "blob"):
+            blobs = [pack(t) for t in part.column("blob").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], schema=SCHEMA)
+
     def step(rows: DataFrame, make) -> DataFrame:
-        return rows.repartition(tasks, "route").sortWithinPartitions("route", "kind").mapInArrow(lambda b: _rows(make(b)), ROW)
+        return rows.repartition(tasks, "route").sortWithinPartitions("route", "kind").mapInArrow(lambda b: _rows(pooled(make(b))), ROW)
 
     known = documents.filter(F.col("doc_id").isNotNull())
     route = F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(buckets))
-    routed = known.select(F.lit(DOCUMENT).alias("kind"), route.alias("route"), "doc_id", F.col("text").cast("binary").alias("blob"))
-    found = known.mapInArrow(lambda b: _rows(anchor_rows(b)), ROW)
+    routed = known.select(F.lit(DOCUMENT).alias("kind"), route.alias("route"), "doc_id", F.col("text").alias("blob")).mapInArrow(compressed, ROW)
+    found = known.mapInArrow(lambda b: _rows(pooled(anchor_rows(b))), ROW)
     found = step(found, class_rows)
     found = step(found.unionByName(routed), context_rows)
     found = step(found, interval_rows)

@@ -10,7 +10,7 @@ from .text import collapse_spaces
 
 def shelf(bookshelves: Column) -> Column:
     """The first `Category: X` of a `;` list, else its first part that isn't empty, else ""."""
-    parts = F.filter(F.transform(F.split(F.coalesce(bookshelves, F.lit("")), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(bookshelves, F.lit("")), ";"), lambda t: F.trim(t)), lambda p: p != "")
     named = F.filter(parts, lambda p: p.startswith("Category: "))
     return F.coalesce(F.trim(F.substr(F.get(named, F.lit(0)), F.lit(11))), F.get(parts, F.lit(0)), F.lit(""))
 
@@ -18,7 +18,7 @@ def shelf(bookshelves: Column) -> Column:
 def display_author(authors: Column) -> Column:
     """The first author as `given family`, without years; other shapes as published."""
     first = F.trim(F.substring_index(F.coalesce(authors, F.lit("")), ";", 1))
-    parts = F.filter(F.transform(F.split(first, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(first, ","), lambda t: F.trim(t)), lambda p: p != "")
     dated = (F.size(parts) >= 2) & F.element_at(parts, -1).rlike("[0-9]")
     named = F.when(dated, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return F.when(F.size(named) == 2, F.concat(F.get(named, F.lit(1)), F.lit(" "), F.get(named, F.lit(0)))).when(F.size(named) == 1, F.get(named, F.lit(0))).otherwise(first)

@@ -176,7 +176,7 @@ def format_thousands(count: Column) -> Column:
 
 def part_of_speech(labels: Column) -> Column:
     """`n/v.` style labels joined by a middle dot."""
-    return F.array_join(F.filter(F.transform(F.split(labels, "/"), F.trim), lambda p: p != ""), " · ")
+    return F.array_join(F.filter(F.transform(F.split(labels, "/"), lambda t: F.trim(t)), lambda p: p != ""), " · ")
 
 
 def blocked_host(host: Column) -> Column:

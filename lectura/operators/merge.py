@@ -72,7 +72,7 @@ def reconcile(stored: DataFrame, seed: DataFrame, key: str = "id") -> DataFrame:
 
 def merged_list(old: Column, new: Column) -> Column:
     """The old entries, then new ones (trimmed, not empty) that aren't among them, in order."""
-    return F.array_distinct(F.concat(old, F.filter(F.transform(new, F.trim), lambda x: x != "")))
+    return F.array_distinct(F.concat(old, F.filter(F.transform(new, lambda t: F.trim(t)), lambda x: x != "")))
 
 
 def merge_memory(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -1 +1,7 @@
 """The library's tables as views over raw data, and the named queries over them."""
+
+from . import analysis, extras, queries
+from .registry import oracle_sql
+from .registry import queries as all_queries
+
+__all__ = ["all_queries", "analysis", "extras", "oracle_sql", "queries"]

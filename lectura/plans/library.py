@@ -119,8 +119,8 @@ SQL_VIEWS = {
         doc_id in (select doc_id from labels where quality = 1 and toxic = 0) as liked from documents left join activity on doc_id = article_id""",
     "feeds": """select 'feed-' || source as id, source as name, category, 'https://example.com/' || source || '/rss' as url, number % 5 <> 4 as enabled, case when number % 3 = 0 then 'user' else 'curated' end as origin,
         case when number % 7 = 6 then 'book' else 'rss' end as kind, (case when number < 10 then number % 4 else 0 end)::bigint as priority, number / 20.0 - case when number % 6 = 5 then 2.0 else 0.0 end as fulltext_ratio,
-        at - to_days(case when number % 8 = 7 then 31 else 0 end) as last_new_article_at, n_articles from (select source, arg_max(category, {'n': n, 'c': category}) as category, max(at) as at, sum(n)::bigint as n_articles, regexp_extract(source, '([0-9]+)$', 1)::int as number
-        from (select source, category, count(*) as n, max(published_at) as at from articles group by all) group by source)""",
+        latest - to_days(case when number % 8 = 7 then 31 else 0 end) as last_new_article_at, n_articles from (select source, arg_max(category, {'n': n, 'c': category}) as category, max(latest) as latest, sum(n)::bigint as n_articles, regexp_extract(source, '([0-9]+)$', 1)::int as number
+        from (select source, category, count(*) as n, max(published_at) as latest from articles group by all) group by source)""",
     "words": """select unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda t: length(t) >= 2)) as term from documents where lang = 'en'""",
     "lexicon": "select term, n, row_number() over (order by n desc, term) as rank from (select term, count(*) as n from words group by term order by n desc, term limit 30000)",
     "entries": """select * replace (case when number % 23 = 3 then 'Weekly links: ' || title else title end as title, case when number % 41 = 7 then timestamp '2024-01-31 00:00:00' - to_days(40) else published_at end as published_at,

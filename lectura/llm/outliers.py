@@ -35,6 +35,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 FEATURES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 #: Least standard deviation of each statistic.
 FLOORS = (0.5, 0.08, 0.04, 0.1, 0.1)
+#: Groups up to this many have their estimates sent to all executors; those of more are joined by shuffling.
+BROADCAST_GROUPS = 100_000
 #: Bins to one of a statistic, and to a factor of e of a squared distance.
 FINE, FINE_DISTANCE = 100, 32
 SPACE = r"[\x20\x09-\x0D]+"
@@ -105,12 +107,12 @@ def _quantile(rows: DataFrame, keys: list[str], bin_: str, share: float, name: s
     return running.filter(F.col("__to") >= share * F.col("__all")).groupBy(*keys).agg(F.min(bin_).alias(name))
 
 
-def _center(rows: DataFrame, key: str) -> DataFrame:
+def _center(rows: DataFrame, key: str, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Median and absolute deviation of each statistic, as means and a diagonal factor."""
     out = None
     for k, x in enumerate(FEATURES):
         middle = _quantile(rows.withColumn("__b", F.floor(F.col(x) * FINE)), [key], "__b", 0.5, "__m")
-        away = rows.join(middle, key).withColumn("__d", F.floor(F.abs(F.col(x) - (F.col("__m") + 0.5) / FINE) * FINE))
+        away = rows.join(small(middle), key).withColumn("__d", F.floor(F.abs(F.col(x) - (F.col("__m") + 0.5) / FINE) * FINE))
         spread = _quantile(away, [key], "__d", 0.5, "__s")
         one = middle.join(spread, key).select(key, ((F.col("__m") + 0.5) / FINE).alias(f"m{k}"), F.greatest(1.4826 * F.col("__s") / FINE, F.lit(FLOORS[k])).alias(f"l{k}{k}"))
         out = one if out is None else out.join(one, key)
@@ -138,7 +140,7 @@ def _moments(rows: DataFrame, key: str, scale: Column | None = None) -> DataFram
 
 def _distance(rows: DataFrame, shape: DataFrame, key: str) -> DataFrame:
     """rows with `d2`, the squared Mahalanobis distance by their group's mean and factor."""
-    found = rows.join(shape, key)
+    found = rows.join(shape, key)  # `shape` comes with its broadcast hint if it is small
     for i, x in enumerate(FEATURES):
         value = F.col(x) - F.col(f"m{i}")
         for j in range(i):
@@ -159,21 +161,22 @@ def reject_outliers(df: DataFrame, text: str = "text", lang: str = "lang", sourc
     pools = sizes.withColumn("pooled", F.when(F.col("own"), F.col("__s")))
     key = F.xxhash64(F.coalesce(F.col("__l"), F.lit("\0")), F.coalesce(F.col("pooled"), F.lit("\0")), F.col("own").cast("int"))
     keys = cut(pools.withColumn("__key", key).withColumn("pool", F.sum("n").over(Window.partitionBy("__key"))).filter(F.col("pool") >= least).select("__l", "__s", "__key"))
-    judged = rows.filter(~F.col("base_failed")).join(keys, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))).select("__key", *FEATURES)
+    small = F.broadcast if keys.count() <= BROADCAST_GROUPS else (lambda x: x)
+    judged = rows.filter(~F.col("base_failed")).join(small(keys), F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))).select("__key", *FEATURES)
     judged = cut(judged)
     fine = lambda d: F.floor(F.log(F.col(d) + 1e-9) * FINE_DISTANCE)
-    shape = cut(_center(judged, "__key"))
+    shape = cut(_center(judged, "__key", small))
     for _ in range(STEPS):
-        near = _distance(judged, shape, "__key").withColumn("__b", fine("d2"))
+        near = _distance(judged, small(shape), "__key").withColumn("__b", fine("d2"))
         core = _quantile(near, ["__key"], "__b", CORE, "__most")
-        shape = cut(_moments(near.join(core, "__key").filter("__b <= __most"), "__key"))
-    near = _distance(judged, shape, "__key").withColumn("__b", fine("d2"))
+        shape = cut(_moments(near.join(small(core), "__key").filter("__b <= __most"), "__key"))
+    near = _distance(judged, small(shape), "__key").withColumn("__b", fine("d2"))
     middle = cut(_quantile(near, ["__key"], "__b", 0.5, "__most"))
     scale = F.greatest(F.exp((F.col("__most") + 0.5) / FINE_DISTANCE) / MEDIAN, F.lit(1.0))
-    usual = near.join(middle, "__key").withColumn("__scale", scale).filter(F.col("d2") <= USUAL * F.col("__scale"))
+    usual = near.join(small(middle), "__key").withColumn("__scale", scale).filter(F.col("d2") <= USUAL * F.col("__scale"))
     shape = cut(_moments(usual, "__key", F.col("__scale")))
-    placed = rows.join(keys, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")) & ~F.col("base_failed"), "left").drop("__l", "__s")
-    known = _distance(placed.filter("__key is not null"), shape, "__key")
+    placed = rows.join(small(keys), F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")) & ~F.col("base_failed"), "left").drop("__l", "__s")
+    known = _distance(placed.filter("__key is not null"), small(shape), "__key")
     out = known.unionByName(placed.filter("__key is null").withColumn("d2", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return out.withColumn("kept", kept).drop("__key", "__lang", "__source", *FEATURES)

@@ -120,27 +120,29 @@ def slug(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Readable text of a page: no scripts, styles or comments, line breaks at block elements, entities decoded."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|head|template|noscript)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"\s+", " ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|article|section|header|footer|nav|main|aside|ul|ol|table|tr|h[1-6]|blockquote|pre|figure)\b[^>]*>", "\n\n")
-    out = F.regexp_replace(out, r"(?i)<li\b[^>]*>", "\n* ")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    out = F.regexp_replace(out, r"[ \t]+\n", "\n")
-    out = F.regexp_replace(out, r"\n[ \t]+", "\n")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    rules = (
+        (r"(?is)<!--.*?-->|<(script|style|head|template|noscript)\b.*?</\1\s*>|\s+", " "),
+        (r"(?i)<br\s*/?>", "\n"),
+        (r"(?i)</?(p|div|article|section|header|footer|nav|main|aside|ul|ol|table|tr|h[1-6]|blockquote|pre|figure)\b[^>]*>", "\n\n"),
+        (r"(?i)<li\b[^>]*>", "\n* "), (r"<[^>]+>", ""), (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;|&apos;", "'"), (r"&amp;", "&"),
+        (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+    )
+    # folded over an array of rules: one regular expression in the generated code instead of one for each rule
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules))
+    return F.aggregate(pairs, F.coalesce(html, F.lit("")), lambda s, r: F.regexp_replace(s, r["a"], r["b"]))
 
 
 def title_from_html(html: Column) -> Column:
     """The <title>'s first line without a site name behind ` | `, an em, en or plain dash, if at least 8 characters stay; null without a title."""
     raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     line = F.trim(F.element_at(F.split(F.trim(raw), "\n"), 1))
-    best = line
-    for mark in (" | ", " — ", " – ", " - "):
-        left = F.trim(F.substring_index(best, mark, 1))
-        best = F.when(best.contains(mark) & (F.char_length(left) >= 8), left).otherwise(best)
+    marks = F.array(*map(F.lit, (" | ", " — ", " – ", " - ")))
+
+    def cut(title: Column, mark: Column) -> Column:
+        left = F.trim(F.split_part(title, mark, F.lit(1)))
+        return F.when(title.contains(mark) & (F.char_length(left) >= 8), left).otherwise(title)
+
+    best = F.aggregate(marks, line, cut)
     return F.when(line != "", best)
 
 

@@ -1 +1,219 @@
-"""Text kernels, sources and streams as queries."""
+"""Text kernels, pages, dictionary, streams as queries."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import catalog, prose, scoring
+from ..functions import text as T
+from ..operators import enrich, etl, lexical, merge
+from ..sources import readers, writers
+from ..streaming import ingest
+from . import library as L
+from .registry import query
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+@query("t1_html_text")
+def t1_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return readers.pages(L.table(spark, d, "pages").select("page_id", "html")).select("page_id", "page_title", "page_text")
+
+
+@query("t2_title", """with t as (select page_id, trim(split_part(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), chr(10), 1)) as t from pages),
+ a as (select page_id, t, case when contains(t, ' | ') and length(trim(split_part(t, ' | ', 1))) >= 8 then trim(split_part(t, ' | ', 1)) else t end as x from t), b as (select page_id, t, case when contains(x, ' — ') and length(trim(split_part(x, ' — ', 1))) >= 8 then trim(split_part(x, ' — ', 1)) else x end as x from a),
+ c as (select page_id, t, case when contains(x, ' – ') and length(trim(split_part(x, ' – ', 1))) >= 8 then trim(split_part(x, ' – ', 1)) else x end as x from b) select page_id, case when t <> '' then case when contains(x, ' - ') and length(trim(split_part(x, ' - ', 1))) >= 8 then trim(split_part(x, ' - ', 1)) else x end end as title from c""")
+def t2_title(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "pages").select("page_id", T.title_from_html(F.col("html")).alias("title"))
+
+
+@query("t14_page_language", "select page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1, 'i') as lang from pages")
+def t14_page_language(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r'(?i)<html[^>]*lang="([^"]*)"', 1).alias("lang"))
+
+
+@query("t18_slug", "select source, lower(source) || '-u' || lower(to_hex(233)) || 'x' as slug from (select distinct source from documents)")
+def t18_slug(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "documents").select("source").distinct().select("source", T.slug(F.concat(F.lit(" "), F.upper("source"), F.lit(" _éx "))).alias("slug"))
+
+
+@query("t19_collapse", "select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as collapsed from documents")
+def t19_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "documents").select("doc_id", T.collapse_spaces(F.col("text")).alias("collapsed"))
+
+
+@query("t20_clean_body")
+def t20_clean_body(spark: SparkSession, d: str) -> DataFrame:
+    return L.entries(spark, d).select("id", prose.clean_body_column("content_text").alias("body"))
+
+
+@query("t28_paragraphs")
+def t28_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return L.articles(spark, d).select("id", F.posexplode(prose.reflow_column("content_text")).alias("idx", "paragraph"))
+
+
+@query("t32_chapters")
+def t32_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's documents as one book of plain text, divided again at the headings put between them."""
+    block = F.concat(F.lit("CHAPTER "), F.col("number").cast("string"), F.lit(". Of "), F.col("source"), F.lit("\n\n"), F.left("content_text", F.lit(4000)))
+    few = L.articles(spark, d).filter("number < 200").select("source", "number", block.alias("block"))
+    book = few.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "block"))), lambda x: x["block"]), "\n\n").alias("raw"))
+    return book.select("source", F.posexplode(prose.chapters_column("raw")).alias("idx", "c")).select("source", "idx", "c.title", F.char_length("c.text").alias("chars"))
+
+
+@query("l12_annotate")
+def l12_annotate(spark: SparkSession, d: str) -> DataFrame:
+    words = {r["term"]: r["rank"] for r in L.lexicon(spark, d).filter("rank <= 5000").select("term", "rank").collect()}  # 5000 words at most
+    pairs = [r["term"] for r in L.lexicon(spark, d).filter("rank <= 60").select("term").collect()]
+    lexicon = prose.Lexicon(words, frozenset(f"{a} {b}" for a, b in zip(pairs, pairs[1:], strict=False)))
+    spans = L.articles(spark, d).filter("lang = 'en'").select("id", F.posexplode(prose.annotate_column(lexicon)(F.col("title"))).alias("idx", "s"))
+    return spans.select("id", "idx", "s.type", "s.text", "s.key", "s.rank")
+
+
+@query("t34_clip", "select id, trim(left(title, 60)) as clipped from articles", ("articles",))
+def t34_clip(spark: SparkSession, d: str) -> DataFrame:
+    return L.articles(spark, d).select("id", T.clip(F.col("title"), 60).alias("clipped"))
+
+
+@query("t35_strip_fences", "select event_id, json_extract_string(props, '$.k') as k, props is not null as has from events")
+def t35_strip_fences(spark: SparkSession, d: str) -> DataFrame:
+    fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    return L.table(spark, d, "events").select("event_id", F.get_json_object(T.strip_fences(fenced), "$.k").alias("k"), F.col("props").isNotNull().alias("has"))
+
+
+@query("t37_context", None)
+def t37_context(spark: SparkSession, d: str) -> DataFrame:
+    return L.articles(spark, d).filter("lang = 'en'").select("id", T.context_around(F.col("content_text"), F.lit("the")).alias("context"))
+
+
+@query("t38_markdown", "select id, len(regexp_extract_all(content_text, '(?m)^#{{1,6}}\\s+\\S')) >= 2 or regexp_matches(content_text, '(?m)^\\s*\\d+\\.\\s+\\S') and regexp_matches(content_text, '(?m)^>\\s+\\S') as markdown from articles".replace("{{", "{").replace("}}", "}"), ("articles",))
+def t38_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return L.articles(spark, d).select("id", T.looks_like_markdown(F.col("url"), F.regexp_replace("content_text", r"(?m)^\s*[-*+]\s+|\*\*|\]\(|```", "")).alias("markdown"))
+
+
+@query("t42_formats", "select id, case when dwell_ms // 60000 < 60 then (dwell_ms // 60000) || ' min' else (dwell_ms // 3600000) || ' h ' || (dwell_ms // 60000 % 60) || ' min' end as minutes from articles", ("articles",))
+def t42_formats(spark: SparkSession, d: str) -> DataFrame:
+    return L.articles(spark, d).select("id", T.format_minutes(F.expr("dwell_ms div 60000")).alias("minutes"))
+
+
+@query("t43_blocked_hosts", """with h as (select event_id, (event_id % 256) || '.' || (user_id * 7 % 256) || '.0.1' as host, event_id % 256 as a, user_id * 7 % 256 as b from events) select host, bool_or(a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 198 and b in (18, 19))) as blocked from h group by host""")
+def t43_blocked_hosts(spark: SparkSession, d: str) -> DataFrame:
+    hosts = L.table(spark, d, "events").select(F.concat_ws(".", (F.col("event_id") % 256).cast("string"), (F.col("user_id") * 7 % 256).cast("string"), F.lit("0"), F.lit("1")).alias("host")).distinct()
+    return hosts.select("host", T.blocked_host(F.col("host")).alias("blocked"))
+
+
+@query("t44_part_of_speech", "select id, case word_type when 'n/v' then 'n · v' else word_type end as label from memory", ("memory",))
+def t44_part_of_speech(spark: SparkSession, d: str) -> DataFrame:
+    return L.memory(spark, d).select("id", T.part_of_speech(F.col("word_type")).alias("label"))
+
+
+@query("n12_retry", "select r_regionkey, (600 * power(2, least(r_regionkey, 4)))::int as seconds from region")
+def n12_retry(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "region").select("r_regionkey", scoring.retry_seconds(F.col("r_regionkey")).cast("int").alias("seconds"))
+
+
+# --- dictionary, exports ---------------------------------------------------------------------------------------------
+
+
+@query("j9_sentence_links", """with e as (select doc_id as id, split_part(text, chr(10), 1) as s from documents where lang = 'en'), o as (select doc_id as id, split_part(text, chr(10), 1) as t from documents where lang = 'fr'), l as (select e.doc_id as a, o.doc_id as b from documents e join documents o on o.doc_id = e.doc_id + 1) select e.id as doc_id, e.s as sentence, o.t as translation from l join e on e.id = l.a join o on o.id = l.b""")
+def j9_sentence_links(spark: SparkSession, d: str) -> DataFrame:
+    docs = L.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring_index("text", "\n", 1).alias("text"))
+    links = docs.select(F.col("id").alias("eng_id"), (F.col("id") + 1).alias("other_id"))
+    return etl.linked_sentences(links, docs.filter("lang = 'en'"), docs.filter("lang = 'fr'"))
+
+
+@query("j11_dictionary", None)
+def j11_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    lex = L.lexicon(spark, d).filter("rank <= 2000")
+    sentences = L.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.filter(F.split("text", r"\. "), lambda s: F.char_length(s).between(20, 200))).alias("sentence"))
+    details = lex.filter("rank % 3 = 0").select(F.col("term").alias("word"), F.concat(F.lit("gloss of "), F.col("term")).alias("gloss"))
+    heads = lex.select(F.col("term").alias("word"), "rank")
+    return etl.dictionary(heads, details, etl.examples(sentences, heads), 1500)
+
+
+@query("snk5_memory_export", "select kind, term, definition, word_type, case when collocations_json like '[\"%' then replace(substr(collocations_json, 3, length(collocations_json) - 4), '\",\"', '; ') else '' end as collocations, case when context_sentence like '=%' then '''' || context_sentence else context_sentence end as context_sentence, article_id, status, created_at::varchar as created_at from memory", ("memory",))
+def snk5_memory_export(spark: SparkSession, d: str) -> DataFrame:
+    return writers.memory_rows(L.memory(spark, d))
+
+
+@query("w10_newest_snapshots", "select o_orderkey as path, o_orderdate as at from orders order by o_orderdate desc, o_orderkey desc limit 2")
+def w10_newest_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return writers.newest(L.table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("at")))
+
+
+@query("u1_batched_cards")
+def u1_batched_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards by a stand-in for an outside model that fails on some inputs and on large batches."""
+
+    def model(items):
+        if len(items) > 4 or any(len(x) % 7 == 0 for x in items):
+            raise ValueError("overloaded")
+        return [x.upper() for x in items]
+
+    return enrich.enriched(L.articles(spark, d).filter("summary = ''").select("id", "title"), "title", model, "card")
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for what a stream writes."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectura-")
+    return f"{root}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(spark: SparkSession, d: str, table: str) -> DataFrame:
+    schema = L.table(spark, d, table).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{d}/{table}.parquet*")
+
+
+def _memory_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream to its end and gives its result; for aggregates, whose result is small."""
+    name = f"s{uuid.uuid4().hex}"
+    done = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _folder(stream.sparkSession)).start()
+    done.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query("st1_stream_ingest", "select doc_id, 'https://example.com/' || source || '/' || doc_id as url, split_part(text, chr(10), 1) as title from documents")
+def st1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    docs = _streamed(spark, d, "documents")
+    entries = docs.select("doc_id", F.concat(F.lit("HTTPS://Example.com/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/?utm_source=x#top")).alias("url"), F.substring_index("text", "\n", 1).alias("title"))
+    folder = _folder(spark)
+    for run in ("a", "b"):  # the second run, with state of its own, finds nothing new
+        ingest.ingest(entries, f"{folder}/table", f"{folder}/{run}").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("doc_id", "url", "title")
+
+
+@query("st2_stream_dedup", "select count(distinct array_to_string(list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^\\pL\\pN]+'), lambda x: x <> ''), ' ')) as n from documents")
+def st2_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = _streamed(spark, d, "documents")
+    entries = docs.select(F.lit("https://example.com/x").alias("url"), F.substring_index("text", "\n", 1).alias("title"), (F.lit(L.NOW).cast("timestamp") - F.make_dt_interval(hours=(F.col("doc_id") % 300).cast("int"))).alias("published"))
+    folder = _folder(spark)
+    run = ingest.deduplicated(entries).select("title_key").writeStream.format("parquet").option("path", f"{folder}/t").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st5_dwell_stream", "select user_id as article_id, sum(least(greatest(floor(value * 1000)::bigint, 0), 60000))::bigint as dwell_ms, bool_or(event_type = 'purchase' or (event_type = 'signup' and floor(value * 1000) >= 15000)) as completed from events group by user_id")
+def st5_dwell_stream(spark: SparkSession, d: str) -> DataFrame:
+    e = _streamed(spark, d, "events")
+    beats = e.select(F.col("user_id").alias("article_id"), F.floor(F.col("value") * 1000).cast("long").alias("delta_ms"), (F.col("event_type") == "purchase").alias("bottom"), (F.col("event_type") == "signup").alias("short"))
+    return _memory_table(ingest.reading_time(beats), "complete")
+
+
+@query("st9_feed_clock", "select event_type as feed, max(ts) filter (event_id % 3 = 0)::timestamp as last_new_article_at, avg((value > 50)::int)::double as fulltext_ratio from events group by event_type")
+def st9_feed_clock(spark: SparkSession, d: str) -> DataFrame:
+    e = _streamed(spark, d, "events")
+    entries = e.select(F.col("event_type").alias("feed"), F.col("ts").alias("published"), (F.col("event_id") % 3 == 0).alias("is_new"), (F.col("value") > 50).alias("full_text"))
+    return _memory_table(ingest.feed_clocks(entries), "complete")
+
+
+@query("st_windowed_activity", "select date_trunc('day', ts)::date::varchar as day, event_type, count(*) as n from events group by all")
+def st_windowed_activity(spark: SparkSession, d: str) -> DataFrame:
+    e = _streamed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _memory_table(ingest.windowed_activity(e), "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -6,8 +6,10 @@ letter, digit or `,;:` and one white space, so not the first word of a sentence.
 unit is a typed placeholder; other words stand lower-cased.
 
 1. Every window of `WINDOW` template tokens of a benchmark item (or the whole item if it is shorter) that has at least
-   `LITERALS` words that aren't placeholders (all tokens of a shorter item but a third) gets an anchor: its longest
-   word. Documents that hold no anchor are out.
+   `LITERALS` words that aren't placeholders (all tokens of a shorter item but a third) gets an anchor: of its pairs of
+   neighbouring words the one with the word that fewest of about `SAMPLE` documents hold (a word alone where no two
+   words are neighbours). Documents that hold no anchor are out; which pair serves as anchor, and so the sample, has no
+   influence on what is found.
 2. The windows of the remaining documents are hash-joined with the benchmark's.
 3. Matches on one diagonal (place in the document less place in the item) form a run. Over a run each slot value of the
    item must stand for one value of the document and the other way round. A run that fails this counts only by its
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LITERALS = 10, 6
+WINDOW, LITERALS, SAMPLE = 10, 6, 2000
 #: Benchmark windows up to this many are sent to all executors; more are joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
 NUMBER, NAME, UNIT = "", "", ""
@@ -49,6 +51,11 @@ def template(marked: Column) -> Column:
     return F.transform(marked, lambda t: F.when(F.ascii(t).between(0xE000, 0xE002), F.substring(t, 1, 1)).otherwise(t))
 
 
+def plain_words(text: Column) -> Column:
+    """All runs of letters of a text, lower-cased: among them each token that isn't marked."""
+    return F.split(F.lower(text), r"[^\p{L}\p{M}]+")
+
+
 def _windows(df: DataFrame, ids: str, size: Column, columns: list[str]) -> DataFrame:
     """Exploded windows of columns `marked` and `form`: at, form (joined), slots (marked tokens)."""
     starts = F.when(F.size("marked") >= size, F.sequence(F.lit(1), F.size("marked") - size + 1))
@@ -57,14 +64,37 @@ def _windows(df: DataFrame, ids: str, size: Column, columns: list[str]) -> DataF
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, size, at, form, slots and anchor of each window with enough words."""
+    """item_id, size, at, form, slots and words (those that aren't placeholders) of each window with enough words."""
     marked = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("marked")).filter("item_id is not null and size(marked) > 0")
     marked = marked.dropDuplicates(["item_id", "marked"]).withColumns({"form": template(F.col("marked")), "size": F.least(F.size("marked"), F.lit(window))})
     cut = _windows(marked, "item_id", F.col("size"), ["size"])
     words = F.filter("slots", lambda t: ~F.ascii(t).between(0xE000, 0xE002))
     needed = F.when(F.col("size") == window, F.lit(literals)).otherwise(F.ceil(F.col("size") * 2 / 3))
-    longest = F.array_max(F.transform(words, lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t"))))["t"]
-    return cut.withColumns({"n_words": F.size(words), "anchor": longest}).filter(F.col("n_words") >= needed).drop("n_words")
+    return cut.withColumn("words", words).filter(F.size("words") >= needed)
+
+
+def _pairs(words: Column) -> Column:
+    """A hash of each pair of neighbouring words."""
+    from .outliers import bind
+
+    ends = lambda w: F.sequence(F.lit(0), F.size(w) - 2)
+    return bind(words, lambda w: F.when(F.size(w) > 1, F.transform(ends(w), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
+def anchors_of(windows: DataFrame, rows: DataFrame, small, sample: int = SAMPLE) -> DataFrame:
+    """Distinct `anchor` hashes of pairs of words, and of words (`alone`) where a window has no such pair."""
+    step = max(1, rows.count() // sample)
+    words = windows.select(F.explode("words").alias("word")).distinct()
+    held = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word"))
+    seen = held.join(small(words), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
+    each = windows.select("item_id", "size", "at", F.posexplode("slots").alias("k", "word"), "slots").filter(~F.ascii("word").between(0xE000, 0xE002))
+    each = each.join(small(seen), "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    behind, before = F.get("slots", F.col("k") + 1), F.get("slots", F.col("k") - 1)
+    literal = lambda w: w.isNotNull() & ~F.ascii(w).between(0xE000, 0xE002)
+    pair = F.when(literal(behind), F.xxhash64("word", behind)).when(literal(before), F.xxhash64(before, F.col("word")))
+    anchor = F.struct(F.coalesce(pair, F.xxhash64("word")).alias("anchor"), pair.isNull().alias("alone"))
+    order = F.struct(pair.isNull(), "seen", -F.char_length("word"), F.col("word"), F.col("k"))
+    return each.groupBy("item_id", "size", "at").agg(F.min_by(anchor, order).alias("a")).select("a.anchor", "a.alone").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -75,9 +105,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     sizes = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
     small = F.broadcast if sizes["n"] <= BROADCAST_WINDOWS else (lambda x: x)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    anchors = known.select("anchor").distinct()
-    words = rows.select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    near = words.join(small(anchors), F.col("word") == F.col("anchor"), "left_semi").select("doc_id").distinct()
+    anchors = cut(anchors_of(known, rows, small))
+    words = plain_words(F.col("text"))
+    hashes = rows.select("doc_id", F.explode(_pairs(words)).alias("hash"))
+    if not anchors.filter("alone").isEmpty():
+        hashes = hashes.unionByName(rows.select("doc_id", F.explode(words).alias("word")).select("doc_id", F.xxhash64("word").alias("hash")))
+    near = hashes.join(small(anchors), F.col("hash") == F.col("anchor"), "left_semi").select("doc_id").distinct()
     marked = rows.join(near, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("marked"))
     marked = marked.withColumn("form", template(F.col("marked")))
     met = None

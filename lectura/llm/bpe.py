@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import bounded_batches, slices, texts
 
 #: A worker forgets its encoded chunks when it holds so many.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +56,7 @@ class MergeReplay:
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.rank_of = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1)
         self.bytes_of = pa.array(whole, pa.large_binary())
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair, -1 for none."""
@@ -116,15 +116,16 @@ class MergeReplay:
         return token[:n][alive], np.append(0, np.cumsum(np.add.reduceat(alive, starts)))
 
     def learn(self, chunks: list[str]) -> None:
-        """Adds the ids of chunks to those known; a chunk is split into words on its own."""
+        """Adds the ids of chunks (as bytes of int32) to those known; a chunk is split into words on its own."""
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
         place: dict[str, int] = {}
         split = [[place.setdefault(w, len(place)) for w in self.split(c)] for c in new]
         ids, begin = self.replay([w.encode() for w in place])
+        raw, begin = ids.astype(np.int32).tobytes(), begin.tolist()
         for chunk, words in zip(new, split, strict=True):
-            self.known[chunk] = ids[begin[words[0]] : begin[words[0] + 1]] if len(words) == 1 else np.concatenate([ids[begin[w] : begin[w + 1]] for w in words] or [ids[:0]])
+            self.known[chunk] = b"".join([raw[4 * begin[w] : 4 * begin[w + 1]] for w in words])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids begin (one more entry: the end).
@@ -154,8 +155,8 @@ class MergeReplay:
         chunks = [pieces[c >> 1] if not c & 1 else " " + pieces[c >> 1] for c in seen.tolist()] + list(extra)
         self.learn(chunks)
         found = [self.known[c] for c in chunks]
-        flat = np.concatenate([*found, np.zeros(0, np.int32)])
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.frombuffer(b"".join(found), np.int32)
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(count) - count
         if own:
             order = np.concatenate([np.asarray(own[i], np.int64) + seen.size if i in own else place[code[begin[i] : begin[i + 1]]] for i in range(len(column))])
@@ -190,7 +191,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     The rank file is read where this is called and sent to the executors: its size doesn't depend on the corpus.
     """
-    spark: SparkSession = df.sparkSession
+    spark: SparkSession = bounded_batches(df)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.BinaryType(), False)] if decoded else [])]
     schema = T.StructType([*df.schema.fields, *more])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step of a Python worker holds at a time (one longer text goes alone).
 STEP_BYTES = 4 << 20
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -46,6 +47,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> SparkSession:
+    """The frame's session, with Arrow batches of so few rows that those of long texts fit beside each other."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that `column` (string or binary) holds about `limit` bytes in each part."""
     for batch in batches:
@@ -60,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYT
                 at, held = i, 0
             held += int(size[i])
         yield batch.slice(at)
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

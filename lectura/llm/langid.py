@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import bounded_batches, slices
 
 UNKNOWN = "und"
 LONGEST, WIDTH = 3, 1 << 15
@@ -136,7 +136,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", predicted: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the language of each text (of those learned, or `und`) and a score from 0 to 1. Only `text` is looked at."""
     df = df.drop(predicted, score)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # WIDTH x languages numbers, whatever the corpus
+    sent = bounded_batches(df).sparkContext.broadcast(model)  # WIDTH x languages numbers, whatever the corpus
     schema = T.StructType([*df.schema.fields, T.StructField(predicted, T.StringType(), False), T.StructField(score, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

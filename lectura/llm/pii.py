@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import bounded_batches, slices
 
 KEY = "surrogates-1"
 
@@ -276,6 +276,7 @@ ENTITIES = "array<struct<type:string,begin:int,end:int,surrogate:string>>"
 def replace_private(df: DataFrame, key: str = KEY, text: str = "text", entities: str | None = "entities") -> DataFrame:
     """The rows with surrogates in `text`, and what was found as `entities` if that is named."""
     listed = pa.list_(pa.struct([("type", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+    bounded_batches(df)
     schema = T.StructType([*df.schema.fields, *([T.StructField(entities, T._parse_datatype_string(ENTITIES), False)] if entities else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

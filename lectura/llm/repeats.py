@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, slices, texts
+from .common import STEP_BYTES, bounded_batches, slices, texts
 
 LENGTH, GRAM = 100, 32
 #: Classes of one gram that one suffix array takes; and classes in one block from which a gram counts as common.
@@ -300,7 +300,7 @@ def _string_rows(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray, at: np.
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, classes: int = GROUP, classes_in_block: int = GROUP_IN_BLOCK) -> DataFrame:
     """One row a document: doc_id, n_bytes, removed array<struct<begin,end>> (maximal runs of bytes), kept binary."""
-    spark = df.sparkSession
+    spark = bounded_batches(df)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, reach = tasks, length - gram
     id_type = dict(df.dtypes)[doc_id]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bounded_batches, slices, texts
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -61,6 +61,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
             found = np.array([fingerprint_of(t, shingle) for t in texts(part).cast(pa.large_binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(df)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 

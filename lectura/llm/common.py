@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step of a Python worker holds at a time (one longer text goes alone).
 STEP_BYTES = 4 << 20
@@ -47,6 +48,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def bounded_batches(df: DataFrame) -> SparkSession:
     """The frame's session, with Arrow batches of so few rows that those of long texts fit beside each other."""
     spark = df.sparkSession

@@ -12,8 +12,8 @@ unit is a typed placeholder; other words stand lower-cased.
    influence on what is found.
 2. The windows of the remaining documents are hash-joined with the benchmark's.
 3. Matches on one diagonal (place in the document less place in the item) form a run. Over a run each slot value of the
-   item must stand for one value of the document and the other way round. A run that fails this counts only by its
-   windows without slots.
+   item must stand for one and the same value of the document. A run that fails this counts only by its windows without
+   slots.
 
 Defined results: null and empty texts match nothing; texts are searched whole; repeated rows and items match alike and
 are listed once a pair of ids; rows with a null id are never listed, but `drop_contaminated` keeps or drops them by
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bind, cut
+
 WINDOW, LITERALS, SAMPLE = 10, 6, 2000
 #: Benchmark windows up to this many are sent to all executors; more are joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
@@ -75,8 +77,6 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
 
 def _pairs(words: Column) -> Column:
     """A hash of each pair of neighbouring words."""
-    from .outliers import bind
-
     ends = lambda w: F.sequence(F.lit(0), F.size(w) - 2)
     return bind(words, lambda w: F.when(F.size(w) > 1, F.transform(ends(w), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.expr("cast(array() as array<bigint>)")))
 
@@ -99,8 +99,6 @@ def anchors_of(windows: DataFrame, rows: DataFrame, small, sample: int = SAMPLE)
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """doc_id, item_id, n_windows (matched), item_windows (all that could be), n_slots and n_changed (slots whose value differs)."""
-    from .common import cut
-
     known = cut(benchmark_windows(items, item_id, item_text, window, literals))
     sizes = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
     small = F.broadcast if sizes["n"] <= BROADCAST_WINDOWS else (lambda x: x)
@@ -122,8 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
     # a group holds at most one item's windows, once each
     run = met.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_at").alias("all"), F.count_distinct(F.when(F.size("pairs") == 0, F.col("item_at"))).alias("bare"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    kinds = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) for side in ("a", "b")]
-    consistent = (F.size("pairs") == kinds[0]) & (F.size("pairs") == kinds[1])
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))
     run = run.withColumns({"n": F.when(consistent, F.col("all")).otherwise(F.col("bare")), "n_slots": F.size("pairs"), "n_changed": F.size(F.filter("pairs", lambda z: z["a"] != z["b"]))}).filter("n > 0")
     best = F.max(F.struct("n", "n_slots", "n_changed")).alias("best")
     total = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))

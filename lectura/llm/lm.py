@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import kept, slices, texts
+from .common import bounded_batches, kept, slices, texts
 
 CLASSES, HEAD, DIMENSION, CONTEXT = 1024, 200_000, 32, 2
 BATCH, NOISE, RATE, ROUNDS = 4096, 64, 0.1, 2
@@ -296,8 +297,6 @@ def score(docs: DataFrame, corpus: Corpus, counts: DataFrame, weights: Weights,
     number = id(sent)
     rows = docs.select(*ids, F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fields = [f for f in rows.schema.fields if f.name != "text"]
-    from pyspark.sql import types as T
-
     more = T._parse_datatype_string("n_tokens long, n_known long, all_logs double, other_logs double, n_other long, model double, words array<string>, times array<int>")
     schema = T.StructType([*fields, *more.fields])
 
@@ -325,8 +324,8 @@ def score(docs: DataFrame, corpus: Corpus, counts: DataFrame, weights: Weights,
             columns = [
                 pa.array(size + 1, pa.int64()),
                 pa.array(np.bincount(owner[headed], minlength=n) + (known.ends > 0), pa.int64()),
-                pa.array(sums(headed, mine) + end_log),
-                pa.array(sums(other, mine)),
+                pa.array(sums(headed, mine) + end_log, pa.float64()),
+                pa.array(sums(other, mine).astype(np.float64)),
                 pa.array(np.bincount(owner[other | ~headed], minlength=n), pa.int64()),
                 pa.array(np.add.reduceat(scorer.log10(classes, begin), first)),
                 pa.ListArray.from_arrays(pa.array(listed), words),
@@ -352,6 +351,7 @@ def score(docs: DataFrame, corpus: Corpus, counts: DataFrame, weights: Weights,
 
 def learn_and_score(docs: DataFrame, learned_from: Column, ids: list[str], text: str = "text", classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """Learns from the rows where `learned_from` holds and scores all; adds train_tokens."""
+    bounded_batches(docs)
     known = docs.filter(learned_from)
     counts = kept(count_words(known, text))
     corpus = corpus_of(counts, classes, head)

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bind, cut
 
 CORE, STEPS, LEAST = 0.75, 3, 60
 #: Squared distance that about one in 10^9 vectors of a normal distribution with five dimensions exceeds; the bound for
@@ -33,6 +33,7 @@ CUTOFF, USUAL, MEDIAN = 50.2, 12.83, 4.351
 #: Words that a text must have, and the percentage of its words that may stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 FEATURES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Least standard deviation of each statistic.
 FLOORS = (0.5, 0.08, 0.04, 0.1, 0.1)
 #: Groups up to this many have their estimates sent to all executors; those of more are joined by shuffling.
@@ -42,11 +43,6 @@ FINE, FINE_DISTANCE = 100, 32
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def bind(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value evaluated once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _repeated(words: Column) -> Column:
     """Words in windows of three that are found twice or more."""
 
@@ -152,9 +148,11 @@ def _distance(rows: DataFrame, shape: DataFrame, key: str) -> DataFrame:
 
 def reject_outliers(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
     """Adds the counts of `base_counts`, d2 (null for failures of the base rules and groups that are too small), kept."""
-    counts = base_counts(df, text).withColumns({"__lang": F.col(lang), "__source": F.col(source)})
-    names = [c for c in counts.columns if c != text]
-    rows = cut(_vector(counts.select(*names)))
+    counts = base_counts(df.drop("d2", "kept"), text)
+    # what the input holds is packed away, so that no name of a step meets one of its columns
+    packed = F.struct(*(c for c in counts.columns if c != text)).alias("__in")
+    rows = counts.select(packed, F.col(lang).alias("__lang"), F.col(source).alias("__source"), "base_failed", *COUNTS)
+    rows = cut(_vector(rows).drop(*COUNTS))
     sizes = rows.filter(~F.col("base_failed")).groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumns({"own": F.col("n") >= least, "__l": F.col("__lang"), "__s": F.col("__source")})
     # a group's key is a number: its own, or that of its language's pool
@@ -179,4 +177,4 @@ def reject_outliers(df: DataFrame, text: str = "text", lang: str = "lang", sourc
     known = _distance(placed.filter("__key is not null"), small(shape), "__key")
     out = known.unionByName(placed.filter("__key is null").withColumn("d2", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))
-    return out.withColumn("kept", kept).drop("__key", "__lang", "__source", *FEATURES)
+    return out.select("__in.*", "d2", kept.alias("kept"))

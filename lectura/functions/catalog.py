@@ -32,14 +32,14 @@ def description(author: Column, issued: Column) -> Column:
 def accepted(gid: Column, kind: Column, language: Column, title: Column) -> Column:
     """A catalog row with a numeric id, of type Text, with English among its languages, and a title."""
     english = F.exists(F.split(language, ";"), lambda x: F.lower(F.trim(x)) == "en")
-    return F.coalesce(F.trim(gid).try_cast("long").isNotNull() & (F.lower(F.trim(kind)) == "text") & english & (collapse_spaces(title) != ""), F.lit(False))
+    return F.coalesce(F.trim(gid).try_cast("长").isNotNull() & (F.lower(F.trim(kind)) == "text") & english & (collapse_spaces(title) != ""), F.lit(False))
 
 
 def gid_of(url: Column) -> Column:
     """The number at a url's end, null if there is none."""
-    return F.regexp_extract(url, "/([0-9]+)/?$", 1).try_cast("long")
+    return F.regexp_extract(url, "/([0-9]+)/?$", 1).try_cast("长")
 
 
 def length_band(words: Column) -> Column:
     """Reading length as six bands, "" if unknown."""
-    return F.when(F.coalesce(words, F.lit(0)) <= 0, "").when(words < 600, "very short").when(words < 900, "short").when(words < 1200, "medium").when(words < 1800, "long").when(words < 3000, "very long").otherwise("extreme")
+    return F.when(F.coalesce(words, F.lit(0)) <= 0, "").when(words < 600, "很短").when(words < 900, "短").when(words < 1200, "中").when(words < 1800, "长").when(words < 3000, "很长").otherwise("极长")

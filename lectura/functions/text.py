@@ -169,7 +169,9 @@ def looks_like_markdown(url: Column, text: Column) -> Column:
 
 
 def format_minutes(minutes: Column) -> Column:
-    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h "), (minutes % 60).cast("string"), F.lit(" min")))
+    """Minutes below an hour, else hours and what is left."""
+    hours = F.concat(F.floor(minutes / 60).cast("string"), F.lit(" 小时"))
+    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" 分钟"))).when(minutes % 60 == 0, hours).otherwise(F.concat(hours, F.lit(" "), (minutes % 60).cast("string"), F.lit(" 分")))
 
 
 def format_thousands(count: Column) -> Column:
@@ -188,3 +190,33 @@ def blocked_host(host: Column) -> Column:
     ip = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     private = (a.isin(0, 10, 127)) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 198) & b.between(18, 19))
     return (host == "") | (F.lower(host) == "localhost") | F.lower(host).endswith(".localhost") | F.lower(host).endswith(".local") | (ip & private)
+
+
+def chat_url(base: Column) -> Column:
+    """The endpoint of a chat service from its base address."""
+    root = F.regexp_replace(F.trim(base), "/+$", "")
+    known = root.endswith("api.deepseek.com") | root.endswith("api.openai.com")
+    return F.when(root.endswith("/chat/completions"), root).when(known, F.concat(root, F.lit("/v1/chat/completions"))).otherwise(F.concat(root, F.lit("/chat/completions")))
+
+
+def is_all_caps(text: Column, least: int = 2) -> Column:
+    """An initialism or a word in capitals, with or without a possessive ending."""
+    bare = F.regexp_replace(F.trim(text), "['’]s$", "")
+    return (F.char_length(bare) >= least) & bare.rlike(r"^[A-Z][A-Z0-9.\-&/]*$")
+
+
+def is_phrase_selection(text: Column, most: int = 6) -> Column:
+    """Two to `most` English words, not a sentence."""
+    one = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return one.rlike(rf"^[A-Za-z][A-Za-z'’-]*(?: [A-Za-z][A-Za-z'’-]*){{1,{most - 1}}}$")
+
+
+def stable_json(pairs: Column) -> Column:
+    """A map as JSON with its keys in order; the same map always gives the same text."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+
+
+def insight(today: Column, week: Column, total: Column, new_words: Column) -> Column:
+    """One line of learning statistics; new words only if there are any."""
+    text = lambda label, n: F.concat(F.lit(label + " "), n.cast("string"))
+    return F.concat_ws(" · ", text("今日", today), text("本周", week), text("总", total), F.when(new_words > 0, text("本周新词", new_words)))

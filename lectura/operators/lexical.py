@@ -20,6 +20,21 @@ IRREGULAR = {
     "mouse": "mice", "goose": "geese", "life": "lives", "knife": "knives", "wife": "wives", "half": "halves", "self": "selves", "leaf": "leaves", "shelf": "shelves", "wolf": "wolves", "thief": "thieves",
     "datum": "data", "criterion": "criteria", "good": "better best", "bad": "worse worst", "much": "more most", "little": "less least", "far": "farther farthest further furthest",
 }
+#: Words of closed classes, which are never names.
+CLOSED_CLASS = (
+    "a an the and or but nor of to in on at by for from with as that this these those it its is are was were be been being he she they them their i you your we our my me us who which what when where how not no yes"
+).split()
+#: Hyphenated words whose spaced form usually means something else.
+AMBIGUOUS_SPACED = (
+    "also ran", "cold blood", "empty hand", "fast track", "know how", "left hand", "red hand", "right hand", "second hand", "single hand", "back up", "check up", "close up",
+    "cut off", "head up", "hard work", "make up", "mix up", "one man", "one night", "one time", "pick up", "set up", "stand up", "take off", "wake up",
+)
+#: What a gloss of a name says.
+NAME_GLOSSES = (
+    "人名 姓氏 男子名 女子名 男人名 女性名 男名 女名 姓名 姓氏名 姓 地名 城市名 市名 郡名 神话人物 先知 篮球队名 球队名 俱乐部 公司名 电影名 电视剧名 歌手 作家 诗人 总统 国王 女王 公爵 伯爵 男爵 皇后 公主 汉语拼音"
+).split()
+HONORIFICS = "mr mrs ms miss dr prof st ste sir madam lord lady president senator governor rev hon jr sr vs etc co inc ltd corp dept est fig no vol ed pp al".split()
+TITLE_ABBREVIATIONS = "mr mrs ms dr prof st jr sr vs etc no fig inc ltd co".split()
 # ----------------------------------------------------------------------------------------------------------------
 LEAST_TOKENS, LEAST_SAMPLES, QUANTILES = 40, 40, (0.15, 0.40, 0.70, 0.90)
 LOW, HIGH, START, QUESTIONS = 400.0, 25000.0, 3000.0, 50
@@ -141,3 +156,99 @@ def distractors(pool: DataFrame, item_rank: int, most: int = 3) -> DataFrame:
     distance = F.abs(F.col("rank") - item_rank)
     one = others.withColumn("distance", distance).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("distance", "rank"))).filter("r = 1")
     return one.orderBy("distance", "rank").limit(most).drop("r", "g")
+
+
+def hard_words(lexicon: DataFrame, known_rank: int = 3000, known_cefr: int = 2) -> DataFrame:
+    """Adds steps (CEFR levels beyond the known one), hard (rarer or higher than known) and super_hard (two levels and more)."""
+    steps = F.greatest(scoring.cefr_of(F.col("rank")) - known_cefr, F.lit(0))
+    return lexicon.withColumns({"steps": steps, "hard": (steps > 0) | (F.col("rank") > known_rank), "super_hard": steps >= 2})
+
+
+def hard_outside(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """term and hard for words outside the lexicon: seven letters and more, and no hyphenated compound of known words."""
+    rows = terms.select("term").distinct()
+    parts = rows.filter(F.col("term").contains("-")).select("term", F.explode(F.filter(F.split("term", "-"), lambda p: p != "")).alias("part"))
+    known = parts.join(lexicon.select(F.col("term").alias("part"), F.lit(1).alias("k")), "part", "left").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("known"))
+    joined = rows.join(known, "term", "left")
+    transparent = F.coalesce((F.col("n") >= 2) & (F.col("n") == F.col("known")), F.lit(False))
+    return joined.select("term", (~transparent & (F.char_length(F.regexp_replace("term", "[^A-Za-z]", "")) >= 7)).alias("hard"))
+
+
+def is_initialism(raw: Column) -> Column:
+    bare = F.regexp_replace(raw, "['’]s$", "")
+    return (F.char_length(bare) >= 2) & bare.rlike(r"^[A-Z][A-Z0-9.\-&/]*$")
+
+
+def is_honorific(raw: Column) -> Column:
+    return F.lower(F.regexp_replace(raw, r"\.$", "")).isin(*HONORIFICS)
+
+
+def proper_nouns(texts: DataFrame, key: str = "id", column: str = "text") -> DataFrame:
+    """key, idx, word, initial, proper for the words of texts: a capital that neither begins a sentence nor a quotation, or an initialism."""
+    pieces = F.regexp_extract_all(F.col(column), F.lit(r"[A-Za-z][A-Za-z'’-]*|[^A-Za-z]+"), F.lit(0))
+    rows = texts.select(F.col(key).alias(key), pieces.alias("p")).select(key, F.explode(F.transform("p", lambda x, i: F.struct(i.alias("idx"), x.alias("word"), F.get(F.col("p"), i - 1).alias("gap"), F.get(F.col("p"), i - 2).alias("before")))).alias("x")).select(key, "x.*")
+    words = rows.filter(F.col("word").rlike("^[A-Za-z]"))
+    gap = F.regexp_replace(F.coalesce("gap", F.lit("")), r"\s+$", "")
+    before = F.lower(F.coalesce("before", F.lit("")))
+    abbreviated = (gap == ".") & (before.isin(*TITLE_ABBREVIATIONS) | (F.char_length(before) == 1))
+    ends = gap.rlike("[.!?…。！？:;：；][\"'’”)\\]]*$") | gap.rlike("^[^\\p{L}\\p{N}]*[\"'“‘’«»(\\[{—–…][^\\p{L}\\p{N}]*$")
+    initial = F.col("before").isNull() | (ends & ~abbreviated)
+    word = F.col("word")
+    proper = word.rlike("^[A-Z]") & ~is_honorific(word) & ~normal_key(word).isin(*CLOSED_CLASS) & (is_initialism(word) | ~initial)
+    return words.select(key, "idx", "word", initial.alias("initial"), proper.alias("proper"))
+
+
+def is_name_gloss(gloss: Column) -> Column:
+    return F.coalesce(gloss.rlike("|".join(NAME_GLOSSES)), F.lit(False))
+
+
+def name_gloss(gloss: Column) -> Column:
+    """The gloss of a word used as a name: one that names, or the only sense; else null."""
+    return F.when(is_name_gloss(gloss) | ~gloss.rlike("[，,；;、]"), gloss)
+
+
+def honorific_gloss(gloss: Column) -> Column:
+    """The first sense of a title's gloss; none for companies and offices."""
+    return F.when(~gloss.rlike("公司|组织|局|部$"), F.get(F.split(gloss, "[，,；;、]"), F.lit(0)))
+
+
+def phrase_keys(phrases: DataFrame, lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """phrase and lemma_key: each word by its base form in the lexicon; phrases of one word are out."""
+    parts = F.filter(F.split(normal_key(F.col(phrase)), r"[\s-]+"), lambda p: p != "")
+    rows = phrases.select(F.col(phrase).alias("phrase")).distinct().withColumn("parts", parts).filter(F.size("parts") >= 2)
+    words = rows.select("phrase", F.posexplode("parts").alias("k", "word"))
+    tried = words.select("word").distinct().select("word", F.posexplode(lemma_candidates(F.col("word"))).alias("place", "form"))
+    base = tried.join(lexicon.select(F.col("term").alias("form")), "form").groupBy("word").agg(F.min_by("form", "place").alias("base"))
+    keyed = words.join(base, "word", "left").withColumn("base", F.coalesce("base", "word"))
+    return keyed.groupBy("phrase").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]), " ").alias("lemma_key"))
+
+
+def chunk_lookup(selected: DataFrame, chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Selected phrases with the chunk of the same base forms; the first chunk by name if several share them."""
+    known = phrase_keys(chunks, lexicon).groupBy("lemma_key").agg(F.min("phrase").alias("chunk"))
+    return phrase_keys(selected.filter(F.trim("phrase").contains(" ")), lexicon).join(known, "lemma_key", "left").select("phrase", "lemma_key", "chunk")
+
+
+def spaced_aliases(lexicon: DataFrame) -> DataFrame:
+    """alias and term of hyphenated headwords that may be written with spaces: at least two open-class words, none ambiguous, none a headword itself."""
+    keyed = phrase_keys(lexicon.filter(F.col("term").contains("-")).select(F.col("term").alias("phrase")), lexicon)
+    parts = F.split("lemma_key", " ")
+    open_words = F.size(F.filter(parts, lambda p: ~p.isin(*CLOSED_CLASS)))
+    good = keyed.filter(~F.exists(parts, lambda p: F.char_length(p) < 2) & (open_words >= 2) & ~F.col("lemma_key").isin(*AMBIGUOUS_SPACED))
+    return good.join(lexicon.select(F.col("term").alias("lemma_key")), "lemma_key", "left_anti").groupBy(F.col("lemma_key").alias("alias")).agg(F.min("phrase").alias("term"))
+
+
+def decoded_details(rows: DataFrame, column: str = "row") -> DataFrame:
+    """word, senses, phonetic, pos, collins, oxford, rank, lemma, examples of positional arrays; an odd last example is dropped."""
+    at = lambda k: F.get(column, F.lit(k))
+    tail = F.slice(F.col(column), F.lit(9), F.greatest(F.size(column) - 8, F.lit(0)))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size(tail) / 2).cast("int") - 1, F.lit(0))), lambda k: k * 2 + 1 < F.size(tail)), lambda k: F.struct(F.get(tail, k * 2).alias("en"), F.get(tail, k * 2 + 1).alias("zh")))
+    return rows.filter(F.coalesce(F.trim(at(0)), F.lit("")) != "").select(
+        F.trim(at(0)).alias("word"), F.filter(F.split(F.coalesce(at(1), F.lit("")), "\n"), lambda s: F.trim(s) != "").alias("senses"), F.nullif(at(2), F.lit("")).alias("phonetic"), F.nullif(at(3), F.lit("")).alias("pos"),
+        F.coalesce(at(4).try_cast("int"), F.lit(0)).alias("collins"), F.coalesce(at(5).try_cast("int") == 1, F.lit(False)).alias("oxford"), at(6).try_cast("int").alias("rank"), F.nullif(at(7), F.lit("")).alias("lemma"), pairs.alias("examples"),
+    )
+
+
+def wants_gloss(show: Column, gloss: Column, chunk: Column, proper: Column, hard: Column, super_hard: Column) -> Column:
+    """Whether a span shows its gloss: chunks and names always, words if they are far beyond what is known."""
+    return show & (F.coalesce(gloss, F.lit("")) != "") & (chunk | proper | (super_hard & hard))

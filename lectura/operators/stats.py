@@ -26,10 +26,12 @@ def top(articles: DataFrame, key: str) -> DataFrame:
 
 
 def learning_stats(articles: DataFrame, memory: DataFrame, now: Column) -> DataFrame:
-    """One row: opened this week, completed, liked, words and phrases being learned, favourite source and category."""
+    """One row: articles opened ever, today and this week, words of this week and being learned, favourite source and category."""
     week = now - F.make_dt_interval(days=F.lit(7))
-    counts = articles.agg(F.count_if(F.col("last_opened_at") >= week).alias("opened_7d"), F.count_if("read_completed").alias("completed"), F.count_if("liked").alias("liked"))
-    learned = memory.agg(F.count_if((F.col("kind") == "word") & (F.col("status") == "learning")).alias("words"), F.count_if((F.col("kind") == "phrase") & (F.col("status") == "learning")).alias("phrases"))
+    at = F.col("last_opened_at")
+    counts = articles.agg(F.count(at).alias("opened_total"), F.count_if(local_day(at) == local_day(now)).alias("opened_today"), F.count_if(at >= week).alias("opened_7d"))
+    word = F.col("kind") == "word"
+    learned = memory.agg(F.count_if(word & (F.col("created_at") >= week)).alias("vocab_created_7d"), F.count_if(word & (F.col("status") == "learning")).alias("vocab_learning"))
     best = [top(articles, k).agg(F.first(k).alias(f"top_{k}")) for k in ("source", "category")]  # an aggregate without groups has a row even if there is nothing
     return counts.crossJoin(learned).crossJoin(best[0]).crossJoin(best[1])  # four frames of one row each
 
@@ -71,7 +73,7 @@ def kind_by_status(memory: DataFrame) -> DataFrame:
 
 def top_sources(articles: DataFrame, most: int = 6) -> DataFrame:
     by = articles.filter("last_opened_at is not null").groupBy("source").agg(F.count(F.lit(1)).alias("articles"), F.sum("dwell_ms").alias("dwell_ms"))
-    return by.orderBy(F.desc("dwell_ms"), "source").limit(most).select("source", "articles", F.expr("dwell_ms div 60000").alias("minutes"))
+    return by.orderBy(F.desc("dwell_ms"), F.desc("articles"), "source").limit(most).select("source", "articles", F.expr("dwell_ms div 60000").alias("minutes"))
 
 
 def reorder(feeds: DataFrame) -> DataFrame:

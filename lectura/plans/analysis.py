@@ -35,8 +35,8 @@ def a3_priority_max(spark: SparkSession, d: str) -> DataFrame:
     return L.feeds(spark, d).filter("priority > 0").groupBy("category").agg(F.max("priority").alias("priority"))
 
 
-@query("a4_learning_stats", f"""select (select count(*) from articles where last_opened_at >= {NOW_SQL} - to_days(7)) as opened_7d, (select count(*) from articles where read_completed) as completed, (select count(*) from articles where liked) as liked,
- (select count(*) from memory where kind = 'word' and status = 'learning') as words, (select count(*) from memory where kind = 'phrase' and status = 'learning') as phrases,
+@query("a4_learning_stats", f"""select (select count(last_opened_at) from articles) as opened_total, (select count(*) from articles where last_opened_at::date = date '2024-01-31') as opened_today, (select count(*) from articles where last_opened_at >= {NOW_SQL} - to_days(7)) as opened_7d,
+ (select count(*) from memory where kind = 'word' and created_at >= {NOW_SQL} - to_days(7)) as vocab_created_7d, (select count(*) from memory where kind = 'word' and status = 'learning') as vocab_learning,
  (select source from articles group by source having sum(open_count) > 0 order by sum(open_count) desc, source limit 1) as top_source, (select category from articles group by category having sum(open_count) > 0 order by sum(open_count) desc, category limit 1) as top_category""", ("articles", "memory"))
 def a4_learning_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.learning_stats(L.articles(spark, d), L.memory(spark, d), L.now_column())
@@ -66,7 +66,7 @@ def a8_kind_status(spark: SparkSession, d: str) -> DataFrame:
     return stats.kind_by_status(L.memory(spark, d))
 
 
-@query("a9_top_sources", "select source, count(*) as articles, sum(dwell_ms)::bigint // 60000 as minutes from articles where last_opened_at is not null group by source order by sum(dwell_ms) desc, source limit 6", ("articles",))
+@query("a9_top_sources", "select source, count(*) as articles, sum(dwell_ms)::bigint // 60000 as minutes from articles where last_opened_at is not null group by source order by sum(dwell_ms) desc, count(*) desc, source limit 6", ("articles",))
 def a9_top_sources(spark: SparkSession, d: str) -> DataFrame:
     return stats.top_sources(L.articles(spark, d))
 
@@ -446,3 +446,62 @@ def s7_knn_items(spark: SparkSession, d: str) -> DataFrame:
 @query("s8_distractors", f"with p as (select term, rank, 'gloss ' || (rank % 997) as gloss from ({POOL_SQL})), o as (select *, abs(rank - 2500) as distance, row_number() over (partition by gloss order by abs(rank - 2500), rank) as r from p where rank <> 2500 and gloss <> 'gloss ' || (2500 % 997)) select term, rank, gloss, distance from o where r = 1 order by distance, rank limit 3", ("lexicon",))
 def s8_distractors(spark: SparkSession, d: str) -> DataFrame:
     return lexical.distractors(pool(spark, d), 2500).select("term", "rank", "gloss", "distance")
+
+
+# --- hard words, names, phrases ----------------------------------------------------------------------------------------
+
+
+@query("l5_hard_words", "with c as (select term, rank, greatest(case when rank <= 1000 then 0 when rank <= 3000 then 1 when rank <= 5000 then 2 when rank <= 10000 then 3 when rank <= 20000 then 4 else 5 end - 2, 0) as steps from lexicon) select term, rank, steps::int as steps, steps > 0 or rank > 3000 as hard, steps >= 2 as super_hard from c", ("lexicon",))
+def l5_hard_words(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.hard_words(L.lexicon(spark, d)).select("term", "rank", "steps", "hard", "super_hard")
+
+
+@query("l6_hard_outside", """with t as (select distinct case when rank % 3 = 0 then term || '-' || lag(term) over (order by rank) when rank % 3 = 1 then term || '-zzz' else term || 'zzzz' end as term from lexicon where rank between 2 and 3000), p as (select term, unnest(list_filter(string_split(term, '-'), lambda x: x <> '')) as part from t where contains(term, '-')),
+ k as (select p.term, count(*) as n, count(l.term) as known from p left join lexicon l on l.term = p.part group by p.term) select t.term, not coalesce(n >= 2 and n = known, false) and length(regexp_replace(t.term, '[^A-Za-z]', '', 'g')) >= 7 as hard from t left join k using (term)""", ("lexicon",))
+def l6_hard_outside(spark: SparkSession, d: str) -> DataFrame:
+    lex = L.lexicon(spark, d)
+    r, before = F.col("rank"), F.lag("term").over(Window.orderBy("rank"))
+    made = lex.filter("rank between 2 and 3000").select(F.when(r % 3 == 0, F.concat("term", F.lit("-"), before)).when(r % 3 == 1, F.concat("term", F.lit("-zzz"))).otherwise(F.concat("term", F.lit("zzzz"))).alias("term"))
+    return lexical.hard_outside(made, lex)
+
+
+@query("l7_proper_nouns")
+def l7_proper_nouns(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.proper_nouns(L.articles(spark, d).filter("lang = 'en'").select("id", F.col("title").alias("text")))
+
+
+@query("l8_name_glosses", "with g as (select rank, case rank % 4 when 0 then '人名' when 1 then '多义，第二义' when 2 then '单义' else '总统；人名' end as gloss from lexicon) select rank, gloss, rank % 4 in (0, 3) as names, case rank % 4 when 1 then null else gloss end as shown from g", ("lexicon",))
+def l8_name_glosses(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("rank")
+    g = L.lexicon(spark, d).select("rank", F.when(r % 4 == 0, "人名").when(r % 4 == 1, "多义，第二义").when(r % 4 == 2, "单义").otherwise("总统；人名").alias("gloss"))
+    return g.select("rank", "gloss", lexical.is_name_gloss(F.col("gloss")).alias("names"), lexical.name_gloss(F.col("gloss")).alias("shown"))
+
+
+@query("l10_chunk_lookup")
+def l10_chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    lex = L.lexicon(spark, d).filter("rank <= 2000")
+    chunks = L.memory(spark, d).filter("kind = 'phrase'").select(F.col("term").alias("phrase"))
+    selected = chunks.select(F.concat(F.upper("phrase"), F.lit("s")).alias("phrase")).unionByName(chunks)
+    return lexical.chunk_lookup(selected, chunks, lex)
+
+
+@query("l11_spaced_aliases")
+def l11_spaced_aliases(spark: SparkSession, d: str) -> DataFrame:
+    lex = L.lexicon(spark, d)
+    paired = lex.filter("rank between 100 and 600").select(F.concat("term", F.lit("-"), F.lead("term").over(Window.orderBy("rank"))).alias("term"), "n", "rank").filter("term is not null")
+    return lexical.spaced_aliases(lex.filter("rank <= 1000").unionByName(paired.select("term", "n", "rank")))
+
+
+@query("l19_details", "with r as (select term, rank from lexicon where rank <= 500) select term as word, 2 as n_senses, case when rank % 2 = 0 then 'x' end as phonetic, rank % 6 as collins, rank % 2 = 1 as oxford, rank, (rank % 3)::int as n_examples from r", ("lexicon",))
+def l19_details(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("rank")
+    fixed = [F.concat(F.lit(" "), "term"), F.lit("one\ntwo\n"), F.when(r % 2 == 0, "x").otherwise(""), F.lit(""), (r % 6).cast("string"), (r % 2).cast("string"), r.cast("string"), F.lit("")]
+    tail = F.flatten(F.array_repeat(F.array(F.lit("en"), F.lit("zh")), (r % 3).cast("int")))
+    rows = L.lexicon(spark, d).filter("rank <= 500").select(F.concat(F.array(*fixed), tail, F.array(F.lit("odd"))).alias("row"))
+    return lexical.decoded_details(rows).select("word", F.size("senses").alias("n_senses"), "phonetic", "collins", "oxford", "rank", F.size("examples").alias("n_examples"))
+
+
+@query("l21_wants_gloss", "select id, definition <> '' and (kind = 'phrase' or status = 'mastered') as wants from memory", ("memory",))
+def l21_wants_gloss(spark: SparkSession, d: str) -> DataFrame:
+    m = L.memory(spark, d)
+    return m.select("id", lexical.wants_gloss(F.lit(True), F.col("definition"), F.col("kind") == "phrase", F.col("status") == "mastered", F.lit(True), F.lit(False)).alias("wants"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import catalog, prose, scoring
+from ..functions import prose, scoring
 from ..functions import text as T
-from ..operators import enrich, etl, lexical, merge
+from ..operators import enrich, etl, stats
 from ..sources import readers, writers
 from ..streaming import ingest
 from . import library as L
@@ -95,7 +95,7 @@ def t38_markdown(spark: SparkSession, d: str) -> DataFrame:
     return L.articles(spark, d).select("id", T.looks_like_markdown(F.col("url"), F.regexp_replace("content_text", r"(?m)^\s*[-*+]\s+|\*\*|\]\(|```", "")).alias("markdown"))
 
 
-@query("t42_formats", "select id, case when dwell_ms // 60000 < 60 then (dwell_ms // 60000) || ' min' else (dwell_ms // 3600000) || ' h ' || (dwell_ms // 60000 % 60) || ' min' end as minutes from articles", ("articles",))
+@query("t42_formats", "select id, case when dwell_ms // 60000 < 60 then (dwell_ms // 60000) || ' 分钟' when dwell_ms // 60000 % 60 = 0 then (dwell_ms // 3600000) || ' 小时' else (dwell_ms // 3600000) || ' 小时 ' || (dwell_ms // 60000 % 60) || ' 分' end as minutes from articles", ("articles",))
 def t42_formats(spark: SparkSession, d: str) -> DataFrame:
     return L.articles(spark, d).select("id", T.format_minutes(F.expr("dwell_ms div 60000")).alias("minutes"))
 
@@ -116,6 +116,32 @@ def n12_retry(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "region").select("r_regionkey", scoring.retry_seconds(F.col("r_regionkey")).cast("int").alias("seconds"))
 
 
+@query("t36_chat_url", "select distinct source, case source when 'src1' then 'https://api.openai.com/v1/chat/completions' when 'src2' then 'https://h/v1/chat/completions' else 'https://h/' || source || '/chat/completions' end as url from documents")
+def t36_chat_url(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("source")
+    base = F.when(s == "src1", "https://api.openai.com/").when(s == "src2", " https://h/v1/chat/completions/ ").otherwise(F.concat(F.lit("https://h/"), s, F.lit("//")))
+    return L.table(spark, d, "documents").select("source").distinct().select("source", T.chat_url(base).alias("url"))
+
+
+@query("t39_selections", "with t as (select doc_id, array_to_string(list_slice(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, (doc_id % 8)::int + 1), ' ') as t from documents) select doc_id, regexp_matches(t, '^[A-Za-z][A-Za-z''’-]*( [A-Za-z][A-Za-z''’-]*){1,5}$') as phrase, length(t) >= 2 and regexp_matches(t, '^[A-Z][A-Z0-9.\\-&/]*$') as caps from t")
+def t39_selections(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    t = L.table(spark, d, "documents").select("doc_id", F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 8).cast("int") + 1), " ").alias("t"))
+    return t.select("doc_id", T.is_phrase_selection(F.col("t")).alias("phrase"), T.is_all_caps(F.col("t")).alias("caps"))
+
+
+@query("t40_stable_json", "select doc_id, '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' as key from documents")
+def t40_stable_json(spark: SparkSession, d: str) -> DataFrame:
+    pairs = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    return L.table(spark, d, "documents").select("doc_id", T.stable_json(pairs).alias("key"))
+
+
+@query("t41_insight", "select '今日 0 · 本周 ' || count(*) filter (last_opened_at >= timestamp '2024-01-24 00:00:00') || ' · 总 ' || count(last_opened_at) || ' · 本周新词 3' as line from articles", ("articles",))
+def t41_insight(spark: SparkSession, d: str) -> DataFrame:
+    one = stats.learning_stats(L.articles(spark, d), L.memory(spark, d), L.now_column())
+    return one.select(T.insight(F.col("opened_today"), F.col("opened_7d"), F.col("opened_total"), F.lit(3)).alias("line"))
+
+
 # --- dictionary, exports ---------------------------------------------------------------------------------------------
 
 

@@ -41,7 +41,7 @@ _listed("p2_combined", "category = 'world' and source = 'src1' and not read_comp
 
 @query("p1_excerpt", "select id, substr(content_text, 1, 6000) as excerpt, length(content_text) as chars from articles", ("articles",))
 def p1_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", T.excerpt(F.col("content_text")).alias("excerpt"), F.char_length("content_text").cast("long").alias("chars"))
+    return L.articles(spark, d).select("id", T.excerpt(F.col("content_text")).alias("excerpt"), F.char_length("content_text").cast("长").alias("chars"))
 
 
 @query("p5_article", "select id, url, title, source, category, word_count, dwell_ms from articles where id = '7' limit 1", ("articles",))
@@ -68,7 +68,7 @@ def p8_memory_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_url_lengths", "select url, length(content_text) as chars from articles", ("articles",))
 def p9_url_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("url", F.char_length("content_text").cast("long").alias("chars"))
+    return L.articles(spark, d).select("url", F.char_length("content_text").cast("长").alias("chars"))
 
 
 @query("p9_recent_titles", f"select id, title from articles where coalesce(published_at, fetched_at) >= {NOW_SQL} - to_days(14)", ("articles",))
@@ -114,7 +114,7 @@ def _raw_books(spark: SparkSession, d: str) -> DataFrame:
 def books(spark: SparkSession, d: str) -> DataFrame:
     """The catalog's accepted rows: gid, title, authors, issued, shelf."""
     raw = _raw_books(spark, d).filter(catalog.accepted(F.col("gid"), F.col("kind"), F.col("language"), F.col("title")))
-    return raw.select(F.col("gid").cast("long").alias("gid"), T.collapse_spaces(F.col("title")).alias("title"), T.collapse_spaces(F.col("authors")).alias("authors"), "issued", catalog.shelf(F.col("bookshelves")).alias("shelf"))
+    return raw.select(F.col("gid").cast("长").alias("gid"), T.collapse_spaces(F.col("title")).alias("title"), T.collapse_spaces(F.col("authors")).alias("authors"), "issued", catalog.shelf(F.col("bookshelves")).alias("shelf"))
 
 
 _BOOKS_SQL = "with " + _RAW_BOOKS + """, books as (select gid::bigint as gid, trim(regexp_replace(title, '\\s+', ' ', 'g')) as title, trim(regexp_replace(authors, '\\s+', ' ', 'g')) as authors, issued,
@@ -142,7 +142,7 @@ def p18_gid_from_url(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "pages").select("url", catalog.gid_of(F.col("url")).alias("gid"))
 
 
-@query("p19_length_band", "select case when word_count <= 0 then '' when word_count < 600 then 'very short' when word_count < 900 then 'short' when word_count < 1200 then 'medium' when word_count < 1800 then 'long' when word_count < 3000 then 'very long' else 'extreme' end as band, count(*) as n from articles group by band", ("articles",))
+@query("p19_length_band", "select case when word_count <= 0 then '' when word_count < 600 then '很短' when word_count < 900 then '短' when word_count < 1200 then '中' when word_count < 1800 then '长' when word_count < 3000 then '很长' else '极长' end as band, count(*) as n from articles group by band", ("articles",))
 def p19_length_band(spark: SparkSession, d: str) -> DataFrame:
     return L.articles(spark, d).groupBy(catalog.length_band(F.col("word_count")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -247,7 +247,7 @@ def j4_new_urls(spark: SparkSession, d: str) -> DataFrame:
 def j5_upgrades(spark: SparkSession, d: str) -> DataFrame:
     stored = L.articles(spark, d)
     new = stored.select("url", "number", F.concat("content_text", F.lit(" more")).alias("content_text"))
-    return merge.upgrades(stored, new, F.lit(gates.TRUST_CHARS)).select("url", F.char_length("content_text").cast("long").alias("chars"))
+    return merge.upgrades(stored, new, F.lit(gates.TRUST_CHARS)).select("url", F.char_length("content_text").cast("长").alias("chars"))
 
 
 @query("j6_exact_titles", "with t as (select number, array_to_string(list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN]+'), lambda x: x <> ''), ' ') as k from articles) select number from (select *, row_number() over (partition by k order by number) as r from t) where r = 1 or k = ''", ("articles",))
@@ -308,14 +308,14 @@ def j15_cache_valid(spark: SparkSession, d: str) -> DataFrame:
 @query("p24_translation_map", f"with {_PARA_SQL} select article_id, count(*) as n, min(translated_text) as least from tr group by article_id", ("articles",))
 def p24_translation_map(spark: SparkSession, d: str) -> DataFrame:
     maps = translations(spark, d).filter("scope = 'paragraph'").groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("scope_key", "translated_text"))).alias("m"))
-    return maps.select("article_id", F.size("m").cast("long").alias("n"), F.array_min(F.map_values("m")).alias("least"))
+    return maps.select("article_id", F.size("m").cast("长").alias("n"), F.array_min(F.map_values("m")).alias("least"))
 
 
 @query("j14_article_view", f"with {_PARA_SQL} select p.article_id, count(*) as paragraphs, count(t.translated_text) as translated, a.title, a.chapter_no from para p join articles a on a.id = p.article_id left join tr t on p.article_id = t.article_id and p.idx::varchar = t.scope_key and p.text = t.source_text group by all", ("articles",))
 def j14_article_view(spark: SparkSession, d: str) -> DataFrame:
     nested = j15_cache_valid(spark, d).groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("idx", "translated_text"))).alias("parts"))
     view = L.articles(spark, d).join(nested, F.col("id") == F.col("article_id"))
-    return view.select("article_id", F.size("parts").cast("long").alias("paragraphs"), F.size(F.filter("parts", lambda p: p["translated_text"].isNotNull())).cast("long").alias("translated"), "title", "chapter_no")
+    return view.select("article_id", F.size("parts").cast("长").alias("paragraphs"), F.size(F.filter("parts", lambda p: p["translated_text"].isNotNull())).cast("长").alias("translated"), "title", "chapter_no")
 
 
 @query("j16_cascade", "with gone as (select id from articles where number % 5 = 0) select (select count(*) from memory where article_id in (select id from articles where number % 5 <> 0)) as cascaded, (select count(*) from memory where article_id is null or article_id not in (select id from articles where number % 5 <> 0)) as nulled", ("articles", "memory"))

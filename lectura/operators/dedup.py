@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,71 +39,36 @@ def members(titles: DataFrame, key: str = "id", tokens: str = "tokens") -> DataF
     return titles.withColumn("node", F.min(key).over(Window.partitionBy(F.array_sort(F.array_distinct(tokens))))).select(key, "node")
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Keeps each row that is no duplicate of one kept before, in order."""
-    exact: set[tuple] = set()
-    index: dict[str, list[int]] = {}
-    sets: list[frozenset] = []
-    kept = []
-    for key, tokens in zip(rows["key"], rows["tokens"], strict=True):
-        tokens = tuple(tokens)
-        mine = frozenset(tokens)
-        again = bool(tokens) and tokens in exact
-        if not again and len(tokens) >= LEAST_TOKENS:
-            shared: dict[int, int] = {}
-            for token in mine:
-                for other in index.get(token, ()):
-                    shared[other] = shared.get(other, 0) + 1
-            again = any(n >= THRESHOLD * (len(mine) + len(sets[other]) - n) for other, n in shared.items())
-        if again:
-            continue
-        kept.append(key)
-        exact.add(tokens)
-        if len(tokens) >= LEAST_TOKENS:
-            for token in mine:
-                index.setdefault(token, []).append(len(sets))
-            sets.append(mine)
-    return pd.DataFrame({"key": kept})
-
-
 def greedy_kept(titles: DataFrame, title: str = "title", key: str = "id", order: str = "number") -> DataFrame:
-    """Keys of the rows that stay if each is dropped that duplicates an earlier kept one.
+    """Keys of the rows that stay if, in order, each is dropped that duplicates one kept before it.
 
-    Order decides only within groups that similarity connects, so exact copies go first (their earliest stays), then
-    every connected group is run through in its order; rows without any similar row stay and enter no group.
+    Rows with one token set share their fate but for the first, so sets are nodes; short titles only fall to exact
+    copies, empty ones never. Among nodes, those without an undecided earlier neighbour stay, their neighbours go, and
+    so on in rounds until no link is undecided; no group of similar titles is ever gathered. The order must be unique.
     """
     rows = titles.select(F.col(key).alias("key"), F.col(order).alias("o"), title_tokens(F.col(title)).alias("tokens"))
-    first = rows.filter(F.size("tokens") > 0).groupBy("tokens").agg(F.min_by("key", "o").alias("key"), F.min("o").alias("o")).unionByName(rows.filter(F.size("tokens") == 0), allowMissingColumns=True)
-    long = first.filter(F.size("tokens") >= LEAST_TOKENS).withColumn("node", F.min("o").over(Window.partitionBy(F.array_sort(F.array_distinct("tokens")))))
-    pairs = similar_pairs(long.filter("node = o").select(F.col("o").alias("id"), "tokens"))
-    group = _groups(long.select("node").distinct(), pairs)
-    placed = long.join(group, "node")
-    crowd = Window.partitionBy("group")
-    placed = placed.withColumn("size", F.count(F.lit(1)).over(crowd))
-    alone = placed.filter("size = 1").select("key")
-    run = placed.filter("size > 1").groupBy("group").applyInPandas(lambda pdf: _greedy(pdf.sort_values("o")), f"key {dict(rows.dtypes)['key']}")
-    return first.filter(F.size("tokens") < LEAST_TOKENS).select("key").unionByName(alone).unionByName(run).withColumnRenamed("key", key)
-
-
-def _groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and group (the least node that pairs lead to), by passing least labels on until none changes."""
-    spark = nodes.sparkSession
+    long = F.size("tokens") >= LEAST_TOKENS
+    empty = rows.filter(F.size("tokens") == 0).select("key")
+    short = rows.filter(~long & (F.size("tokens") > 0)).groupBy("tokens").agg(F.min_by("key", "o").alias("key")).select("key")
+    sets = rows.filter(long).groupBy(F.array_sort(F.array_distinct("tokens")).alias("set")).agg(F.min_by(F.struct("key", "tokens"), "o").alias("first"), F.min("o").alias("o"))
+    nodes = _cut(sets.select("o", "first.key", "first.tokens"))
+    links = _cut(similar_pairs(nodes.select(F.col("o").alias("id"), "tokens")).select("a", "b"))
+    gone = links.select(F.col("b").alias("o")).limit(0)
+    while not links.isEmpty():
+        stay = links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        fall = _cut(links.join(stay, "a", "left_semi").select(F.col("b").alias("o")).distinct())
+        gone = gone.unionByName(fall)
+        links = _cut(links.join(fall, F.col("b") == F.col("o"), "left_anti").join(fall, F.col("a") == F.col("o"), "left_anti"))
+    kept = nodes.join(gone, "o", "left_anti").select("key")
+    return kept.unionByName(short).unionByName(empty).withColumnRenamed("key", key)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, in the checkpoint folder of the session."""
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectura-"))
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).checkpoint()
-    label = nodes.withColumn("group", F.col("node")).checkpoint()
-    for _ in range(64):
-        heard = both.join(label, F.col("y") == F.col("node")).groupBy("x").agg(F.min("group").alias("heard"))
-        new = label.join(heard, F.col("node") == F.col("x"), "left").select("node", F.least("group", F.coalesce("heard", "group")).alias("new"), "group").checkpoint()
-        # the label of one's label: paths halve, so rounds grow with the logarithm of their length
-        far = new.select(F.col("node").alias("at"), F.col("new").alias("jump"))
-        label = new.join(far, F.col("new") == F.col("at")).select("node", F.least("new", "jump").alias("group"), F.col("group").alias("before")).checkpoint()
-        if label.filter("group <> before").isEmpty():
-            break
-        label = label.select("node", "group")
-    return label.select("node", "group")
+    return df.checkpoint()
 
 
 def prefix_length(n: int, threshold: float = THRESHOLD) -> int:

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, texts
+from .common import bounded_batches, cut, slices, texts
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -149,9 +149,10 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links a, b that connect what differs in at most three bits, among distinct fingerprints (column fp)."""
-    from pyspark.sql import Window
-
-    rows = nodes.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("k")).select("fp", "k.key", F.lit(0).cast("long").alias("sub"), "k.turn", "k.rest")
+    # 24 rows come from one, so they are made in as many tasks as a shuffle has, however small the fingerprints are
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.select("fp").repartition(tasks, F.xxhash64("fp"))
+    rows = spread.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("k")).select("fp", "k.key", F.lit(0).cast("long").alias("sub"), "k.turn", "k.rest")
     parts = []
     for width in (8, 6, None):
         rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "sub")))
@@ -166,8 +167,6 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links lead to, its own included) of every row."""
-    from .common import cut
-
     marked = cut(fingerprints(df, doc_id, text, shingle))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), crowd))

@@ -17,7 +17,7 @@ from .registry import query
 
 @query("a1_counts_by_source", "select source, count(*) as n from articles group by source", ("articles",))
 def a1_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return stats.counts_by_source(L.articles(spark, d))
+    return stats.counts_by_source(L.articles(spark, d, reading=False))
 
 
 @query("a2_source_opens", "select source, sum(open_count)::bigint as opens from articles group by source having sum(open_count) > 0", ("articles",))
@@ -73,7 +73,7 @@ def a9_top_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a16_fulltext_ratio", "select source, avg((word_count >= 400)::int)::double as ratio from articles group by source", ("articles",))
 def a16_fulltext_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).groupBy("source").agg(F.avg((F.col("word_count") >= gates.LEAST_WORDS).cast("int")).alias("ratio"))
+    return L.articles(spark, d, reading=False).groupBy("source").agg(F.avg((F.col("word_count") >= gates.LEAST_WORDS).cast("int")).alias("ratio"))
 
 
 @query("a18_chart_scale", f"with {_DAILY_SQL} select max(dwell_ms // 60000) as most, sum(dwell_ms // 60000)::bigint as minutes, sum(words)::bigint as words from daily", ("articles",))
@@ -106,12 +106,12 @@ def w5_top2_examples(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w7_first_n_per_feed", f"select id, source, r as place from (select id, source, row_number() over (partition by source order by {NEWEST_SQL}) as r from articles) where r <= 40", ("articles",))
 def w7_first_n_per_feed(spark: SparkSession, d: str) -> DataFrame:
-    return listing.first_per_group(L.articles(spark, d), "source", listing.newest_first(), 40).select("id", "source", "place")
+    return listing.first_per_group(L.articles(spark, d, reading=False), "source", listing.newest_first(), 40).select("id", "source", "place")
 
 
 @query("s6_sidebar", """with c as (select source, count(*) as n from articles where number % 3 = 1 group by source) select f.id, case category when 'world' then 1 when 'tech' then 2 when 'finance' then 3 when 'other' then 4 when 'book' then 5 else 99 end as section, coalesce(n, 0) as n_items from feeds f left join c on c.source = f.name where coalesce(n, 0) > 0 or f.origin = 'user'""", ("feeds",))
 def s6_sidebar(spark: SparkSession, d: str) -> DataFrame:
-    counts = stats.counts_by_source(L.articles(spark, d).filter("number % 3 = 1"))
+    counts = stats.counts_by_source(L.articles(spark, d, reading=False).filter("number % 3 = 1"))
     return listing.sidebar(L.feeds(spark, d), counts).select("id", F.col("section").cast("int").alias("section"), "n_items")
 
 
@@ -253,7 +253,7 @@ def st3_retention_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t16_cannot_beat", "select id, strlen(content_text) + strlen(content_text) // 16 + 1024 <= length(content_text) + 1200 as skip from articles", ("articles",))
 def t16_cannot_beat(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", gates.cannot_beat(F.octet_length("content_text"), F.char_length("content_text") + 1200).alias("skip"))
+    return L.articles(spark, d, reading=False).select("id", gates.cannot_beat(F.octet_length("content_text"), F.char_length("content_text") + 1200).alias("skip"))
 
 
 # --- row changes -----------------------------------------------------------------------------------------------------
@@ -273,12 +273,12 @@ def m6_short_purge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m7_blocked_purge", f"with {_GATED_SQL} select id from gated where {_PROTECTED_SQL} or not (round_title or links::double / greatest(words, 1) * 1000 > 80 or transcript)", ("entries",))
 def m7_blocked_purge(spark: SparkSession, d: str) -> DataFrame:
-    return merge.without_blocked(L.entries(spark, d)).select("id")
+    return merge.without_blocked(L.entries(spark, d, reading=True)).select("id")
 
 
 @query("m8_word_counts", "select id, len(regexp_extract_all(content_text, '\\S+')) as word_count from articles where trim(content_text) <> ''", ("articles",))
 def m8_word_counts(spark: SparkSession, d: str) -> DataFrame:
-    unset = L.articles(spark, d).withColumn("word_count", F.when(F.col("number") % 2 == 0, 0).otherwise(F.col("word_count")))
+    unset = L.articles(spark, d, reading=False).withColumn("word_count", F.when(F.col("number") % 2 == 0, 0).otherwise(F.col("word_count")))
     return merge.with_word_counts(unset).select("id", "word_count")
 
 
@@ -305,7 +305,7 @@ def m3_liked_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m4_body_upgrade", """with new as (select id, case when number % 4 = 0 then content_text || ' longer' else content_text end as t from articles where number % 2 = 0) select a.id, length(coalesce(n.t, a.content_text)) as chars, a.origin = 'rss' and n.t is not null and n.t <> a.content_text as invalidated from articles a left join new n on n.id = a.id and a.origin = 'rss'""", ("articles",))
 def m4_body_upgrade(spark: SparkSession, d: str) -> DataFrame:
-    a = L.articles(spark, d)
+    a = L.articles(spark, d, reading=False)
     new = a.filter("number % 2 = 0").select(F.col("id").alias("new_id"), F.when(F.col("number") % 4 == 0, F.concat("content_text", F.lit(" longer"))).otherwise(F.col("content_text")).alias("t"))
     joined = a.join(new, (F.col("id") == F.col("new_id")) & (F.col("origin") == "rss"), "left")
     return joined.select("id", F.char_length(F.coalesce("t", "content_text")).cast("long").alias("chars"), (F.col("t").isNotNull() & (F.col("t") != F.col("content_text"))).alias("invalidated"))
@@ -325,7 +325,7 @@ def d3_seed_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk1_insert_if_new", "select url, title from articles where number % 2 = 1 and url not in (select url from articles where number % 6 = 1)", ("articles",))
 def snk1_insert_if_new(spark: SparkSession, d: str) -> DataFrame:
-    a = L.articles(spark, d)
+    a = L.articles(spark, d, reading=False)
     new = a.filter("number % 2 = 1")
     return merge.insert_if_new(a.filter("number % 6 = 1"), new.unionByName(new)).select("url", "title")
 
@@ -371,12 +371,12 @@ _TOK_SQL = "list_filter(regexp_extract_all(lower({0}), '[a-z][a-z''-]*'), lambda
 @query("l13_tokens", f"select id, len({_TOK_SQL.format('content_text')}) as n, len(list_distinct({_TOK_SQL.format('content_text')})) as d from articles", ("articles",))
 def l13_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = T.difficulty_tokens(F.col("content_text"))
-    return L.articles(spark, d).select("id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("d"))
+    return L.articles(spark, d, reading=False).select("id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("d"))
 
 
 @query("l18_content_terms", f"select id, array_to_string(list_sort({_terms_sql('title')}), ' ') as terms from articles", ("articles",))
 def l18_content_terms(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", F.array_join(F.array_sort(T.content_terms(F.col("title"))), " ").alias("terms"))
+    return L.articles(spark, d, reading=False).select("id", F.array_join(F.array_sort(T.content_terms(F.col("title"))), " ").alias("terms"))
 
 
 @query("l2_lemma_lookup")
@@ -399,7 +399,7 @@ def l20_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.difficulty(L.articles(spark, d), L.lexicon(spark, d), L.memory(spark, d).filter("status = 'learning'"))
+    return lexical.difficulty(L.articles(spark, d, reading=False), L.lexicon(spark, d), L.memory(spark, d).filter("status = 'learning'"))
 
 
 @query("l17_difficulty")
@@ -413,7 +413,7 @@ _CHEAP_SQL = f"cheap as (select id, round(len(list_filter({_TOK_SQL.format('cont
 def _cheap(spark: SparkSession, d: str) -> DataFrame:
     """The share of long words, as scores that SQL can compute too."""
     t = T.difficulty_tokens(F.col("content_text"))
-    return L.articles(spark, d).select("id", F.round(F.size(F.filter(t, lambda x: F.char_length(x) >= 9)) / F.greatest(F.size(t), F.lit(1)), 6).alias("score"))
+    return L.articles(spark, d, reading=False).select("id", F.round(F.size(F.filter(t, lambda x: F.char_length(x) >= 9)) / F.greatest(F.size(t), F.lit(1)), 6).alias("score"))
 
 
 _EDGES_SQL = f"{_CHEAP_SQL}, q as (select quantile_cont(score, [0.15, 0.4, 0.7, 0.9]) as q from cheap), e as (select q[1] * 0.5 + 0.01 as a, q[2] * 0.5 + 0.025 as b, q[3] * 0.5 + 0.05 as c, q[4] * 0.5 + 0.09 as d from q), e1 as (select greatest(a, 0.001) as a, b, c, d from e), e2 as (select a, greatest(b, a + 0.001) as b, c, d from e1), e3 as (select a, b, greatest(c, b + 0.001) as c, d from e2), edges as (select round(a, 6) as e1, round(b, 6) as e2, round(c, 6) as e3, round(greatest(d, c + 0.001), 6) as e4 from e3)"
@@ -467,7 +467,7 @@ def l6_hard_outside(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l7_proper_nouns")
 def l7_proper_nouns(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.proper_nouns(L.articles(spark, d).filter("lang = 'en'").select("id", F.col("title").alias("text")))
+    return lexical.proper_nouns(L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.col("title").alias("text")))
 
 
 @query("l8_name_glosses", "with g as (select rank, case rank % 4 when 0 then '人名' when 1 then '多义，第二义' when 2 then '单义' else '总统；人名' end as gloss from lexicon) select rank, gloss, rank % 4 in (0, 3) as names, case rank % 4 when 1 then null else gloss end as shown from g", ("lexicon",))

@@ -41,7 +41,7 @@ def t15_choose_body(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t17_title_tokens", "select id, array_to_string(list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN]+'), lambda x: x <> ''), ' ') as tokens from articles", ("articles",))
 def t17_title_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", F.array_join(T.title_tokens(F.col("title")), " ").alias("tokens"))
+    return L.articles(spark, d, reading=False).select("id", F.array_join(T.title_tokens(F.col("title")), " ").alias("tokens"))
 
 
 @query("a17_outcome_by_source", None)
@@ -119,23 +119,23 @@ def snk4_meta(spark: SparkSession, d: str) -> DataFrame:
 @query("snk8_chunks", "select id, ((row_number() over (partition by source order by number) - 1) // 10)::int as chunk from articles", ("articles",))
 def snk8_chunks(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source").orderBy("number"))
-    return L.articles(spark, d).select("id", F.expr("0").alias("z"), place.alias("p")).select("id", ((F.col("p") - 1) / 10).cast("int").alias("chunk"))
+    return L.articles(spark, d, reading=False).select("id", F.expr("0").alias("z"), place.alias("p")).select("id", ((F.col("p") - 1) / 10).cast("int").alias("chunk"))
 
 
 @query("d8_first_upgrade", "select source, min(number) as number from articles where word_count >= 400 group by source", ("articles",))
 def d8_first_upgrade(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source").orderBy("number"))
-    return L.articles(spark, d).filter("word_count >= 400").withColumn("r", place).filter("r = 1").select("source", "number")
+    return L.articles(spark, d, reading=False).filter("word_count >= 400").withColumn("r", place).filter("r = 1").select("source", "number")
 
 
 @query("d4_term_union", f"select id, len(list_distinct(list_concat({_terms_sql('title')}, {_terms_sql('left(content_text, 6000)')}))) as n from articles", ("articles",))
 def d4_term_union(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.with_terms(L.articles(spark, d)).select("id", F.size("terms").cast("long").alias("n"))
+    return ranking.with_terms(L.articles(spark, d, reading=False)).select("id", F.size("terms").cast("long").alias("n"))
 
 
 @query("a10_document_frequency", f"with t as (select id, unnest(list_distinct(list_concat({_terms_sql('title')}, {_terms_sql('left(content_text, 6000)')}))) as term from articles) select term, count(*) as df, round(greatest(ln((1.0 + (select count(*) from articles)) / (1.0 + count(*))), 0), 9) as idf from t group by term", ("articles",))
 def a10_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    a = L.articles(spark, d)
+    a = L.articles(spark, d, reading=False)
     df = ranking.with_terms(a).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = a.agg(F.count(F.lit(1)).alias("docs"))
     return df.crossJoin(F.broadcast(size)).select("term", "df", F.round(F.greatest(F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))), F.lit(0.0)), 9).alias("idf"))
@@ -144,12 +144,12 @@ def a10_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 @query("a19_existing_chapters", "select source, count(*) > 0 as there, count(*) as n from articles where origin = 'book' group by source", ("articles",))
 def a19_existing_chapters(spark: SparkSession, d: str) -> DataFrame:
     n = F.count(F.lit(1))
-    return L.articles(spark, d).filter("origin = 'book'").groupBy("source").agg((n > 0).alias("there"), n.alias("n"))
+    return L.articles(spark, d, reading=False).filter("origin = 'book'").groupBy("source").agg((n > 0).alias("there"), n.alias("n"))
 
 
 @query("a20_match_counters", f"with w as (select distinct unnest({_TOK_SQL.format('title')}) as term from articles where lang = 'en') select count(*) as words, count(l.term) as matched from w left join lexicon l using (term)", ("articles", "lexicon"))
 def a20_match_counters(spark: SparkSession, d: str) -> DataFrame:
-    words = L.articles(spark, d).filter("lang = 'en'").select(F.explode(T.difficulty_tokens(F.col("title"))).alias("term")).distinct()
+    words = L.articles(spark, d, reading=False).filter("lang = 'en'").select(F.explode(T.difficulty_tokens(F.col("title"))).alias("term")).distinct()
     return words.join(L.lexicon(spark, d).select("term", F.lit(1).alias("k")), "term", "left").agg(F.count(F.lit(1)).alias("words"), F.count("k").alias("matched"))
 
 
@@ -161,7 +161,7 @@ def s9_longest_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s10_append_page", "select number from articles where number < 70", ("articles",))
 def s10_append_page(spark: SparkSession, d: str) -> DataFrame:
-    shown, page = L.articles(spark, d).filter("number < 40").select("number"), L.articles(spark, d).filter("number between 30 and 69").select("number")
+    shown, page = L.articles(spark, d, reading=False).filter("number < 40").select("number"), L.articles(spark, d, reading=False).filter("number between 30 and 69").select("number")
     return shown.unionByName(page.join(shown, "number", "left_anti"))
 
 
@@ -233,7 +233,7 @@ _kernel("t31_heading_title", lambda t: (prose.heading_title(t.split("\n")[0]) or
 
 @query("l1_keys", "select id, regexp_replace(lower(trim(title)), '\\s+', ' ', 'g') as key from articles", ("articles",))
 def l1_keys(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", lexical.normal_key(F.col("title")).alias("key"))
+    return L.articles(spark, d, reading=False).select("id", lexical.normal_key(F.col("title")).alias("key"))
 
 
 @query("l9_phrase_keys")
@@ -249,7 +249,7 @@ def l15_l16_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n5_jitter", "select id, jitter between -0.3 and 0.3 as ok from (select id, 0.0 as jitter from articles)", ("articles",))
 def n5_jitter(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", scoring.jitter(F.col("id"), scoring.day_key(L.now_column())).between(-0.3, 0.3).alias("ok"))
+    return L.articles(spark, d, reading=False).select("id", scoring.jitter(F.col("id"), scoring.day_key(L.now_column())).between(-0.3, 0.3).alias("ok"))
 
 
 # --- enrichment, streams ----------------------------------------------------------------------------------------------
@@ -257,7 +257,7 @@ def n5_jitter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u2_card_backfill")
 def u2_card_backfill(spark: SparkSession, d: str) -> DataFrame:
-    queue = L.articles(spark, d).filter((F.trim("summary") == "") & (F.col("origin") != "book")).orderBy(F.desc("fetched_at"), "id").limit(200)
+    queue = L.articles(spark, d, reading=False).filter((F.trim("summary") == "") & (F.col("origin") != "book")).orderBy(F.desc("fetched_at"), "id").limit(200)
     return enrich.enriched(queue.select("id", "title"), "title", lambda items: [x[:60].title() for x in items], "card")
 
 

@@ -53,14 +53,14 @@ def t20_clean_body(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t28_paragraphs")
 def t28_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", F.posexplode(prose.reflow_column("content_text")).alias("idx", "paragraph"))
+    return L.articles(spark, d, reading=False).select("id", F.posexplode(prose.reflow_column("content_text")).alias("idx", "paragraph"))
 
 
 @query("t32_chapters")
 def t32_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Each source's documents as one book of plain text, divided again at the headings put between them."""
     block = F.concat(F.lit("CHAPTER "), F.col("number").cast("string"), F.lit(". Of "), F.col("source"), F.lit("\n\n"), F.left("content_text", F.lit(4000)))
-    few = L.articles(spark, d).filter("number < 200").select("source", "number", block.alias("block"))
+    few = L.articles(spark, d, reading=False).filter("number < 200").select("source", "number", block.alias("block"))
     book = few.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "block"))), lambda x: x["block"]), "\n\n").alias("raw"))
     return book.select("source", F.posexplode(prose.chapters_column("raw")).alias("idx", "c")).select("source", "idx", "c.title", F.char_length("c.text").alias("chars"))
 
@@ -70,13 +70,13 @@ def l12_annotate(spark: SparkSession, d: str) -> DataFrame:
     words = {r["term"]: r["rank"] for r in L.lexicon(spark, d).filter("rank <= 5000").select("term", "rank").collect()}  # 5000 words at most
     pairs = [r["term"] for r in L.lexicon(spark, d).filter("rank <= 60").select("term").collect()]
     lexicon = prose.Lexicon(words, frozenset(f"{a} {b}" for a, b in zip(pairs, pairs[1:], strict=False)))
-    spans = L.articles(spark, d).filter("lang = 'en'").select("id", F.posexplode(prose.annotate_column(lexicon)(F.col("title"))).alias("idx", "s"))
+    spans = L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.posexplode(prose.annotate_column(lexicon)(F.col("title"))).alias("idx", "s"))
     return spans.select("id", "idx", "s.type", "s.text", "s.key", "s.rank")
 
 
 @query("t34_clip", "select id, trim(left(title, 60)) as clipped from articles", ("articles",))
 def t34_clip(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", T.clip(F.col("title"), 60).alias("clipped"))
+    return L.articles(spark, d, reading=False).select("id", T.clip(F.col("title"), 60).alias("clipped"))
 
 
 @query("t35_strip_fences", "select event_id, json_extract_string(props, '$.k') as k, props is not null as has from events")
@@ -87,12 +87,12 @@ def t35_strip_fences(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t37_context", None)
 def t37_context(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).filter("lang = 'en'").select("id", T.context_around(F.col("content_text"), F.lit("the")).alias("context"))
+    return L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", T.context_around(F.col("content_text"), F.lit("the")).alias("context"))
 
 
 @query("t38_markdown", "select id, len(regexp_extract_all(content_text, '(?m)^#{{1,6}}\\s+\\S')) >= 2 or regexp_matches(content_text, '(?m)^\\s*\\d+\\.\\s+\\S') and regexp_matches(content_text, '(?m)^>\\s+\\S') as markdown from articles".replace("{{", "{").replace("}}", "}"), ("articles",))
 def t38_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", T.looks_like_markdown(F.col("url"), F.regexp_replace("content_text", r"(?m)^\s*[-*+]\s+|\*\*|\]\(|```", "")).alias("markdown"))
+    return L.articles(spark, d, reading=False).select("id", T.looks_like_markdown(F.col("url"), F.regexp_replace("content_text", r"(?m)^\s*[-*+]\s+|\*\*|\]\(|```", "")).alias("markdown"))
 
 
 @query("t42_formats", "select id, case when dwell_ms // 60000 < 60 then (dwell_ms // 60000) || ' 分钟' when dwell_ms // 60000 % 60 = 0 then (dwell_ms // 3600000) || ' 小时' else (dwell_ms // 3600000) || ' 小时 ' || (dwell_ms // 60000 % 60) || ' 分' end as minutes from articles", ("articles",))
@@ -180,7 +180,7 @@ def u1_batched_cards(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("overloaded")
         return [x.upper() for x in items]
 
-    return enrich.enriched(L.articles(spark, d).filter("summary = ''").select("id", "title"), "title", model, "card")
+    return enrich.enriched(L.articles(spark, d, reading=False).filter("summary = ''").select("id", "title"), "title", model, "card")
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------

@@ -36,8 +36,8 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document, with reading activity and likes; column order as the list views use it."""
+def articles(spark: SparkSession, sf_dir: str, reading: bool = True) -> DataFrame:
+    """One row a document, with reading activity and likes unless `reading` is off: outer joins can't be pruned, so who needs neither says so."""
     doc = F.col("doc_id")
     hours = F.make_dt_interval(hours=((doc * 37) % 1200).cast("int"))
     days = F.make_dt_interval(days=F.floor(((doc * 37) % 1200) / 24).cast("int"))
@@ -50,6 +50,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(book, "book").otherwise("rss").alias("origin"), F.when(book, F.floor(doc / 11) + 1).alias("chapter_no"),
         F.when(doc % 3 == 0, F.concat(F.lit("summary "), doc.cast("string"))).otherwise("").alias("summary"), T.word_count(F.col("text")).alias("word_count"),
     )
+    if not reading:
+        return base
     liked = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("liked_id")).distinct()
     joined = base.join(activity(spark, sf_dir), F.col("number") == F.col("article_id"), "left").join(liked, F.col("number") == F.col("liked_id"), "left")
     return joined.select(
@@ -60,7 +62,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a source: its most frequent category, a priority within it (of the first half of names), state and clock."""
-    by = articles(spark, sf_dir).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), F.max("published_at").alias("at"))
+    by = articles(spark, sf_dir, reading=False).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), F.max("published_at").alias("at"))
     feed = by.groupBy("source").agg(F.max_by("category", F.struct("n", "category")).alias("category"), F.max("at").alias("last_new_article_at"), F.sum("n").alias("n_articles"))
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
     return feed.select(
@@ -81,8 +83,8 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.orderBy(F.desc("n"), "term").limit(30_000).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles as feed entries, with planted defects so that every gate has cases."""
+def entries(spark: SparkSession, sf_dir: str, reading: bool = False) -> DataFrame:
+    """Articles as feed entries, with planted defects so that every gate has cases; with reading activity only if asked for."""
     n = F.col("number")
     body = F.when(n % 19 == 2, F.concat(F.lit("Skip to main content\n"), F.col("content_text"))).otherwise(F.col("content_text"))
     for rest, of, tail in ((1, 17, " Continue reading…"), (4, 29, " Subscription required."), (5, 31, " 12:34" * 20)):
@@ -90,7 +92,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(n % 37 == 6, F.concat(body, F.repeat(F.lit(" https://x.example"), F.floor(F.col("word_count") / 8).cast("int") + 1))).otherwise(body)
     title = F.when(n % 23 == 3, F.concat(F.lit("Weekly links: "), F.col("title"))).otherwise(F.col("title"))
     published = F.when(n % 41 == 7, now_column() - F.make_dt_interval(days=F.lit(40))).otherwise(F.col("published_at"))
-    return articles(spark, sf_dir).withColumns({"title": title, "content_text": body, "published_at": published})
+    return articles(spark, sf_dir, reading).withColumns({"title": title, "content_text": body, "published_at": published})
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ _listed("p2_combined", "category = 'world' and source = 'src1' and not read_comp
 
 @query("p1_excerpt", "select id, substr(content_text, 1, 6000) as excerpt, length(content_text) as chars from articles", ("articles",))
 def p1_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", T.excerpt(F.col("content_text")).alias("excerpt"), F.char_length("content_text").cast("long").alias("chars"))
+    return L.articles(spark, d, reading=False).select("id", T.excerpt(F.col("content_text")).alias("excerpt"), F.char_length("content_text").cast("long").alias("chars"))
 
 
 @query("p5_article", "select id, url, title, source, category, word_count, dwell_ms from articles where id = '7' limit 1", ("articles",))
@@ -68,22 +68,22 @@ def p8_memory_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_url_lengths", "select url, length(content_text) as chars from articles", ("articles",))
 def p9_url_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("url", F.char_length("content_text").cast("long").alias("chars"))
+    return L.articles(spark, d, reading=False).select("url", F.char_length("content_text").cast("long").alias("chars"))
 
 
 @query("p9_recent_titles", f"select id, title from articles where coalesce(published_at, fetched_at) >= {NOW_SQL} - to_days(14)", ("articles",))
 def p9_recent_titles(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).filter(F.coalesce("published_at", "fetched_at") >= L.now_column() - F.make_dt_interval(days=F.lit(14))).select("id", "title")
+    return L.articles(spark, d, reading=False).filter(F.coalesce("published_at", "fetched_at") >= L.now_column() - F.make_dt_interval(days=F.lit(14))).select("id", "title")
 
 
 @query("p10_rss_articles", "select id, source, word_count from articles where origin = 'rss'", ("articles",))
 def p10_rss_articles(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).filter("origin = 'rss'").select("id", "source", "word_count")
+    return L.articles(spark, d, reading=False).filter("origin = 'rss'").select("id", "source", "word_count")
 
 
 @query("p11_backfill_queue", "select id, title, fetched_at from articles where trim(summary) = '' and origin <> 'book' order by fetched_at desc, id limit 200", ("articles",))
 def p11_backfill_queue(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).filter((F.trim("summary") == "") & (F.col("origin") != "book")).orderBy(F.desc("fetched_at"), "id").limit(200).select("id", "title", "fetched_at")
+    return L.articles(spark, d, reading=False).filter((F.trim("summary") == "") & (F.col("origin") != "book")).orderBy(F.desc("fetched_at"), "id").limit(200).select("id", "title", "fetched_at")
 
 
 @query("p12_engaged_titles", "select title, case when liked then 2.0 else 1.0 end::double as weight from articles where liked or read_completed", ("articles",))
@@ -144,12 +144,12 @@ def p18_gid_from_url(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p19_length_band", "select case when word_count <= 0 then '' when word_count < 600 then '很短' when word_count < 900 then '短' when word_count < 1200 then '中' when word_count < 1800 then '长' when word_count < 3000 then '很长' else '极长' end as band, count(*) as n from articles group by band", ("articles",))
 def p19_length_band(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).groupBy(catalog.length_band(F.col("word_count")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return L.articles(spark, d, reading=False).groupBy(catalog.length_band(F.col("word_count")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p20_needs_summary", "select id, trim(summary) as blurb, trim(summary) = '' as needs from articles", ("articles",))
 def p20_needs_summary(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d).select("id", F.trim("summary").alias("blurb"), (F.trim("summary") == "").alias("needs"))
+    return L.articles(spark, d, reading=False).select("id", F.trim("summary").alias("blurb"), (F.trim("summary") == "").alias("needs"))
 
 
 @query("p21_needs_enrichment", "select id, kind, definition = '' or (kind = 'word' and word_type = '') as needs from memory", ("memory",))
@@ -179,7 +179,7 @@ _LABELS = [("world", "World"), ("tech", "Technology"), ("finance", "Finance")]
 @query("p23_category_label", "with labels_of as (select * from (values ('world', 'World'), ('tech', 'Technology'), ('finance', 'Finance')) v(category, label)) select distinct a.category, coalesce(label, a.category) as label from (select case lang when 'en' then 'world' when 'fr' then 'tech' when 'de' then 'finance' else 'other' end as category from documents) a left join labels_of using (category)")
 def p23_category_label(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.createDataFrame(_LABELS, "category string, label string")
-    return L.articles(spark, d).select("category").distinct().join(F.broadcast(labels), "category", "left").select("category", F.coalesce("label", "category").alias("label"))
+    return L.articles(spark, d, reading=False).select("category").distinct().join(F.broadcast(labels), "category", "left").select("category", F.coalesce("label", "category").alias("label"))
 
 
 @query("p25_feed_order", "select id, category, priority, row_number() over (order by category, priority desc, name) as place from feeds", ("feeds",))
@@ -210,13 +210,13 @@ _search("s2_catalog_search_author", "jane")
 
 @query("j1_imported_flag", _BOOKS_SQL + ", imported as (select distinct number as gid from (select doc_id as number from documents where doc_id % 11 = 0)) select b.gid, i.gid is not null as imported from books b left join imported i using (gid)")
 def j1_imported_flag(spark: SparkSession, d: str) -> DataFrame:
-    imported = L.articles(spark, d).filter("origin = 'book'").select(F.col("number").alias("there")).distinct()
+    imported = L.articles(spark, d, reading=False).filter("origin = 'book'").select(F.col("number").alias("there")).distinct()
     return books(spark, d).join(imported, F.col("gid") == F.col("there"), "left").select("gid", F.col("there").isNotNull().alias("imported"))
 
 
 @query("j2_feed_counts", "select f.id, coalesce(n, 0) as n from feeds f left join (select source, count(*) as n from articles group by source) c on f.name = c.source", ("feeds",))
 def j2_feed_counts(spark: SparkSession, d: str) -> DataFrame:
-    return L.feeds(spark, d).join(stats.counts_by_source(L.articles(spark, d)), F.col("name") == F.col("source"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return L.feeds(spark, d).join(stats.counts_by_source(L.articles(spark, d, reading=False)), F.col("name") == F.col("source"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("j3_affinity", """select a.id, coalesce(so, 0)::bigint as source_opens, coalesce(co, 0)::bigint as category_opens, coalesce(f.priority, 0) as source_priority, coalesce(cp, 0) as category_priority from articles a left join (select source, sum(open_count) as so from articles group by source) s on a.source = s.source
@@ -245,14 +245,14 @@ def j4_new_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_upgrades", """with new as (select url, number, content_text || ' more' as t, number % 4 as r from articles), ok as (select n.url, n.t from new n join articles a using (url) where a.origin = 'rss' and length(n.t) >= 2000 and a.word_count + 1 >= 400 and length(n.t) > length(a.content_text)) select url, length(t) as chars from ok""", ("articles",))
 def j5_upgrades(spark: SparkSession, d: str) -> DataFrame:
-    stored = L.articles(spark, d)
+    stored = L.articles(spark, d, reading=False)
     new = stored.select("url", "number", F.concat("content_text", F.lit(" more")).alias("content_text"))
     return merge.upgrades(stored, new, F.lit(gates.TRUST_CHARS)).select("url", F.char_length("content_text").cast("long").alias("chars"))
 
 
 @query("j6_exact_titles", "with t as (select number, array_to_string(list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN]+'), lambda x: x <> ''), ' ') as k from articles) select number from (select *, row_number() over (partition by k order by number) as r from t) where r = 1 or k = ''", ("articles",))
 def j6_exact_titles(spark: SparkSession, d: str) -> DataFrame:
-    keyed = L.articles(spark, d).select("number", F.array_join(T.title_tokens(F.col("title")), " ").alias("k"))
+    keyed = L.articles(spark, d, reading=False).select("number", F.array_join(T.title_tokens(F.col("title")), " ").alias("k"))
     return keyed.filter("k <> ''").groupBy("k").agg(F.min("number").alias("number")).select("number").unionByName(keyed.filter("k = ''").select("number"))
 
 
@@ -261,13 +261,13 @@ _TOKENS_SQL = "t as (select number, list_sort(list_distinct(list_filter(regexp_s
 
 @query("j7_jaccard_pairs", f"with {_TOKENS_SQL} select a.node as a, b.node as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) as similarity from nodes a join nodes b on a.node < b.node and len(list_intersect(a.s, b.s)) >= 0.85 * len(list_distinct(list_concat(a.s, b.s)))", ("articles",))
 def j7_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    titles = L.articles(spark, d).select(F.col("number").alias("id"), T.title_tokens(F.col("title")).alias("tokens"))
+    titles = L.articles(spark, d, reading=False).select(F.col("number").alias("id"), T.title_tokens(F.col("title")).alias("tokens"))
     return dedup.similar_pairs(titles).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("d2_greedy_kept")
 def d2_greedy_kept(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.greedy_kept(L.articles(spark, d).select("number", "title"), key="number")
+    return dedup.greedy_kept(L.articles(spark, d, reading=False).select("number", "title"), key="number")
 
 
 _CHAPTERS_SQL = "b as (select id, source, chapter_no from articles where origin = 'book')"
@@ -275,18 +275,18 @@ _CHAPTERS_SQL = "b as (select id, source, chapter_no from articles where origin
 
 @query("j8_chapter_neighbours", f"with {_CHAPTERS_SQL} select id, source, chapter_no, lag(id) over w as previous, lead(id) over w as next, count(*) over (partition by source) as chapters from b window w as (partition by source order by chapter_no)", ("articles",))
 def j8_chapter_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return stats.neighbours(L.articles(spark, d).filter("origin = 'book'"))
+    return stats.neighbours(L.articles(spark, d, reading=False).filter("origin = 'book'"))
 
 
 @query("j12_lookup_fallback")
 def j12_lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
-    words = L.articles(spark, d).filter("lang = 'en'").select(F.explode(F.array_distinct(T.difficulty_tokens(F.col("title")))).alias("term"))
+    words = L.articles(spark, d, reading=False).filter("lang = 'en'").select(F.explode(F.array_distinct(T.difficulty_tokens(F.col("title")))).alias("term"))
     return lexical.looked_up(words, L.lexicon(spark, d).filter("rank <= 3000"))
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """article_id, idx, text of the lines of every tenth article."""
-    a = L.articles(spark, d).filter("number % 10 = 1")
+    a = L.articles(spark, d, reading=False).filter("number % 10 = 1")
     return a.select(F.col("id").alias("article_id"), F.posexplode(F.split("content_text", "\n")).alias("idx", "text"))
 
 
@@ -314,13 +314,13 @@ def p24_translation_map(spark: SparkSession, d: str) -> DataFrame:
 @query("j14_article_view", f"with {_PARA_SQL} select p.article_id, count(*) as paragraphs, count(t.translated_text) as translated, a.title, a.chapter_no from para p join articles a on a.id = p.article_id left join tr t on p.article_id = t.article_id and p.idx::varchar = t.scope_key and p.text = t.source_text group by all", ("articles",))
 def j14_article_view(spark: SparkSession, d: str) -> DataFrame:
     nested = j15_cache_valid(spark, d).groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("idx", "translated_text"))).alias("parts"))
-    view = L.articles(spark, d).join(nested, F.col("id") == F.col("article_id"))
+    view = L.articles(spark, d, reading=False).join(nested, F.col("id") == F.col("article_id"))
     return view.select("article_id", F.size("parts").cast("long").alias("paragraphs"), F.size(F.filter("parts", lambda p: p["translated_text"].isNotNull())).cast("long").alias("translated"), "title", "chapter_no")
 
 
 @query("j16_cascade", "with gone as (select id from articles where number % 5 = 0) select (select count(*) from memory where article_id in (select id from articles where number % 5 <> 0)) as cascaded, (select count(*) from memory where article_id is null or article_id not in (select id from articles where number % 5 <> 0)) as nulled", ("articles", "memory"))
 def j16_cascade(spark: SparkSession, d: str) -> DataFrame:
-    left, children = L.articles(spark, d).filter("number % 5 <> 0"), L.memory(spark, d)
+    left, children = L.articles(spark, d, reading=False).filter("number % 5 <> 0"), L.memory(spark, d)
     cascaded = merge.cascaded(children, left, "article_id").agg(F.count(F.lit(1)).alias("cascaded"))
     return cascaded.crossJoin(merge.nulled(children, left, "article_id").agg(F.count_if(F.col("article_id").isNull()).alias("nulled")))
 

@@ -34,9 +34,9 @@ _gate("t6_full_text", "length(content_text) >= 2000 and prose >= 200 and not chr
 
 @query("t15_choose_body", f"with {_GATED_SQL} select id, case when number % 2 = 0 and prose >= 200 and not chrome and not cut and words >= 400 then 'page' when prose >= 200 and not chrome and not cut and words >= 400 then 'own' end as chosen from gated", ("entries",))
 def t15_choose_body(spark: SparkSession, d: str) -> DataFrame:
-    own, page = F.col("content_text"), F.when(F.col("number") % 2 == 0, F.concat("content_text", F.lit(" more")))
-    chosen = gates.choose_body(own, page)
-    return L.entries(spark, d).select("id", F.when(chosen == page, "page").when(chosen.isNotNull(), "own").alias("chosen"))
+    own, fetched = F.col("content_text"), F.col("number") % 2 == 0
+    chosen = gates.choose_body(own, F.when(fetched, own))
+    return L.entries(spark, d).select("id", F.when(chosen.isNotNull(), F.when(fetched, "page").otherwise("own")).alias("chosen"))
 
 
 @query("t17_title_tokens", "select id, array_to_string(list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN]+'), lambda x: x <> ''), ' ') as tokens from articles", ("articles",))

@@ -9,8 +9,8 @@ reweights it. Documents beyond `CUTOFF` in squared Mahalanobis distance are reje
 
 Most documents have no symbols or repeats at all, so covariances would be singular; each variance gets a floor
 (`FLOORS`), which makes this a regularised estimate. Medians and shares come from counts in fine bins, so no group is
-ever gathered, and every aggregate is combined before it is shuffled. Groups with fewer than `LEAST` documents are
-pooled within their language; a pool that is still smaller rejects nothing.
+ever gathered, and every aggregate is combined before it is shuffled. Sources with fewer than `LEAST` documents of a
+language are judged by that whole language; a language that is smaller itself rejects nothing.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and sources are groups of
 their own; texts are counted whole; repeated rows get equal results; empty tables give no rows; an input column named
@@ -155,13 +155,18 @@ def reject_outliers(df: DataFrame, text: str = "text", lang: str = "lang", sourc
     rows = cut(_vector(rows).drop(*COUNTS))
     sizes = rows.filter(~F.col("base_failed")).groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumns({"own": F.col("n") >= least, "__l": F.col("__lang"), "__s": F.col("__source")})
-    # a group's key is a number: its own, or that of its language's pool
-    pools = sizes.withColumn("pooled", F.when(F.col("own"), F.col("__s")))
-    key = F.xxhash64(F.coalesce(F.col("__l"), F.lit("\0")), F.coalesce(F.col("pooled"), F.lit("\0")), F.col("own").cast("int"))
-    keys = cut(pools.withColumn("__key", key).withColumn("pool", F.sum("n").over(Window.partitionBy("__key"))).filter(F.col("pool") >= least).select("__l", "__s", "__key"))
-    small = F.broadcast if keys.count() <= BROADCAST_GROUPS else (lambda x: x)
-    judged = rows.filter(~F.col("base_failed")).join(small(keys), F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))).select("__key", *FEATURES)
-    judged = cut(judged)
+    sizes = cut(sizes)
+    # a group's key is a number: its own, or that of its whole language for sources that are too small to judge by
+    number = lambda source, own: F.xxhash64(F.coalesce(F.col("__l"), F.lit("\0")), source, F.lit(own)).alias("__key")
+    single = sizes.filter("own").select("__l", "__s", number(F.coalesce("__s", F.lit("\0")), 1))
+    pools = sizes.groupBy("__l").agg(F.sum("n").alias("pool"), F.count_if(~F.col("own")).alias("few")).filter((F.col("few") > 0) & (F.col("pool") >= least))
+    pools = cut(pools.select("__l", number(F.lit("\0"), 0)))
+    small = F.broadcast if sizes.count() <= BROADCAST_GROUPS else (lambda x: x)
+    pooled = sizes.filter(~F.col("own")).alias("a").join(small(pools).alias("b"), F.col("a.__l").eqNullSafe(F.col("b.__l"))).select("a.__l", "a.__s", "b.__key")
+    keys = cut(single.unionByName(pooled))
+    passed = rows.filter(~F.col("base_failed"))
+    alike = passed.join(small(single), F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))).select("__key", *FEATURES)
+    judged = cut(alike.unionByName(passed.join(small(pools), F.col("__lang").eqNullSafe(F.col("__l"))).select("__key", *FEATURES)))
     fine = lambda d: F.floor(F.log(F.col(d) + 1e-9) * FINE_DISTANCE)
     shape = cut(_center(judged, "__key", small))
     for _ in range(STEPS):

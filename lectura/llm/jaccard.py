@@ -1,0 +1,162 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands for candidates, then the exact similarity.
+
+A-Z are lower-cased, words split at ASCII white space. A text's set holds the XXH64 of each run of `SHINGLE` words (of
+all words if there are fewer); two texts are near copies if their sets' similarity is `ALIKE` / 10 or more.
+
+Candidates: `BANDS` keys of `ROWS` minima each, so a pair that is exactly 0.8 alike shares a key but with a probability
+of (1 - 0.8^5)^24 = 7e-5, a closer pair with a lower one. Equal sets are one node from the start. Under each key all
+nodes are compared with the least one, then the nodes that are still apart with another one, then all pairs of nodes
+that are still apart; what earlier links connect is not compared again. So a large group of near copies makes about as
+many pairs as it has nodes under a key.
+
+Defined results: null and empty texts have the empty set and are alike; texts of any length are whole; rows with a null
+id all stay; an empty table gives no rows; `keep_one` uses two columns only and returns the input's columns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, cut, slices, texts
+from .components import components
+
+SHINGLE, ALIKE, SEED = 5, 8, 42
+BANDS, ROWS = 24, 5
+#: Shingles whose minima are taken by one step.
+STEP = 4096
+
+_mix = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+
+
+def shingles_of(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted set of hashes of a UTF-8 text's shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    begin, end = (end - size).tolist(), end[min(shingle, len(words)) - 1 :].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=False)], np.uint64))
+
+
+def keys_of(found: np.ndarray) -> np.ndarray:
+    """The band keys of a set of hashes (0 to BANDS - 1 in the lowest bits, so bands never meet)."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, found.size, STEP):
+        mixed = found[None, at : at + STEP] * _mix
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(1))
+    bands = np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, ROWS)], np.uint64)
+    return (bands & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach the similarity."""
+    if 10 * min(a.size, b.size) < ALIKE * max(a.size, b.size):
+        return False
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return 10 * both >= ALIKE * (a.size + b.size - both)
+
+
+def marked(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, node (of the set) and keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [shingles_of(t, shingle) for t in texts(part).cast(pa.large_binary()).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            keys = np.array([keys_of(s) for s in sets], np.uint64).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes), listed], names=["doc_id", "node", "keys"])
+
+    bounded_batches(df)
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, keys array<long>")
+
+
+def _confirmed(pairs: DataFrame, holder: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs a, b whose sets are alike; `holder` has a text of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            a, b = (texts(part, c).cast(pa.large_binary()) for c in ("text_a", "text_b"))
+            last, found, keep = None, None, []
+            for x, y in zip(a, b, strict=True):
+                if last is None or x != last:
+                    last, found = x, shingles_of(x.as_py(), shingle)
+                keep.append(alike(found, shingles_of(y.as_py(), shingle)))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: holder.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and component_id (the least doc_id that links of near copies lead to, its own included) of every row."""
+    rows = cut(marked(df, doc_id, text, shingle))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("keys", "doc_id").alias("keys"))
+    under = nodes.select("node", F.explode("keys").alias("key"))
+    shared = under.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    under = cut(under.join(shared, "key"))
+    # only nodes that share a key need a text; it is that of their least id
+    least = nodes.join(under.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"))
+    source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    holder = cut(_first(source.join(least, "doc_id"), shingle))
+    found = tried = None
+    roots = None
+    for turn in range(3):
+        at = under.withColumn("root", F.col("node"))
+        if roots is not None:
+            at = under.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        apart = at.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one < other").select("key")
+        at = at.join(apart, "key")
+        if turn < 2:
+            order = F.col("node") if turn == 0 else F.xxhash64("node", "key")
+            first = at.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("first"))
+            pairs = at.join(first, "key").filter("root <> first.root").select(F.col("first.node").alias("x"), F.col("node").alias("y"))
+        else:
+            other = at.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"))
+            pairs = at.join(other, "key").filter("node < y and root <> root_y").select(F.col("node").alias("x"), "y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = cut(_confirmed(pairs, holder, shingle))
+        if not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            roots = components(found)
+    joined = nodes.select("node", "least").withColumn("root", F.col("node"))
+    if roots is not None:
+        joined = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(joined.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def _first(rows: DataFrame, shingle: int) -> DataFrame:
+    """node and text of those rows (doc_id, text, node) whose text is the node's, once each; rows may repeat an id with other texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            node = part.column("node").to_pylist()
+            sets = (shingles_of(t, shingle) for t in texts(part).cast(pa.large_binary()).to_pylist())
+            keep = [np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64) == n for s, n in zip(sets, node, strict=True)]
+            yield part.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("node", "text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of the least doc_id of each component, and all whose id is null; columns as they are."""
+    found = near_copies(df.filter(F.col(doc_id).isNotNull()), doc_id, text, shingle)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = df.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
+    return chosen.unionByName(df.filter(F.col(doc_id).isNull()))

@@ -9,6 +9,10 @@ scored by one matrix product of presences with the folded landmark weights.
 Fitting takes a bounded sample of labelled rows: at most `SAMPLE` texts (whole ones) of each of at most `LANGUAGES`
 languages, those with the least hashed ids, so rows are chosen alike at every size. Every text is then scored whole.
 
+The score is a share among the learned languages, so it says nothing about texts in none of them. For that, `known` is
+the share of a text's n-grams that at least two training texts of its predicted language hold (one, of a language with
+fewer than `FEW` texts); it doesn't depend on how many languages are learned.
+
 Defined results: a text that is null or has no letter is `und` with score 0; with no labelled text at all everything is
 `und`; equal scores go to the first language in order; repeated rows get equal results; other columns pass through
 `identify`, and one named like an output is replaced by it; an empty table gives no rows.
@@ -30,6 +34,8 @@ from .common import bounded_batches, slices
 UNKNOWN = "und"
 LONGEST, WIDTH = 3, 1 << 15
 SAMPLE, LANGUAGES, LANDMARKS, RIDGE, SHARPNESS = 300, 200, 192, 1e-3, 4.0
+#: Training texts of a language below which one text is enough to make an n-gram known.
+FEW = 100
 #: Texts whose presences are scored by one product.
 ROWS = 64
 
@@ -68,14 +74,20 @@ class LanguageModel:
     languages: tuple[str, ...]
     weights: np.ndarray  # WIDTH x languages: the landmarks' presences folded with the regressions
     bias: np.ndarray
+    known: np.ndarray  # WIDTH x languages: 1 for the places of each language's known n-grams
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None], with_known: bool = False) -> tuple[list[str], list[float], list[float]]:
+        """Language and score of each text, and its share of known n-grams (0 without letters; only if asked for)."""
+        names, scores, known = [], [], []
         for at in range(0, len(texts), ROWS):
             matrix, norm = _presences(texts[at : at + ROWS])
             if not self.languages:
                 names += [UNKNOWN] * len(norm)
                 scores += [0.0] * len(norm)
+                known += [0.0] * len(norm) if with_known else []
                 continue
             margin = (matrix @ self.weights) / np.maximum(norm, 1)[:, None] + self.bias
             share = np.exp(SHARPNESS * (margin - margin.max(1, keepdims=True)))
@@ -83,7 +95,10 @@ class LanguageModel:
             sure = (1 / share.sum(1)).round(6)
             names += [self.languages[b] if n else UNKNOWN for b, n in zip(best, norm, strict=True)]
             scores += [float(s) if n else 0.0 for s, n in zip(sure, norm, strict=True)]
-        return names, scores
+            if with_known:
+                held = (matrix @ self.known)[np.arange(len(norm)), best] / np.maximum(norm**2, 1)
+                known += held.round(6).tolist()
+        return names, scores, known
 
 
 def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
@@ -92,7 +107,7 @@ def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     texts, labels = [texts[k] for k in keep], [labels[k] for k in keep]
     names = sorted(set(labels))
     if not names:
-        return LanguageModel((), np.zeros((WIDTH, 0), np.float32), np.zeros(0))
+        return LanguageModel((), np.zeros((WIDTH, 0), np.float32), np.zeros(0), np.zeros((WIDTH, 0), np.float32))
     each = max(1, landmarks // len(names))
     chosen = [k for name in names for k in [j for j, x in enumerate(labels) if x == name][:each]]
     marks, mark_norm = _presences([texts[k] for k in chosen])
@@ -102,16 +117,19 @@ def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     strong = value > 1e-6 * value.max()
     root = vector[:, strong] / np.sqrt(value[strong])
     parts = []
+    of = np.array(labels)[:, None] == np.array(names)
+    holders = np.zeros((WIDTH, len(names)), np.float32)
     for at in range(0, len(texts), ROWS):
         matrix, norm = _presences(texts[at : at + ROWS])
+        holders += matrix.T @ of[at : at + ROWS].astype(np.float32)
         parts.append((matrix @ marks.T).astype(np.float64) / norm[:, None])
     features = np.concatenate(parts) @ root
-    target = np.where(np.array(labels)[:, None] == np.array(names), 1.0, -1.0)
+    target = np.where(of, 1.0, -1.0)
     mean, bias = features.mean(0), target.mean(0)
     centered = features - mean
     solved = np.linalg.solve(centered.T @ centered + ridge * len(texts) * np.eye(centered.shape[1]), centered.T @ (target - bias))
     folded = root @ solved
-    return LanguageModel(tuple(names), (marks.T @ folded).astype(np.float32), bias - mean @ solved)
+    return LanguageModel(tuple(names), (marks.T @ folded).astype(np.float32), bias - mean @ solved, (holders >= np.where(of.sum(0) < FEW, 1, 2)).astype(np.float32))
 
 
 def sample_labelled(df: DataFrame, text: str, lang: str, order: Column, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
@@ -133,15 +151,17 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
     return train(*sample_labelled(df, text, lang, F.xxhash64(doc_id), **kwargs))
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", predicted: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the language of each text (of those learned, or `und`) and a score from 0 to 1. Only `text` is looked at."""
-    df = df.drop(predicted, score)
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", predicted: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """Adds the language of each text (of those learned, or `und`), a score from 0 to 1 and, if named, `known`. Only `text` is looked at."""
+    added = [predicted, score, *([known] if known else [])]
+    df = df.drop(*added)
     sent = bounded_batches(df).sparkContext.broadcast(model)  # WIDTH x languages numbers, whatever the corpus
-    schema = T.StructType([*df.schema.fields, T.StructField(predicted, T.StringType(), False), T.StructField(score, T.DoubleType(), False)])
+    schema = T.StructType([*df.schema.fields, T.StructField(predicted, T.StringType(), False), *(T.StructField(c, T.DoubleType(), False) for c in added[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            names, scores = sent.value.predict(part.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, predicted, score])
+            names, *numbers = sent.value.judge(part.column(text).to_pylist(), bool(known))
+            numbers = [pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), *numbers], names=[*part.schema.names, *added])
 
     return df.mapInArrow(run, schema)

@@ -5,15 +5,17 @@ a unit is a unit word or `%` right behind a number; a name is a word with a capi
 letter, digit or `,;:` and one white space, so not the first word of a sentence. In the template each number, name and
 unit is a typed placeholder; other words stand lower-cased.
 
-1. Every window of `WINDOW` template tokens of a benchmark item (or the whole item if it is shorter) that has at least
-   `LITERALS` words that aren't placeholders (all tokens of a shorter item but a third) gets an anchor: of its pairs of
+1. Every window of `WINDOW` template tokens of a benchmark item (or the whole item if it is shorter) that holds a word
+   that isn't a placeholder gets an anchor. It is strong if it has at least `LITERALS` such words (all tokens of a
+   shorter item but a third, or half of them if these are `WHOLE` or more). The anchor is, of its pairs of
    neighbouring words the one with the word that fewest of about `SAMPLE` documents hold (a word alone where no two
    words are neighbours). Documents that hold no anchor are out; which pair serves as anchor, and so the sample, has no
    influence on what is found.
 2. The windows of the remaining documents are hash-joined with the benchmark's.
 3. Matches on one diagonal (place in the document less place in the item) form a run. Over a run each slot value of the
-   item must stand for one and the same value of the document. A run that fails this counts only by its windows without
-   slots.
+   item must stand for one and the same value of the document, and the run must hold a strong window or `LITERALS` words
+   of the item in all. A run that fails this counts by its strong windows if these alone don't fail it, or else only by
+   its windows whose slots all have the item's values.
 
 Defined results: null and empty texts match nothing; texts are searched whole; repeated rows and items match alike and
 are listed once a pair of ids; rows with a null id are never listed, but `drop_contaminated` keeps or drops them by
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bind, cut
 
-WINDOW, LITERALS, SAMPLE = 10, 6, 2000
+WINDOW, LITERALS, WHOLE, SAMPLE = 10, 6, 4, 2000
 #: Benchmark windows up to this many are sent to all executors; more are joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
 NUMBER, NAME, UNIT = "", "", ""
@@ -66,13 +68,14 @@ def _windows(df: DataFrame, ids: str, size: Column, columns: list[str]) -> DataF
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, size, at, form, slots and words (those that aren't placeholders) of each window with enough words."""
+    """item_id, size, at, form, slots, words (those that aren't placeholders) and strong (enough words) of each window with a word."""
     marked = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("marked")).filter("item_id is not null and size(marked) > 0")
     marked = marked.dropDuplicates(["item_id", "marked"]).withColumns({"form": template(F.col("marked")), "size": F.least(F.size("marked"), F.lit(window))})
     cut = _windows(marked, "item_id", F.col("size"), ["size"])
     words = F.filter("slots", lambda t: ~F.ascii(t).between(0xE000, 0xE002))
     needed = F.when(F.col("size") == window, F.lit(literals)).otherwise(F.ceil(F.col("size") * 2 / 3))
-    return cut.withColumn("words", words).filter(F.size("words") >= needed)
+    half = (F.col("size") < window) & (F.size("words") >= WHOLE) & (F.size("words") * 2 >= F.col("size"))
+    return cut.withColumn("words", words).filter(F.size("words") > 0).withColumn("strong", (F.size("words") >= needed) | half)
 
 
 def _pairs(words: Column) -> Column:
@@ -113,15 +116,18 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     marked = marked.withColumn("form", template(F.col("marked")))
     met = None
     for size in sorted(sizes["sizes"] or [window]):
-        own = known.filter(F.col("size") == size).select("item_id", F.col("at").alias("item_at"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"))
+        own = known.filter(F.col("size") == size).select("item_id", F.col("at").alias("item_at"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"), "strong")
         found = _windows(marked, "doc_id", F.lit(size), []).join(small(own), F.col("form") == F.col("item_form"))
         met = found if met is None else met.unionByName(found)
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda z: F.ascii(z["a"]).between(0xE000, 0xE002))
-    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    places = F.filter(F.transform("item_slots", lambda t, k: F.when(~F.ascii(t).between(0xE000, 0xE002), F.col("item_at") + k)), lambda x: x.isNotNull())
+    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"), "strong", places.alias("places"))
     # a group holds at most one item's windows, once each
-    run = met.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_at").alias("all"), F.count_distinct(F.when(F.size("pairs") == 0, F.col("item_at"))).alias("bare"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    run = met.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_at").alias("all"), F.count_distinct(F.when(F.forall("pairs", lambda z: z["a"] == z["b"]), F.col("item_at"))).alias("same"), F.max("strong").alias("strong"), F.count_distinct(F.when(F.col("strong"), F.col("item_at"))).alias("n_strong"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("strong"), F.col("pairs"))))).alias("firm"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("literals"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))
-    run = run.withColumns({"n": F.when(consistent, F.col("all")).otherwise(F.col("bare")), "n_slots": F.size("pairs"), "n_changed": F.size(F.filter("pairs", lambda z: z["a"] != z["b"]))}).filter("n > 0")
+    firm = F.when(F.size("firm") == F.size(F.array_distinct(F.col("firm.a"))), F.col("n_strong")).otherwise(0)  # weak windows take nothing from strong ones
+    enough = F.col("strong") | (F.col("literals") >= literals)
+    run = run.withColumns({"n": F.when(consistent & enough, F.col("all")).otherwise(F.greatest("same", firm)), "n_slots": F.size("pairs"), "n_changed": F.size(F.filter("pairs", lambda z: z["a"] != z["b"]))}).filter("n > 0")
     best = F.max(F.struct("n", "n_slots", "n_changed")).alias("best")
     total = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     out = run.groupBy("doc_id", "item_id").agg(best).join(total, "item_id")

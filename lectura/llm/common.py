@@ -53,6 +53,14 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(df: DataFrame) -> SparkSession:
     """The frame's session, with Arrow batches of so few rows that those of long texts fit beside each other."""
     spark = df.sparkSession

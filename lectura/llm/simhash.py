@@ -13,9 +13,18 @@ Equal fingerprints are one node from the start. Under a key only a spanning fore
 Keys that hold more than `CROWD` fingerprints are split by the pigeonhole rule over the bits that the key leaves free:
 by four more bytes, then by four times six more bits; after that at most 2^18 different fingerprints can share a key.
 
+Near copies (`near_copies`, `keep_one`) are texts whose sets of five-word shingles are 0.8 alike or more. Their
+fingerprints differ in up to `COPY_BITS` bits, for which a ring of 64 bits has no exact keys that are long enough to
+tell texts apart. So these meet under `BANDS` keys of `MINIMA` least shingle hashes each; the ring's chains with the
+budgets of `COPY_BITS` and the full Hamming check then prune the meetings, and the exact similarity decides. A pair
+that is exactly 0.8 alike shares a key but with a probability of (1 - 0.8^5)^24 = 7e-5, a closer one with a lower one.
+Under each key all nodes are compared with the one that shares most keys with others; what is still apart then is
+compared, in blocks of bounded bytes, with all that stands under the key, each pair under its first common key only.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length are whole;
-a repeated row is linked to its like; rows with a null id get a component by the others' ids, null if there are none;
-an empty table gives no rows; `near_duplicates` uses two columns only and `keep_one` returns the input's columns.
+a repeated row is linked to its like; rows with a null id get a component by the others' ids, null if there are none
+(`near_copies` links a set that no row with an id has to nothing); an empty table gives no rows; `near_duplicates` and `near_copies` use two columns only. `keep_one` returns the input's
+columns: all rows that bear the least id of a group, or one row of a group without ids.
 """
 
 from __future__ import annotations
@@ -28,10 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, slices, texts
+from .common import bounded_batches, cut, slices, texts, unused
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
+#: Near copies: words of a shingle, tenths of similarity, differing bits, keys, and minima in each.
+COPY_SHINGLE, ALIKE, COPY_BITS, BANDS, MINIMA = 5, 8, 18, 24, 5
+#: Keys or nodes up to this many (16 bytes each) are sent to all executors; more are joined by shuffling.
+BROADCAST_LONGS = 1_000_000
+#: Bytes of shingle sets in a block of what stands under one key; shingles whose minima one step takes.
+BLOCK_BYTES, STEP = 1 << 19, 4096
 #: Fingerprints under one key that are compared as they are.
 CROWD = 2048
 
@@ -176,9 +191,226 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return marked.join(of_node, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of the least doc_id of each component, and all whose id is null; columns as they are."""
-    found = near_duplicates(df.filter(F.col(doc_id).isNotNull()), doc_id, text, shingle)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = df.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
-    return chosen.unionByName(df.filter(F.col(doc_id).isNull()))
+_mix = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * MINIMA, 1), np.uint64) | np.uint64(1)
+
+
+def shingles_of(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The sorted set of hashes of a UTF-8 text's shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    begin, end = (end - size).tolist(), end[min(shingle, len(words)) - 1 :].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=False)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes."""
+    held = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(held * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def keys_of(found: np.ndarray) -> np.ndarray:
+    """The keys of a set of hashes (0 to BANDS - 1 in the lowest bits, so bands never meet)."""
+    least = np.full(BANDS * MINIMA, 2**64 - 1, np.uint64)
+    for at in range(0, found.size, STEP):
+        mixed = found[None, at : at + STEP] * _mix
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(1))
+    bands = np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, MINIMA)], np.uint64)
+    return (bands & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)
+
+
+def in_ring(differ: np.ndarray, bits: int = COPY_BITS) -> np.ndarray:
+    """Which differences have a chain of segments that keeps within its budget at each length, the whole ring included."""
+    each = np.bitwise_count(differ.view(np.uint8).reshape(-1, 8)).astype(np.int64)
+    found, most = np.zeros(differ.size, bool), np.arange(1, 9) * bits
+    for start in range(8):
+        found |= (8 * np.cumsum(np.roll(each, -start, 1), 1) <= most).all(1)
+    return found
+
+
+def _in_ring(differ: Column, bits: int = COPY_BITS) -> tuple[Column, Column]:
+    """Differing bits of each segment, and `in_ring` of these once they are column `each`."""
+    each = [F.bit_count(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255).cast("long"))) for k in range(8)]
+
+    def chain(start: int) -> Column:
+        within, held = F.lit(True), F.lit(0)
+        for length in range(1, 9):
+            held = held + F.get("each", F.lit((start + length - 1) % 8))
+            within = within & (held * 8 <= length * bits)
+        return within
+
+    found = F.lit(False)
+    for start in range(8):
+        found = found | chain(start)
+    return F.array(*each), found
+
+
+def _alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the others reach the similarity with one."""
+    size = np.fromiter(map(len, others), np.int64, len(others))
+    out = 10 * np.minimum(size, one.size) >= ALIKE * np.maximum(size, one.size)
+    some = np.flatnonzero(out & (size > 0))
+    if some.size and one.size:
+        flat = np.concatenate([others[k] for k in some.tolist()])
+        place = np.minimum(np.searchsorted(one, flat), one.size - 1)
+        both = np.add.reduceat((one[place] == flat).astype(np.int64), np.append(0, np.cumsum(size[some])[:-1]))
+        out[some] = 10 * both >= ALIKE * (one.size + size[some] - both)
+    return out
+
+
+def _set_hash(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def _sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, node (of the shingle set), fp (of the set) and keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [shingles_of(t) for t in texts(part).cast(pa.large_binary()).to_pylist()]
+            node = np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([majority(s) if s.size else 0 for s in sets], np.uint64).view(np.int64)
+            keys = np.array([keys_of(s) for s in sets], np.uint64).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array(fp), listed], names=["doc_id", "node", "fp", "keys"])
+
+    bounded_batches(df)
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, fp long, keys array<long>")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """node and its shingle set, once each, from rows of node and text; a text that isn't the node's gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [shingles_of(t) for t in texts(part).cast(pa.large_binary()).to_pylist()]
+            right = [np.uint64(_set_hash(s)).astype(np.int64) == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)]
+            held = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("node"), held], names=["node", "shingles"]).filter(pa.array(right, pa.bool_()))
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def _confirmed(pairs: DataFrame, holder: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            a, b = (part.column(c).to_pylist() for c in ("set_a", "set_b"))
+            keep = [bool(_alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)])[0]) for x, y in zip(a, b, strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: holder.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between what is apart and all others of a block; rows are sorted by key and block."""
+    columns = ("node", "root", "fp", "apart", "inner", "keys", "shingles")
+    held: dict[str, list] = {}
+    last = None
+
+    def solved(key: int) -> Iterator[pa.RecordBatch]:
+        node, root, fp, keys = (np.array(held[c], np.int64) for c in ("node", "root", "fp", "keys"))
+        inner, apart = np.array(held["inner"], bool), np.array(held["apart"], bool)
+        sets = [np.frombuffer(s, np.uint64) for s in held["shingles"]]
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        theirs = np.flatnonzero(inner)
+        links: list[tuple[int, int]] = []
+        for x in np.flatnonzero(~inner).tolist():
+            some = theirs[(root[theirs] != root[x]) & (~apart[theirs] | (node[theirs] > node[x]))]
+            some = some[~(keys[some, :band] == keys[x, :band]).any(1)]  # met under an earlier key
+            some = some[in_ring((fp[some] ^ fp[x]).view(np.uint64))]
+            if some.size:
+                links += [(int(node[x]), n) for n in node[some[_alike(sets[x], [sets[k] for k in some.tolist()])]].tolist()]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "other")]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in found], 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            this = tuple(int(c[a]) for c in found)
+            if last is not None and this != last:
+                yield from solved(last[0])
+                held = {}
+            last = this
+            for c in columns:
+                held.setdefault(c, []).extend(batch.column(c).slice(a, b - a).to_pylist())
+    if last is not None:
+        yield from solved(last[0])
+
+
+def _still_apart(under: DataFrame, roots: DataFrame, holder: DataFrame, block: int) -> DataFrame:
+    """Links that what is apart under a key has with all that stands there.
+
+    Under each key the nodes of the root that most nodes have are in; the others are apart. Both are dealt into blocks
+    of bounded bytes, and each block of what is apart (`inner` false) meets each block of all (`inner` true).
+    """
+    nodes = holder.select("node", "fp", "keys", "shingles")
+    at = under.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    at = at.join(split, "key").join(holder.select("node", (F.octet_length("shingles") + 256).alias("bytes")), "node")
+    most = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).groupBy("key")
+    most = most.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("bytes").alias("all"), F.max(F.struct("n", "root", "bytes")).alias("m"))
+    most = most.select("key", "most", F.ceil(F.col("all") / block).alias("ns"), F.ceil((F.col("all") - F.col("m.bytes")) / block).alias("n_apart"))
+    at = at.join(most, "key").withColumn("apart", F.col("root") != F.col("most"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    inner = at.select("key", "node", "root", "apart", F.lit(True).alias("inner"), every("n_apart").alias("one"), own("ns").alias("other"))
+    outer = at.filter("apart").select("key", "node", "root", "apart", F.lit(False).alias("inner"), own("n_apart").alias("one"), every("ns").alias("other"))
+    dealt = inner.unionByName(outer).join(nodes, "node").repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
+    return dealt.mapInArrow(_met, "a long, b long")
+
+
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and component_id (the least doc_id that links of near copies lead to, its own included) of every row."""
+    rows = cut(_sketched(df, doc_id, text))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    each = nodes.select("node", F.explode("keys").alias("key"))
+    shared = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    small = F.broadcast if shared.count() <= BROADCAST_LONGS else (lambda x: x)
+    under = cut(each.join(small(shared), "key"))
+    needed = cut(nodes.join(under.groupBy("node").agg(F.sum("n").alias("degree")), "node"))
+    small = F.broadcast if needed.count() <= BROADCAST_LONGS else (lambda x: x)
+    source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts_of = source.join(small(needed.select("node", F.col("least").alias("doc_id"))), "doc_id")
+    holder = cut(needed.join(_sets(texts_of), "node"))
+    # the node that shares most keys with others stands in the middle of its like
+    placed = under.join(small(holder.select("node", "degree", "fp")), "node")
+    hubs = placed.groupBy("key").agg(F.max(F.struct("degree", "node", "fp")).alias("hub"))
+    pairs = placed.join(hubs, "key").filter("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.col("fp").bitwiseXOR(F.col("hub.fp")).alias("differ"))
+    each, found = _in_ring(F.col("differ"))
+    pairs = pairs.distinct().withColumn("each", each).filter(found).select("a", "b")
+    links = cut(_confirmed(pairs, holder))
+    roots = components(links)
+    more = cut(_still_apart(under, roots, holder, block))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    joined = nodes.select("node", "least").join(small(roots), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(joined.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near copies: the rows of its least doc_id; columns as they are."""
+    bare = df.filter(F.col(doc_id).isNull())
+    if bare.isEmpty():
+        found = near_copies(df, doc_id, text).filter("doc_id = component_id")
+        name = unused(df, "kept_id")
+        return df.join(found.select(F.col("doc_id").alias(name)).distinct(), F.col(doc_id) == F.col(name), "left_semi")
+    # rows without an id stand behind all others, in an order of their own that is written down once
+    number, key = unused(df, "row_number"), unused(df, "row_key")
+    bare = cut(bare.withColumn(number, F.monotonically_increasing_id()))
+    keyed = df.filter(F.col(doc_id).isNotNull()).withColumn(number, F.lit(-1).cast("long")).unionByName(bare)
+    keyed = keyed.withColumn(key, F.struct(F.col(doc_id).isNull().alias("bare"), F.col(doc_id).alias("id"), F.col(number).alias("n")))
+    kept = near_copies(keyed, key, text).filter("doc_id = component_id").select(F.to_json("doc_id").alias(number)).distinct()
+    return keyed.drop(number).join(kept, F.to_json(key) == F.col(number), "left_semi").drop(key)

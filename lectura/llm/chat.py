@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns: a turn belongs to span number
-floor(tokens before it / share), where share = budget - history. Each span becomes a window: the system turn, then
-the latest earlier turns that together hold at most `history` tokens, then the span's own turns. A turn is never cut,
-so a window may exceed the budget by its last turn. Assistant turns are targets in their own window and masked where
-they are repeated as history.
+Prefix sums of turn tokens cut a conversation into spans of whole turns: a span takes turns as long as they and the
+system turn keep within the budget, of which all windows but the first set `history` aside; it ends at the latest where a
+block of `BLOCK` turns ends, so that no more turns than that are looked at together. Each span becomes a window: the
+system turn, then the latest turns of the span before that together hold at most `history` tokens and leave the window
+within the budget, then the span's own turns. So a window passes the budget only if one turn with the system turn does.
+Assistant turns are targets in their own window and masked where they are repeated as history.
 
 Template: `<turn ROLE>` line, the text, `</turn>` line. In roles and texts a backslash becomes `\\s`, `<` becomes
 `\\l`, and in roles `>` becomes `\\g` and a line feed `\\n`; so no control string can come from a text, and `unescape`
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Tokens (words between white space) of a window, and of the history that it may repeat.
 BUDGET, HISTORY = 512, 128
+#: Turns after which a span ends in any case.
+BLOCK = 1024
 TARGET, SYSTEM = "assistant", "system"
 
 
@@ -45,32 +48,44 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a window: conv_id, window (long, from 0), n_tokens, formatted, and `parts`.
 
     parts lists the window's turns in order as struct<begin, length, repeated, loss>: where the turn's escaped text
     lies in `formatted` (code points from 0), whether it was shown before, and whether it is under the loss mask.
     """
-    share = budget - history
     turns = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = turns.withColumn("tokens", token_count("text").cast("long"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = turns.withColumn("n", F.row_number().over(order))
-    system = (F.col("n") == 1) & (F.col("role") == SYSTEM)
-    running = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumns({"system": system, "spent": F.when(system, 0).otherwise(F.col("tokens"))})
-    turns = turns.withColumn("start", F.coalesce(F.sum("spent").over(running), F.lit(0)))
-    # the system turn stands before span 0 and is of no span's own
-    turns = turns.withColumn("span", F.floor(F.col("start") / share))
-    # where the next span starts: in descending order it is the least start seen in a later span
-    later = Window.partitionBy("conv_id").orderBy(F.col("span").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumns({"next_start": F.min("start").over(later), "next_span": F.min("span").over(later)})
-    # a span is as long as the share at least but for its last, so only the next span repeats a turn
-    repeats = ~F.col("system") & (F.col("next_start") - F.col("start") <= history)
+    conversation = Window.partitionBy("conv_id").orderBy("n")
+    turns = turns.withColumn("system", (F.col("n") == 1) & (F.col("role") == SYSTEM))
+    head = F.first(F.when(F.col("system"), F.struct("role", "text", "tokens")), ignorenulls=True).over(conversation.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the system turn stands before the first span and spends nothing of any
+    turns = turns.withColumns({"head": head, "spent": F.when(F.col("system"), 0).otherwise(F.col("tokens")), "block": F.floor((F.col("n") - 1) / block), "place": (F.col("n") - 1) % block})
+    room = budget - F.coalesce(F.col("head.tokens"), F.lit(0))
+    all_of_block = Window.partitionBy("conv_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turns = turns.withColumn("sizes", F.collect_list("spent").over(all_of_block))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("span"), F.expr("cast(array() as array<int>)").alias("done"))
+
+    def take(state: Column, size: Column) -> Column:
+        most = F.when((F.col("block") == 0) & (state["span"] == 0), room).otherwise(room - history)
+        fits = (F.size(state["done"]) == 0) | ((state["used"] + size) <= most)
+        span = F.when(fits, state["span"]).otherwise(state["span"] + 1)
+        return F.struct(F.when(fits, state["used"] + size).otherwise(size).alias("used"), span.alias("span"), F.concat(state["done"], F.array(span)).alias("done"))
+
+    spans = F.when(F.col("place") == 0, F.aggregate("sizes", start, take, lambda s: s["done"]))
+    turns = turns.withColumn("spans", F.first(spans, ignorenulls=True).over(all_of_block)).drop("sizes")
+    begins = (F.col("place") == 0) | (F.get("spans", F.col("place")) != F.get("spans", F.col("place") - 1))
+    turns = turns.withColumn("span", F.sum(F.when(begins, 1).otherwise(0)).over(conversation) - 1).drop("spans")
+    # what a span repeats comes from the span before
+    after = F.sum("spent").over(Window.partitionBy("conv_id").orderBy("span").rangeBetween(1, 1))
+    tail = F.sum("spent").over(Window.partitionBy("conv_id", "span").orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    turns = turns.withColumns({"after": after, "tail": tail, "next_span": F.col("span") + 1})
+    repeats = ~F.col("system") & F.coalesce(F.col("tail") <= F.least(F.lit(history), room - F.col("after")), F.lit(False)) & F.col("after").isNotNull()
     shown = F.filter(F.array(F.struct(F.col("span").alias("window"), F.lit(False).alias("repeated")), F.when(repeats, F.struct(F.col("next_span").alias("window"), F.lit(True).alias("repeated")))), lambda x: x.isNotNull())
     piece = F.struct("n", (F.col("shown.repeated")).alias("repeated"), F.struct("role", "text", "tokens").alias("turn"))
-    head = F.first(F.when(F.col("system"), F.struct("role", "text", "tokens")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shown_rows = turns.withColumn("head", head).withColumn("shown", F.explode(shown))
+    shown_rows = turns.withColumn("shown", F.explode(shown))
     grouped = shown_rows.groupBy("conv_id", F.col("shown.window").alias("window")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.first("head").alias("head"))
     again = F.when(F.col("head").isNotNull() & (F.col("window") > 0), F.array(F.struct(F.lit(1).alias("n"), F.lit(True).alias("repeated"), F.col("head").alias("turn")))).otherwise(F.expr("cast(array() as array<struct<n:int,repeated:boolean,turn:struct<role:string,text:string,tokens:bigint>>>)"))
     grouped = grouped.withColumn("pieces", F.concat(again, F.col("pieces")))

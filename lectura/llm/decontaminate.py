@@ -37,8 +37,9 @@ WINDOW, LITERALS, WHOLE, SAMPLE = 10, 6, 3, 2000
 #: more are joined by shuffling, each window dealt to this many places, so that a template that very many documents hold
 #: is not one task's work.
 BROADCAST_WINDOWS, PLACES = 100_000, 16
-#: Ids of documents with an anchor up to this many are sent to all executors; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+#: Ids of documents with an anchor, and the numbers of their words that begin one, up to these many are sent to all
+#: executors (under 50 MB); more are joined by shuffling.
+BROADCAST_IDS, BROADCAST_WORDS = 1_000_000, 4_000_000
 NUMBER, NAME, UNIT = "", "", ""
 UNITS = (
     "mm", "cm", "dm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "t", "ton", "tons", "oz", "lb", "lbs", "pound", "pounds", "ml", "cl", "l", "liter", "liters", "litre", "litres",

@@ -119,9 +119,9 @@ select page_id, host, path, rule, case rule {verdicts} else case when n_strict >
 
 
 def _sql_op5() -> str:
-    share, history = chat.BUDGET - chat.HISTORY, chat.HISTORY
+    budget, history = chat.BUDGET, chat.HISTORY
     return f"""
-with raw as (
+with recursive raw as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 numbered as (
@@ -130,13 +130,25 @@ numbered as (
     length(text) + (length(text) - length(replace(text, '\\', ''))) + (length(text) - length(replace(text, '<', ''))) as body,
     length(role) + (length(role) - length(replace(role, '\\', ''))) + (length(role) - length(replace(role, '<', ''))) + (length(role) - length(replace(role, '>', ''))) + (length(role) - length(replace(role, chr(10), ''))) as name from raw),
 sized as (select *, (n = 1 and role = 'system') as sys, body + name + 6 + 2 + 9 as chars from numbered),
-started as (select *, coalesce(sum(case when sys then 0 else tokens end) over (partition by conv_id order by n rows between unbounded preceding and 1 preceding), 0) as start from sized),
-spans as (select *, start // {share} as span from started),
-starts as (select conv_id, span, min(start) as first_start from spans group by all),
-nexts as (select conv_id, span, lead(first_start) over (partition by conv_id order by span) as next_start from starts),
-placed as (select s.*, x.next_start from spans s join nexts x on s.conv_id is not distinct from x.conv_id and s.span = x.span),
+upto as (
+  select *, {budget} - coalesce(max(case when sys then tokens end) over (partition by conv_id), 0) as room,
+    sum(case when sys then 0 else tokens end) over (partition by conv_id order by n) as total from sized),
+cuts as (
+  select conv_id, 1::bigint as n, 0::bigint as span, 0::hugeint as before, room from upto where n = 1
+  union all
+  select c.conv_id, min(u.n), c.span + 1, min(u.total - case when u.sys then 0 else u.tokens end), c.room
+  from cuts c join upto u on u.conv_id is not distinct from c.conv_id and u.n > c.n
+    and (u.total - c.before > c.room - case when c.span = 0 then 0 else {history} end or (u.n - 1) % {chat.BLOCK} = 0)
+  group by c.conv_id, c.span, c.room),
+ends as (select *, lead(n) over (partition by conv_id order by span) as next_n from cuts),
+spans as (select u.*, e.span, e.next_n from upto u join ends e on u.conv_id is not distinct from e.conv_id and u.n >= e.n and (e.next_n is null or u.n < e.next_n)),
+sums as (select conv_id, span, max(total) as last_total, sum(case when sys then 0 else tokens end) as own from spans group by all),
+placed as (
+  select s.*, not s.sys and x.own is not null and m.last_total - s.total + s.tokens <= least({history}, s.room - x.own) as again
+  from spans s join sums m on m.conv_id is not distinct from s.conv_id and m.span = s.span
+    left join sums x on x.conv_id is not distinct from s.conv_id and x.span = s.span + 1),
 sizes as (
-  select conv_id, sum(chars * (1 + case when not sys and next_start - start <= {history} then 1 else 0 end)) + (count(distinct span) - 1) * coalesce(max(case when sys then chars end), 0) as formatted_chars,
+  select conv_id, sum(chars * (1 + case when again then 1 else 0 end)) + (count(distinct span) - 1) * coalesce(max(case when sys then chars end), 0) as formatted_chars,
     count(distinct span) as n_windows, count(*) as n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
     coalesce(string_agg(case when role = 'assistant' then text end, '' order by n), '') as loss

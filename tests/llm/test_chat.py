@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import same_rows, views
@@ -20,7 +22,43 @@ def test_windows(spark):
             assert "<" not in body and r["formatted"][p["begin"] + p["length"] :].startswith("\n</turn>\n")
             assert not (p["repeated"] and p["loss"])
     assert sum(p["loss"] for r in rows for p in r["parts"]) == 4
-    assert all(r["n_tokens"] <= 40 + 10 + 2 for r in rows)
+    assert all(r["n_tokens"] <= 40 for r in rows) and any(p["repeated"] for r in rows for p in r["parts"][1:])
+
+
+def plain_spans(sizes, system, budget, history, block):
+    """Own and repeated turns of each window, by going through the turns."""
+    spans = []
+    for n, size in enumerate(sizes):
+        room = budget - system - (history if len(spans) > 1 else 0)
+        if not spans or n % block == 0 or sum(sizes[k] for k in spans[-1]) + size > room:
+            spans.append([])
+        spans[-1].append(n)
+    out = [(spans[0], [])]
+    for before, own in zip(spans, spans[1:]):
+        most = min(history, budget - system - sum(sizes[k] for k in own))
+        out.append((own, [k for k in before if sum(sizes[j] for j in before if j >= k) <= most]))
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history", "block", "system"), [(40, 10, 1024, 5), (40, 10, 7, 0), (20, 15, 4, 30), (512, 128, 1024, 50)])
+def test_same_as_going_through_the_turns(spark, budget, history, block, system):
+    rnd, rows, sizes = random.Random(budget + block), [], {}
+    for c in range(6):
+        sizes[c] = [rnd.choice([0, 1, 3, 8, 12, 39, 60, 300]) for _ in range(rnd.randrange(1, 40))]
+        rows += [(c, k, "system" if system and not k else "assistant", "w " * s) for k, s in enumerate([system, *sizes[c]] if system else sizes[c])]
+    got = {}
+    for r in chat.windows(spark.createDataFrame(rows, SCHEMA), budget=budget, history=history, block=block).collect():
+        got[r["conv_id"], r["window"]] = ([p["length"] // 2 for p in r["parts"]], [p["repeated"] for p in r["parts"]], r["n_tokens"])
+    for c, own in sizes.items():
+        shifted = [system, *own] if system else own
+        spans = plain_spans([0, *own] if system else own, system, budget, history, block)
+        assert sum(k[0] == c for k in got) == len(spans)
+        for w, (mine, again) in enumerate(spans):
+            again = [k for k in again if not (system and k == 0)]
+            first = [0] if system and w else []
+            lengths, repeated, tokens = got[c, w]
+            assert lengths == [shifted[k] for k in [*first, *again, *mine]] and repeated == [True] * len(first + again) + [False] * len(mine)
+            assert tokens <= budget or len([k for k in mine if not (system and k == 0)]) <= 1 and not again
 
 
 def test_contract(spark, small):

@@ -148,8 +148,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         hashes = hashes.unionByName(rows.select("doc_id", F.posexplode(words).alias("k", "word")).select("doc_id", "k", F.xxhash64("word").alias("hash")))
     # of each document the numbers of the words with which an anchor begins
     near = cut(hashes.join(small(anchors), F.col("hash") == F.col("anchor"), "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("words")))
-    ids = near.select("doc_id")
-    marked = _these(rows, ids).select("doc_id", tokens(F.col("text")).alias("marked")).join(F.broadcast(near) if ids.count() <= BROADCAST_IDS // 100 else near, "doc_id")
+    size = near.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")).first()
+    light = size["n"] <= BROADCAST_IDS and (size["words"] or 0) <= BROADCAST_WORDS
+    marked = rows.join(F.broadcast(near) if light else near, "doc_id").select("doc_id", "words", tokens(F.col("text")).alias("marked"))
     spelled = F.filter(F.transform("marked", lambda t, i: F.when((F.ascii(t) != ord(NUMBER)) & (t != UNIT + "%"), i)), lambda i: i.isNotNull())
     formed = marked.select("doc_id", template(F.col("marked")).alias("form"), raw_of(F.col("marked")).alias("raw"), bind(spelled, lambda w: F.transform("words", lambda k: F.get(w, k))).alias("places"))
     formed = formed.withColumn("places", F.filter("places", lambda k: k.isNotNull()))

@@ -4,17 +4,24 @@ Found are: e-mail addresses, IBANs, secrets (after words like token or key, well
 addresses, card numbers, US social security numbers, phone numbers, and persons (a title with a name, or a known given
 name with a surname; then every further mention of those names in the text).
 
-A surrogate comes from a permutation that is keyed by `key` and the entity's type and format. Characters keep their
-class (digit, vowel or consonant, case, script), separators stay, and given names become given names of the same gender
-and script. With P a keyed Feistel permutation over all values of a format, v becomes P^-1(P(v) + 1): one cycle through
-all values, so no two entities share a surrogate, none is its own, and equal entities are replaced alike in all
-documents without any table. Card numbers keep whether their check digit holds, IBANs get a valid one, addresses stay
-in public or private space. Within a document a surrogate that equals another entity or surrogate of the document goes
-one step further along the cycle, so distinct stays distinct and mentions of one entity stay together.
+A surrogate comes from a permutation that is keyed by `key` (the caller's secret) and the entity's type and format.
+Characters keep their class (digit, vowel or consonant, case, script), separators stay, and given names become given
+names of the same gender and script; the gender is the name's own, else the one that its title tells. With P a keyed
+Feistel permutation over all values of a format, v becomes P^-1(P(v) + 1): one cycle through all values, so no two
+entities share a surrogate, none is its own, and equal entities are replaced alike in all documents without any table.
+A listed given name gets one of the surrogate
+names of its gender and script (`pool`, made by a rule, apart from the listed ones), a name that is not listed is spelled
+anew letter by letter, and where a title tells its gender a surrogate name stands before that. So a name's spelled part
+is the same wherever it stands. Card numbers keep whether their check digit holds, IBANs get a valid one, addresses stay
+in public or private space.
+
+Surrogates depend on key and entity alone, so they agree across documents. Only where two entities of one document would
+get the same one (formats that meet in a spelling), or one would get another's original, does the later one go on along
+its cycle until it is free, and if its cycle has no free value, letters are added.
 
 Defined results: null texts stay null without entities, empty ones empty; texts are read whole, whatever their length;
 repeated rows get equal results; other columns pass through `replace_private` untouched, also those with the names used
-inside; an empty table gives no rows.
+inside (one named like `entities` is replaced by it); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +36,6 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, slices
 
-KEY = "surrogates-1"
-
 #: Given names by (gender, script), surnames by script; each list is a pool of surrogates of its own.
 GIVEN = {
     ("m", "Latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Peter Paul Hans Karl Jürgen Wolfgang Pierre Jean Michel André Carlos José Juan Miguel Antonio".split(),
@@ -47,13 +52,32 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Lady": "f"
 CLASSES = [
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áàâäãåéèêëíìîïóòôöõúùûü", "çñß", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜ", "ÇÑ",
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς", "ΑΕΗΙΟΥΩΆΈΉΊΌΎΏ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "āăąēėęěīįıōőūůűųý", "ćčďđğģķĺļľłńņňŕřśşšťţůźżž", "ĀĂĄĒĖĘĚĪĮİŌŐŪŮŰŲÝ", "ĆČĎĐĞĢĶĹĻĽŁŃŅŇŔŘŚŞŠŤŢŹŻŽ",
 ]
+#: Han characters of names become others of this list; a character outside it stays.
+HAN = "明华强伟芳丽敏静军杰勇艳涛磊洋娟秀英文玉兰平刚桂辉玲红春梅建国志海燕云峰林龙飞鹏宇浩天欣怡佳琪雪婷小大王李张刘陈杨黄赵吴周徐孙马朱胡郭何高罗郑梁谢宋唐许韩冯邓曹彭曾"
+CLASSES.append("".join(dict.fromkeys(HAN)))
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
+#: Surrogate given names: each stem with each ending.
+STEMS = {
+    "Latin": "Al Ber Cor Dan El Fer Gal Han Is Jul Kar Lor Mar Nor Ol Per Ros Sev Tan Val Wil Yor Zan Bel Cel Dor Em Fil Ger Hel".split(),
+    "Cyrillic": "Ал Бор Вал Гор Дар Ел Зор Ил Кир Лор Мил Нор Ол Пав Рад Сев Тар Юл".split(),
+    "Greek": "Αλ Βασ Γερ Δημ Ελ Ζην Ηρ Θεοδ Ιλ Κλε Λεων Μελ Νικ Ξεν Ολ Πολ".split(),
+}
+ENDINGS = {
+    ("f", "Latin"): "ela ina etta isa ora anna elle ia ena ica ola une".split(), ("m", "Latin"): "on ert ius ard ian ric mond win olf ek is en".split(),
+    ("f", "Cyrillic"): "ина ея ана ида ора ия ета уша".split(), ("m", "Cyrillic"): "ан ей ир он ислав ик им ур".split(),
+    ("f", "Greek"): "ία ώ ίνα ούλα άνθη ίκη".split(), ("m", "Greek"): "ος ης ίας ων ίων άκης".split(),
+}
 _class_of = {c: letters for letters in CLASSES for c in letters}
 _given = {name: kind for kind, names in GIVEN.items() for name in names}
+_pools = {kind: [n for n in (stem + ending for stem in STEMS[kind[1]] for ending in endings) if n not in _given] for kind, endings in ENDINGS.items()}
 _starts = frozenset(_given) | frozenset(TITLES)
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^\W\d_]+)?"
+#: A capital letter of any script that has them, and the same for scripts without: two or three Han characters.
+_UPPER = "A-ZÀ-ÖØ-Þ" + "".join(c for c in map(chr, range(0x100, 0x530)) if c.isupper())
+_CAPITAL = rf"[{_UPPER}][^\W\d_]+(?:[-'’][{_UPPER}][^\W\d_]+)?"
+_INITIAL = rf"(?:[{_UPPER}]\.[^\S\n]?){{1,3}}"
 PATTERNS = re.compile(
     r"(?P<EMAIL>[^\W_][\w.+%-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)"
     r"|\b(?P<IBAN>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
@@ -66,7 +90,13 @@ PATTERNS = re.compile(
     r"|(?<![\w+])(?P<PHONE>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 )
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
-PERSON = re.compile(rf"\b(?P<title>{_TITLE})\b\.?[^\S\n](?P<titled>{_CAPITAL}(?:[^\S\n]{_CAPITAL}){{0,2}})|\b(?P<first>{'|'.join(sorted(_given, key=len, reverse=True))})\b(?P<gap>[^\S\n](?:[A-ZÀ-ÖØ-ÞА-ЯЁ]\.[^\S\n])?)(?P<last>{_CAPITAL})")
+_NOT_TITLE = rf"(?!(?:{_TITLE})\b)"
+_HAN_TITLES = "先生|女士|小姐|太太|教授|医生"
+PERSON = re.compile(
+    rf"\b(?P<title>{_TITLE})\b\.?[^\S\n](?P<titled>(?:{_INITIAL}[^\S\n]?)?{_NOT_TITLE}{_CAPITAL}(?:[^\S\n](?:{_INITIAL}[^\S\n]?)?{_NOT_TITLE}{_CAPITAL}){{0,2}})"
+    rf"|\b(?P<first>{'|'.join(sorted(_given, key=len, reverse=True))})\b(?P<gap>[^\S\n](?:{_INITIAL}[^\S\n]?)?){_NOT_TITLE}(?P<last>{_CAPITAL})"
+    rf"|(?P<han>[\u4e00-\u9fff]{{2,3}})(?={_HAN_TITLES})"
+)
 _PUNCTUATION = "\"'.,;:!?()[]{}<>«»„“”‘’*_-"
 
 
@@ -96,6 +126,9 @@ class Cycle:
             if value < self.size:
                 return value
 
+    def image(self, value: int) -> int:
+        return self._permuted(value, range(8)) if self.size > 1 else value
+
     def after(self, value: int) -> int:
         if self.size < 2:
             return value
@@ -194,41 +227,64 @@ def _script(word: str) -> str:
     return "Cyrillic" if re.search("[\u0400-\u04ff]", word) else "Greek" if re.search("[\u0370-\u03ff]", word) else "Latin"
 
 
-def _name(key: str, value: str) -> str:
-    """A given name within its list; any other name letter by letter (all capitals but the first count as one case)."""
+def pool(gender: str, script: str) -> list[str]:
+    """The surrogate given names of a gender and script."""
+    return _pools[gender, script]
+
+
+def _name(key: str, value: str, gender: str = "") -> str:
+    """A surrogate name for a listed given name; other names by letters, behind a surrogate name if the gender is known."""
     if value in _given:
-        pool = GIVEN[_given[value]]
-        return pool[Cycle(f"{key}NAME{_given[value]}", len(pool)).after(pool.index(value))]
-    return _spelled(key + "NAME", value, _class_of)
+        names = _pools[_given[value]]
+        return names[Cycle(f"{key}NAME{_given[value]}", len(names)).image(GIVEN[_given[value]].index(value))]
+    spelled = _spelled(key + "NAME", value, _class_of)
+    if not gender or any(value.startswith(n) for n in _pools[gender, _script(value)]):
+        return spelled
+    names = _pools[gender, _script(value)]
+    number = int.from_bytes(hashlib.blake2b(f"{key}NAME{gender}{value}".encode(), digest_size=8).digest(), "big")
+    return f"{names[number % len(names)]}-{spelled}"
 
 
-_MAKERS = {"EMAIL": _email, "IBAN": _iban, "SECRET": _secret, "PREFIXED": _secret, "HEX": _secret, "IP": _address, "CARD": _card, "SSN": lambda k, v: _spelled(k + "SSN", v, _class_of), "PHONE": _phone, "NAME": _name}
-_TYPES = {"PREFIXED": "SECRET", "HEX": "SECRET"}
+_MAKERS = {"EMAIL": _email, "IBAN": _iban, "SECRET": _secret, "PREFIXED": _secret, "HEX": _secret, "IP": _address, "CARD": _card, "SSN": lambda k, v: _spelled(k + "SSN", v, _class_of), "PHONE": _phone, "NAME": _name, "NAME_m": lambda k, v: _name(k, v, "m"), "NAME_f": lambda k, v: _name(k, v, "f")}
+_TYPES = {"PREFIXED": "SECRET", "HEX": "SECRET", "NAME_m": "NAME", "NAME_f": "NAME"}
+#: One of these stands, in lower case, in every text that `PATTERNS` finds something in; else a digit, an @ or a hex string.
+_HINTS = ("key", "auth", "bearer", "passw", "pwd", "secret", "token", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "aiza")
+_HEX_LETTERS = re.compile("[a-f]{32}|[A-F]{32}")
+_PLAIN_WORDS = re.compile("[A-Z]?[a-z]+")
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of each entity, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
-    if any(c in text for c in "@0123456789") or "ey" in text or "oken" in text or "ecret" in text or "ass" in text or "uth" in text:
+    lowered = text.lower()
+    if any(c in text for c in "@0123456789") or any(h in lowered for h in _HINTS) or _HEX_LETTERS.search(text) or not text.isascii() and any(c.isdigit() for c in text):
         for m in PATTERNS.finditer(text):
             kind = m.lastgroup
             value = m[kind]
-            if kind == "SECRET" and not (any(c.isdigit() for c in value) or len(value) >= 16 and value.lower() != value):
+            # a single plain word behind "key:" or "token:" is prose, behind "pwd:" or "=" it isn't
+            if kind == "SECRET" and len(value) < 16 and _PLAIN_WORDS.fullmatch(value.rstrip(".")) and not re.match(r"(?i)passw|pwd|bearer|api|access", m[0].lstrip()) and "=" not in m[0][: m.start(kind) - m.start()]:
                 continue
             end = m.end(kind) - (len(value) - len(value.rstrip(".")) if kind == "SECRET" else 0)
             found.append((m.start(kind), end, kind))
-    if not _starts.isdisjoint(w.strip(_PUNCTUATION) for w in text.split()):
-        names: dict[str, None] = {}
-        persons = []
+    if any(t in text for t in _HAN_TITLES.split("|")) or not _starts.isdisjoint(w.strip(_PUNCTUATION) for w in text.split()):
+        names: dict[str, str] = {}
+        persons: set[tuple[int, int]] = set()
         for m in PERSON.finditer(text):
-            spans = [m.span("first"), m.span("last")] if m["first"] else [(m.start("titled") + p.start(), m.start("titled") + p.end()) for p in re.finditer(r"\S+", m["titled"])]
-            persons += spans
-            names.update((text[a:b], None) for a, b in spans)
+            group = "titled" if m["titled"] else "han" if m["han"] else "last"
+            spans = [(m.start(group) + p.start(), m.start(group) + p.end()) for p in re.finditer(r"[^\s.]+\.?", m[group])]
+            if m["first"]:
+                spans = [m.span("first"), *((m.start("gap") + p.start(), m.start("gap") + p.end()) for p in re.finditer(r"[^\s.]\.", m["gap"])), *spans]
+            persons.update(spans)
+            whole = [text[a:b] for a, b in spans if text[b - 1] != "."]
+            for k, name in enumerate(whole):
+                gender = TITLES.get(m["title"], "") if m["titled"] and not k and len(whole) > 1 else ""
+                names[name] = names.get(name) or gender
         if names:
             again = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b")
-            persons = sorted({*persons, *(m.span() for m in again.finditer(text))})
+            persons.update(m.span() for m in again.finditer(text))
             taken = found
-            found = sorted(taken + [(a, b, "NAME") for a, b in persons if not any(a < y and x < b for x, y, _ in taken)])
+            kinds = {"": "NAME", "m": "NAME_m", "f": "NAME_f"}
+            found = sorted(taken + [(a, b, kinds[names.get(text[a:b], "")]) for a, b in persons if not any(a < y and x < b for x, y, _ in taken)])
     out, end = [], 0
     for a, b, kind in found:
         if a >= end:
@@ -242,7 +298,7 @@ def surrogate(key: str, kind: str, value: str) -> str:
     return _MAKERS[kind](key, value)
 
 
-def replaced(text: str, key: str = KEY) -> tuple[str, list[dict]]:
+def replaced(text: str, key: str) -> tuple[str, list[dict]]:
     """The text with surrogates, and what was found: type, begin, end (in the given text), surrogate."""
     found = find_entities(text)
     if not found:
@@ -254,11 +310,12 @@ def replaced(text: str, key: str = KEY) -> tuple[str, list[dict]]:
         value = text[a:b]
         if (kind, value) in made:
             continue
-        new = surrogate(key, kind, value)
-        for _ in range(1000):  # a format with fewer values than the document has entities of it can't be distinct
-            if new not in originals and new not in used:
-                break
-            new = surrogate(key, kind, new)
+        first = new = surrogate(key, kind, value)
+        while new in used or new in originals and not (kind.startswith("NAME") and value in _given):
+            new = surrogate(key, kind, new) if kind[:5] != "NAME_" and value not in _given else new + new[-1]
+            if new == first:  # its cycle has no free value
+                while new in used or new in originals:
+                    new += new[-1]
         used.add(new)
         made[kind, value] = new
     out, at, listed = [], 0, []
@@ -273,8 +330,10 @@ def replaced(text: str, key: str = KEY) -> tuple[str, list[dict]]:
 ENTITIES = "array<struct<type:string,begin:int,end:int,surrogate:string>>"
 
 
-def replace_private(df: DataFrame, key: str = KEY, text: str = "text", entities: str | None = "entities") -> DataFrame:
-    """The rows with surrogates in `text`, and what was found as `entities` if that is named."""
+def replace_private(df: DataFrame, key: str, text: str = "text", entities: str | None = "entities") -> DataFrame:
+    """The rows with surrogates in `text`, and what was found as `entities` if that is named. Who has the key can undo it."""
+    if entities:
+        df = df.drop(entities)
     listed = pa.list_(pa.struct([("type", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
     bounded_batches(df)
     schema = T.StructType([*df.schema.fields, *([T.StructField(entities, T._parse_datatype_string(ENTITIES), False)] if entities else [])])

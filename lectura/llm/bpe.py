@@ -189,8 +189,10 @@ def _replay_of(broadcast, pattern: str) -> MergeReplay:
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds array<int> `ids` to every row, without special tokens; and their bytes as `decoded` if that is named.
 
-    The rank file is read where this is called and sent to the executors: its size doesn't depend on the corpus.
+    The rank file is read where this is called and sent to the executors: its size doesn't depend on the corpus. Input
+    columns with one of these names are replaced.
     """
+    df = df.drop(ids, *([decoded] if decoded else []))
     spark: SparkSession = bounded_batches(df)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.BinaryType(), False)] if decoded else [])]

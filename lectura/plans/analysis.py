@@ -381,8 +381,9 @@ def l18_content_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l2_lemma_lookup")
 def l2_lemma_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The base forms of all words by a lexicon of every second one, so that unknown words occur too."""
     lex = L.lexicon(spark, d)
-    return lexical.lemmas(lex.filter("rank <= 5000").select("term"), lex.filter("rank <= 2000"))
+    return lexical.lemmas(lex.select("term"), lex.filter("rank % 2 = 0"))
 
 
 _WEIGHT_SQL = "case when rank <= 1000 then 0 when rank <= 3000 then 0 when rank <= 5000 then 1 when rank <= 10000 then 2 else 3 end"
@@ -456,18 +457,18 @@ def l5_hard_words(spark: SparkSession, d: str) -> DataFrame:
     return lexical.hard_words(L.lexicon(spark, d)).select("term", "rank", "steps", "hard", "super_hard")
 
 
-@query("l6_hard_outside", """with t as (select distinct case when rank % 3 = 0 then term || '-' || lag(term) over (order by rank) when rank % 3 = 1 then term || '-zzz' else term || 'zzzz' end as term from lexicon where rank between 2 and 3000), p as (select term, unnest(list_filter(string_split(term, '-'), lambda x: x <> '')) as part from t where contains(term, '-')),
+@query("l6_hard_outside", """with t as (select distinct case when rank % 3 = 0 then term || '-' || lag(term) over (order by rank) when rank % 3 = 1 then term || '-zzz' else term || 'zzzz' end as term from lexicon where rank >= 2), p as (select term, unnest(list_filter(string_split(term, '-'), lambda x: x <> '')) as part from t where contains(term, '-')),
  k as (select p.term, count(*) as n, count(l.term) as known from p left join lexicon l on l.term = p.part group by p.term) select t.term, not coalesce(n >= 2 and n = known, false) and length(regexp_replace(t.term, '[^A-Za-z]', '', 'g')) >= 7 as hard from t left join k using (term)""", ("lexicon",))
 def l6_hard_outside(spark: SparkSession, d: str) -> DataFrame:
     lex = L.lexicon(spark, d)
-    r, before = F.col("rank"), F.lag("term").over(Window.orderBy("rank"))
-    made = lex.filter("rank between 2 and 3000").select(F.when(r % 3 == 0, F.concat("term", F.lit("-"), before)).when(r % 3 == 1, F.concat("term", F.lit("-zzz"))).otherwise(F.concat("term", F.lit("zzzz"))).alias("term"))
+    r, before = F.col("rank"), F.when(F.col("rank") > 2, F.col("before"))
+    made = lex.filter("rank >= 2").join(lex.select((F.col("rank") + 1).alias("rank"), F.col("term").alias("before")), "rank", "left").select(F.when(r % 3 == 0, F.concat("term", F.lit("-"), before)).when(r % 3 == 1, F.concat("term", F.lit("-zzz"))).otherwise(F.concat("term", F.lit("zzzz"))).alias("term"))
     return lexical.hard_outside(made, lex)
 
 
 @query("l7_proper_nouns")
 def l7_proper_nouns(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.proper_nouns(L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.col("title").alias("text")))
+    return lexical.proper_nouns(L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.col("content_text").alias("text")))
 
 
 @query("l8_name_glosses", "with g as (select rank, case rank % 4 when 0 then '人名' when 1 then '多义，第二义' when 2 then '单义' else '总统；人名' end as gloss from lexicon) select rank, gloss, rank % 4 in (0, 3) as names, case rank % 4 when 1 then null else gloss end as shown from g", ("lexicon",))
@@ -479,7 +480,7 @@ def l8_name_glosses(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l10_chunk_lookup")
 def l10_chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
-    lex = L.lexicon(spark, d).filter("rank <= 2000")
+    lex = L.lexicon(spark, d)
     chunks = L.memory(spark, d).filter("kind = 'phrase'").select(F.col("term").alias("phrase"))
     selected = chunks.select(F.concat(F.upper("phrase"), F.lit("s")).alias("phrase")).unionByName(chunks)
     return lexical.chunk_lookup(selected, chunks, lex)
@@ -488,16 +489,17 @@ def l10_chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("l11_spaced_aliases")
 def l11_spaced_aliases(spark: SparkSession, d: str) -> DataFrame:
     lex = L.lexicon(spark, d)
-    paired = lex.filter("rank between 100 and 600").select(F.concat("term", F.lit("-"), F.lead("term").over(Window.orderBy("rank"))).alias("term"), "n", "rank").filter("term is not null")
-    return lexical.spaced_aliases(lex.filter("rank <= 1000").unionByName(paired.select("term", "n", "rank")))
+    behind = lex.select((F.col("rank") - 1).alias("rank"), F.col("term").alias("behind"))
+    paired = lex.join(behind, "rank").select(F.concat("term", F.lit("-"), "behind").alias("term"), "n", "rank")
+    return lexical.spaced_aliases(lex.unionByName(paired))
 
 
-@query("l19_details", "with r as (select term, rank from lexicon where rank <= 500) select term as word, 2 as n_senses, case when rank % 2 = 0 then 'x' end as phonetic, rank % 6 as collins, rank % 2 = 1 as oxford, rank, (rank % 3)::int as n_examples from r", ("lexicon",))
+@query("l19_details", "with r as (select term, rank from lexicon) select term as word, 2 as n_senses, case when rank % 2 = 0 then 'x' end as phonetic, rank % 6 as collins, rank % 2 = 1 as oxford, rank, (rank % 3)::int as n_examples from r", ("lexicon",))
 def l19_details(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("rank")
     fixed = [F.concat(F.lit(" "), "term"), F.lit("one\ntwo\n"), F.when(r % 2 == 0, "x").otherwise(""), F.lit(""), (r % 6).cast("string"), (r % 2).cast("string"), r.cast("string"), F.lit("")]
     tail = F.flatten(F.array_repeat(F.array(F.lit("en"), F.lit("zh")), (r % 3).cast("int")))
-    rows = L.lexicon(spark, d).filter("rank <= 500").select(F.concat(F.array(*fixed), tail, F.array(F.lit("odd"))).alias("row"))
+    rows = L.lexicon(spark, d).select(F.concat(F.array(*fixed), tail, F.array(F.lit("odd"))).alias("row"))
     return lexical.decoded_details(rows).select("word", F.size("senses").alias("n_senses"), "phonetic", "collins", "oxford", "rank", F.size("examples").alias("n_examples"))
 
 

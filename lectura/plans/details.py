@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import enrich, lexical, merge, ranking
 from ..streaming import ingest
 from . import library as L
-from .analysis import _ANY, _GATED_SQL, _LOW, _TOK_SQL, _terms_sql, outcomes
+from .analysis import _ANY, _FNV_SQL, _GATED_SQL, _LOW, _TOK_SQL, _terms_sql, outcomes
 from .queries import _PARA_SQL, books, paragraphs, translations
 from .registry import query
 
@@ -25,7 +25,19 @@ def _gate(name: str, sql: str, make) -> None:
 
 _gate("t3_truncated", "cut", lambda t, c: gates.looks_truncated(c))
 _gate("t7_chrome", "chrome", lambda t, c: gates.looks_like_chrome(c))
-_gate("t8_link_dump", "false", lambda t, c: gates.is_link_dump(c))
+
+_LISTED_SQL = "case when number % 3 = 0 then replace(content_text, chr(10), chr(10) || '- [link](x) ') when number % 3 = 1 then replace(content_text, chr(10), chr(10) || '2. [a] ' || chr(10) || 'plain ') else content_text end"
+
+
+@query("t8_link_dump", f"""with l as (select id, list_filter(string_split(regexp_replace({_LISTED_SQL}, '(^|{chr(10)})\\[\\d+\\]:\\s+\\S+[ \\t]*', '', 'g'), chr(10)), lambda x: trim(x) <> '') as lines from entries)
+ select id, len(lines) >= 8 and 2 * len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*([-*]|\\d+\\.)\\s+\\['))) >= len(lines) as v from l""", ("entries",))
+def t8_link_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies whose lines are all, half, or not at all list items with links."""
+    n, body = F.col("number") % 3, F.col("content_text")
+    listed = F.when(n == 0, F.replace(body, F.lit("\n"), F.lit("\n- [link](x) "))).when(n == 1, F.replace(body, F.lit("\n"), F.lit("\n2. [a] \nplain "))).otherwise(body)
+    return L.entries(spark, d).select("id", gates.is_link_dump(listed).alias("v"))
+
+
 _gate("t12_prose_chars", "prose", lambda t, c: gates.prose_chars(c).cast("long"))
 _gate("t13_paywall", "paywall", lambda t, c: gates.looks_like_paywall(c))
 _gate("t11_blocked", "round_title or links::double / greatest(words, 1) * 1000 > 80 or transcript", lambda t, c: gates.is_blocked(t, c))
@@ -247,9 +259,9 @@ def l15_l16_levels(spark: SparkSession, d: str) -> DataFrame:
     return L.lexicon(spark, d).select("rank", F.round(v, 9).alias("v"), scoring.level_of(v).alias("level"))
 
 
-@query("n5_jitter", "select id, jitter between -0.3 and 0.3 as ok from (select id, 0.0 as jitter from articles)", ("articles",))
+@query("n5_jitter", f"select id, round(({_FNV_SQL}::ubigint % 1000)::double / 999.0 * 0.6 - 0.3, 9) as jitter from (select id, id || ':' || (epoch(timestamp '2024-01-31 00:00:00')::bigint // 86400 + {scoring.EPOCH_DAYS}) as x from articles)", ("articles",))
 def n5_jitter(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d, reading=False).select("id", scoring.jitter(F.col("id"), scoring.day_key(L.now_column())).between(-0.3, 0.3).alias("ok"))
+    return L.articles(spark, d, reading=False).select("id", F.round(scoring.jitter(F.col("id"), scoring.day_key(L.now_column())), 9).alias("jitter"))
 
 
 # --- enrichment, streams ----------------------------------------------------------------------------------------------

@@ -58,11 +58,11 @@ def t28_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t32_chapters")
 def t32_chapters(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's documents as one book of plain text, divided again at the headings put between them."""
-    block = F.concat(F.lit("CHAPTER "), F.col("number").cast("string"), F.lit(". Of "), F.col("source"), F.lit("\n\n"), F.left("content_text", F.lit(4000)))
-    few = L.articles(spark, d, reading=False).filter("number < 200").select("source", "number", block.alias("block"))
-    book = few.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "block"))), lambda x: x["block"]), "\n\n").alias("raw"))
-    return book.select("source", F.posexplode(prose.chapters_column("raw")).alias("idx", "c")).select("source", "idx", "c.title", F.char_length("c.text").alias("chars"))
+    """Books of up to 20 whole documents that stand together, divided again at the headings put between them."""
+    block = F.concat(F.lit("CHAPTER "), F.col("number").cast("string"), F.lit(". Of "), F.col("source"), F.lit("\n\n"), F.col("content_text"))
+    each = L.articles(spark, d, reading=False).select(F.floor(F.col("number") / 20).alias("book"), "number", block.alias("block"))
+    book = each.groupBy("book").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "block"))), lambda x: x["block"]), "\n\n").alias("raw"))
+    return book.select("book", F.posexplode(prose.chapters_column("raw")).alias("idx", "c")).select("book", "idx", "c.title", F.char_length("c.text").alias("chars"))
 
 
 @query("l12_annotate")
@@ -154,7 +154,7 @@ def j9_sentence_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j11_dictionary", None)
 def j11_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    lex = L.lexicon(spark, d).filter("rank <= 2000")
+    lex = L.lexicon(spark, d)
     sentences = L.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.filter(F.split("text", r"\. "), lambda s: F.char_length(s).between(20, 200))).alias("sentence"))
     details = lex.filter("rank % 3 = 0").select(F.col("term").alias("word"), F.concat(F.lit("gloss of "), F.col("term")).alias("gloss"))
     heads = lex.select(F.col("term").alias("word"), "rank")

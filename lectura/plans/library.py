@@ -6,7 +6,7 @@ labels, and times from ids, all by fixed rules that SQL states too (`SQL`). `NOW
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -75,12 +75,23 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """term, n and rank (by count, then alphabet) of the English documents' words; derived, as no word list comes with the data."""
-    from pyspark.sql import Window
-
     words = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(T.difficulty_tokens(F.col("text"))).alias("term"))
     counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    # ranks only matter up to the last band; the sorted prefix is bounded, not the corpus
-    return counted.orderBy(F.desc("n"), "term").limit(30_000).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    return ranked_words(counted)
+
+
+def ranked_words(counted: DataFrame) -> DataFrame:
+    """term, n and rank of all words, without sorting them in one task.
+
+    Words of one count are ranked by themselves, rare ones in parts by their first letters; what stands before each part
+    is summed over the parts, of which there are few: the different counts, and for counts up to 100 the beginnings.
+    """
+    parts = counted.withColumn("part", F.when(F.col("n") <= 100, F.left("term", F.lit(3))).otherwise(""))
+    sizes = parts.groupBy("n", "part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy(F.desc("n"), "part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("n", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("n", "part").orderBy("term"))
+    return parts.withColumn("own", own).join(before, ["n", "part"]).select("term", "n", (F.col("before") + F.col("own")).cast("int").alias("rank"))
 
 
 def entries(spark: SparkSession, sf_dir: str, reading: bool = False) -> DataFrame:
@@ -124,7 +135,7 @@ SQL_VIEWS = {
         latest - to_days(case when number % 8 = 7 then 31 else 0 end) as last_new_article_at, n_articles from (select source, arg_max(category, {'n': n, 'c': category}) as category, max(latest) as latest, sum(n)::bigint as n_articles, regexp_extract(source, '([0-9]+)$', 1)::int as number
         from (select source, category, count(*) as n, max(published_at) as latest from articles group by all) group by source)""",
     "words": """select unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda t: length(t) >= 2)) as term from documents where lang = 'en'""",
-    "lexicon": "select term, n, row_number() over (order by n desc, term) as rank from (select term, count(*) as n from words group by term order by n desc, term limit 30000)",
+    "lexicon": "select term, n, row_number() over (order by n desc, term) as rank from (select term, count(*) as n from words group by term)",
     "entries": """select * replace (case when number % 23 = 3 then 'Weekly links: ' || title else title end as title, case when number % 41 = 7 then timestamp '2024-01-31 00:00:00' - to_days(40) else published_at end as published_at,
         (case when number % 19 = 2 then 'Skip to main content' || chr(10) else '' end) || content_text || (case when number % 17 = 1 then ' Continue reading…' else '' end) || (case when number % 29 = 4 then ' Subscription required.' else '' end)
         || (case when number % 31 = 5 then repeat(' 12:34', 20) else '' end) || (case when number % 37 = 6 then repeat(' https://x.example', word_count // 8 + 1) else '' end) as content_text) from articles""",

@@ -281,13 +281,12 @@ def j8_chapter_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query("j12_lookup_fallback")
 def j12_lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
     words = L.articles(spark, d, reading=False).filter("lang = 'en'").select(F.explode(F.array_distinct(T.difficulty_tokens(F.col("title")))).alias("term"))
-    return lexical.looked_up(words, L.lexicon(spark, d).filter("rank <= 3000"))
+    return lexical.looked_up(words, L.lexicon(spark, d))
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """article_id, idx, text of the lines of every tenth article."""
-    a = L.articles(spark, d, reading=False).filter("number % 10 = 1")
-    return a.select(F.col("id").alias("article_id"), F.posexplode(F.split("content_text", "\n")).alias("idx", "text"))
+    """article_id, idx, text of the lines of all articles."""
+    return L.articles(spark, d, reading=False).select(F.col("id").alias("article_id"), F.posexplode(F.split("content_text", "\n")).alias("idx", "text"))
 
 
 def translations(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +295,7 @@ def translations(spark: SparkSession, d: str) -> DataFrame:
     return p.select("article_id", F.lit("paragraph").alias("scope"), F.col("idx").cast("string").alias("scope_key"), F.when(F.col("idx") % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("source_text"), F.concat(F.lit("translated "), F.col("idx").cast("string")).alias("translated_text"))
 
 
-_PARA_SQL = """para as (select id as article_id, unnest(string_split(content_text, chr(10))) as text, generate_subscripts(string_split(content_text, chr(10)), 1) - 1 as idx from articles where number % 10 = 1),
+_PARA_SQL = """para as (select id as article_id, unnest(string_split(content_text, chr(10))) as text, generate_subscripts(string_split(content_text, chr(10)), 1) - 1 as idx from articles),
  tr as (select article_id, idx::varchar as scope_key, case when idx % 6 = 0 then text || '!' else text end as source_text, 'translated ' || idx as translated_text from para where idx % 2 = 0)"""
 
 

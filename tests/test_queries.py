@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from oracle import same_rows, views
 
@@ -34,3 +36,36 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ranks_without_one_sort(spark, small):
+    from collections import Counter
+
+    from lectura.plans import library
+
+    rows = library.lexicon(spark, small).collect()
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").filter("lang = 'en'").collect()]
+    counts = Counter(t for x in texts if x for t in re.findall("[a-z][a-z'-]*", x.lower()) if len(t) >= 2)
+    wanted = {t: k + 1 for k, (t, _) in enumerate(sorted(counts.items(), key=lambda c: (-c[1], c[0])))}
+    assert {r["term"]: r["rank"] for r in rows} == wanted and len(rows) == len(wanted)
+
+
+def test_chapters_of_whole_texts(spark, small):
+    from lectura.functions import prose
+
+    books = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
+        books.setdefault(r["doc_id"] // 20, []).append(f"CHAPTER {r['doc_id']}. Of {r['source']}\n\n{r['text']}")
+    wanted = {(b, k): (title, len(text)) for b, blocks in books.items() for k, (title, text) in enumerate(prose.split_chapters(prose.book_blocks(prose.book_body("\n\n".join(blocks)))))}
+    rows = QUERIES["t32_chapters"](spark, small).collect()
+    assert {(r["book"], r["idx"]): (r["title"], r["chars"]) for r in rows} == wanted
+    titles = [t for t, _ in wanted.values()]
+    assert len(titles) > 0.9 * sum(map(len, books.values()))  # nearly every document's heading is found
+
+
+def test_known_words_stand_for_their_forms(spark, small):
+    from lectura.plans import library
+
+    ranks = {r["term"]: r["rank"] for r in library.lexicon(spark, small).collect()}
+    for r in QUERIES["j12_lookup_fallback"](spark, small).collect():
+        assert r["rank"] == ranks.get(r["entry"]) and (r["term"] not in ranks or r["entry"] == r["term"])

@@ -33,7 +33,7 @@ def test_context_is_learned_and_probabilities_are_normalised(spark):
     pairs = ["red apple", "blue sky"]
     docs = [(k, " ".join(pairs[(k + j) % 2 if j % 3 else k % 2] for j in range(30))) for k in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    corpus = lm.corpus_of(lm.count_words(df), 16, 100)
+    corpus = lm.corpus_of(lm.count_words(df), 16, 100, rare=4)
     weights = lm.train(df, corpus, rounds=4)
     k = corpus.outside + 1
     scorer = lm.Scorer(weights, corpus.outside)
@@ -51,8 +51,8 @@ def test_context_is_learned_and_probabilities_are_normalised(spark):
 def test_rare_words_meet_their_counts_by_a_join(spark):
     docs = [(k, f"common word{k % 7} rare{k}") for k in range(50)] + [(100, "never seen")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    whole = {r["doc_id"]: r for r in lm.learn_and_score(df, F.col("doc_id") < 100, ["doc_id"], classes=5, head=3).collect()}
-    usual = {r["doc_id"]: r for r in lm.learn_and_score(df, F.col("doc_id") < 100, ["doc_id"], classes=5).collect()}
+    whole = {r["doc_id"]: r for r in lm.learn_and_score(df, F.col("doc_id") < 100, ["doc_id"], classes=5, head=3, rare=2).collect()}
+    usual = {r["doc_id"]: r for r in lm.learn_and_score(df, F.col("doc_id") < 100, ["doc_id"], classes=5, rare=2).collect()}
     for d, r in whole.items():
         assert r["base_score"] == pytest.approx(usual[d]["base_score"]) and r["score"] == pytest.approx(usual[d]["score"], rel=1e-6) and r["n_known"] == usual[d]["n_known"]
     assert whole[100]["n_known"] == 1
@@ -65,3 +65,16 @@ def test_awkward_input(awkward, empty):
     assert lm.learn_and_score(empty, F.lit(True), ["doc_id"]).count() == 0
     untrained = lm.learn_and_score(awkward, F.lit(False), ["doc_id"]).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and all(r["base_score"] == 0 for r in untrained)
+
+
+def test_held_out_gain_whatever_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    scores = []
+    for parts in (3, 17):
+        rows = lm.learn_and_score(docs.repartition(parts).withColumn("out", held_out), ~F.col("out"), ["doc_id", "out"], shard=200_000).collect()
+        out = [r for r in rows if r["out"]]
+        n = sum(r["n_tokens"] for r in out)
+        assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 0.03  # shards far smaller than usual
+        scores.append({r["doc_id"]: r["score"] for r in rows})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-3)

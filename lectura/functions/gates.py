@@ -15,6 +15,9 @@ LEAST_WORDS, SHELL_CHARS, TRUST_CHARS = 400, 200, 2000
 ROUNDUP = r"(?i)\b(roundup|weekly review|weekly links|daily digest|daily briefing|link roundup|link dump)\b"
 TRANSCRIPT = r"(?i)\b(transcript|podcast|episode)\b"
 TIMESTAMP = r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
+KEYWORD_TAIL = r"(?is)(?:Keywords for this article|Filed under:|^\s*Tags:).*$"
+FOOTNOTE_LINE, TAG = r"(?m)^\[\d+\]:\s+\S+\s*$", r"<[^>]+>"
+LINK_ITEM = r"^\s*(?:[-*]|\d+\.)\s+\["
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -44,15 +47,15 @@ def trust_chars(ratio: Column) -> Column:
 
 def prose_chars(text: Column) -> Column:
     """Characters without white space, keyword tails, footnote definitions and tags."""
-    out = F.regexp_replace(text, r"(?is)(?:Keywords for this article|Filed under:|^\s*Tags:).*$", "")
-    out = F.regexp_replace(out, r"(?m)^\[\d+\]:\s+\S+\s*$", "")
-    return F.char_length(F.array_join(words(F.regexp_replace(out, r"<[^>]+>", " ")), ""))
+    out = F.regexp_replace(text, KEYWORD_TAIL, "")
+    out = F.regexp_replace(out, FOOTNOTE_LINE, "")
+    return F.char_length(F.array_join(words(F.regexp_replace(out, TAG, " ")), ""))
 
 
 def is_link_dump(text: Column) -> Column:
     """At least 8 lines with text, half of which are list items that begin with a link."""
-    lines = F.filter(F.split(F.regexp_replace(text, r"(?m)^\[\d+\]:\s+\S+\s*$", ""), "\n"), lambda x: F.trim(x) != "")
-    links = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(?:[-*]|\d+\.)\s+\[")))
+    lines = F.filter(F.split(F.regexp_replace(text, FOOTNOTE_LINE, ""), "\n"), lambda x: F.trim(x) != "")
+    links = F.size(F.filter(lines, lambda x: x.rlike(LINK_ITEM)))
     return (F.size(lines) >= 8) & (links * 2 >= F.size(lines))
 
 

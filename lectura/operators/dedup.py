@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, title_tokens
@@ -67,10 +67,18 @@ def _cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, in the checkpoint folder of the session."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectura-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where all run on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="lectura-")
+
+
 def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
     """How many of n ordered tokens two similar sets share one of."""
     return n - math.ceil(threshold * n) + 1

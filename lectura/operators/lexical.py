@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 
 # --- fixed values -----------------------------------------------------------------------------------------------
-#: Base forms and their irregular ones.
+#: Irregular forms and their base forms.
 IRREGULAR = {
-    "be": "am is are was were been being", "have": "has had having", "do": "does did done doing", "go": "went gone goes", "say": "said says", "make": "made", "take": "took taken",
-    "come": "came", "get": "got gotten", "see": "saw seen", "know": "knew known", "give": "gave given", "find": "found", "think": "thought", "tell": "told", "become": "became", "leave": "left",
-    "feel": "felt", "bring": "brought", "begin": "began begun", "keep": "kept", "hold": "held", "write": "wrote written", "stand": "stood", "hear": "heard", "let": "let", "mean": "meant",
-    "meet": "met", "run": "ran", "pay": "paid", "sit": "sat", "speak": "spoke spoken", "lead": "led", "grow": "grew grown", "lose": "lost", "fall": "fell fallen", "send": "sent", "build": "built",
-    "understand": "understood", "draw": "drew drawn", "break": "broke broken", "spend": "spent", "cut": "cut", "rise": "rose risen", "drive": "drove driven", "buy": "bought", "wear": "wore worn",
-    "choose": "chose chosen", "eat": "ate eaten", "win": "won", "seek": "sought", "throw": "threw thrown", "catch": "caught", "teach": "taught", "deal": "dealt", "hide": "hid hidden", "sing": "sang sung",
-    "sleep": "slept", "shoot": "shot", "strike": "struck", "hang": "hung", "bear": "bore borne", "child": "children", "man": "men", "woman": "women", "person": "people", "tooth": "teeth", "foot": "feet",
-    "mouse": "mice", "goose": "geese", "life": "lives", "knife": "knives", "wife": "wives", "half": "halves", "self": "selves", "leaf": "leaves", "shelf": "shelves", "wolf": "wolves", "thief": "thieves",
-    "datum": "data", "criterion": "criteria", "good": "better best", "bad": "worse worst", "much": "more most", "little": "less least", "far": "farther farthest further furthest",
+    "am": "be", "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "being": "be", "has": "have", "had": "have", "having": "have", "does": "do", "did": "do", "done": "do",
+    "doing": "do", "went": "go", "gone": "go", "goes": "go", "said": "say", "says": "say", "made": "make", "took": "take", "taken": "take", "came": "come", "got": "get", "gotten": "get",
+    "saw": "see", "seen": "see", "knew": "know", "known": "know", "gave": "give", "given": "give", "found": "find", "thought": "think", "told": "tell", "became": "become", "left": "leave",
+    "felt": "feel", "brought": "bring", "began": "begin", "begun": "begin", "kept": "keep", "held": "hold", "wrote": "write", "written": "write", "stood": "stand", "heard": "hear",
+    "let": "let", "meant": "mean", "met": "meet", "ran": "run", "paid": "pay", "sat": "sit", "spoke": "speak", "spoken": "speak", "led": "lead", "grew": "grow", "grown": "grow",
+    "lost": "lose", "fell": "fall", "fallen": "fall", "sent": "send", "built": "build", "understood": "understand", "drew": "draw", "drawn": "draw", "broke": "break", "broken": "break",
+    "spent": "spend", "cut": "cut", "rose": "rise", "risen": "rise", "drove": "drive", "driven": "drive", "bought": "buy", "wore": "wear", "worn": "wear", "chose": "choose",
+    "chosen": "choose", "ate": "eat", "eaten": "eat", "won": "win", "sought": "seek", "threw": "throw", "thrown": "throw", "caught": "catch", "taught": "teach", "dealt": "deal",
+    "hid": "hide", "hidden": "hide", "sang": "sing", "sung": "sing", "slept": "sleep", "shot": "shoot", "struck": "strike", "hung": "hang", "bore": "bear", "borne": "bear",
+    "children": "child", "men": "man", "women": "woman", "people": "person", "teeth": "tooth", "feet": "foot", "mice": "mouse", "geese": "goose", "lives": "life", "knives": "knife",
+    "wives": "wife", "halves": "half", "selves": "self", "leaves": "leaf", "shelves": "shelf", "wolves": "wolf", "thieves": "thief", "data": "datum", "criteria": "criterion",
+    "better": "good", "best": "good", "worse": "bad", "worst": "bad", "more": "much", "most": "much", "less": "little", "least": "little", "farther": "far", "farthest": "far",
+    "further": "far", "furthest": "far",
 }
 #: Words of closed classes, which are never names.
 CLOSED_CLASS = (
@@ -46,7 +50,7 @@ def normal_key(term: Column) -> Column:
 
 def irregular(word: Column) -> Column:
     """The base form of an irregular word, else null."""
-    table = F.create_map(*(F.lit(x) for base, forms in IRREGULAR.items() for form in forms.split() for x in (form, base)))
+    table = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
     return F.try_element_at(table, word)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prose, scoring
 from ..functions import text as T
-from ..operators import enrich, etl, stats
+from ..operators import dedup, enrich, etl, stats
 from ..sources import readers, writers
 from ..streaming import ingest
 from . import library as L
@@ -188,8 +187,7 @@ def u1_batched_cards(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A folder that driver and executors share, for what a stream writes."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectura-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{dedup.shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(spark: SparkSession, d: str, table: str) -> DataFrame:

@@ -42,7 +42,7 @@ from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Near copies: words of a shingle, tenths of similarity, differing bits, keys, and minima in each.
-COPY_SHINGLE, ALIKE, COPY_BITS, BANDS, MINIMA = 5, 8, 18, 24, 5
+COPY_SHINGLE, ALIKE, COPY_BITS, BANDS, MINIMA = 5, 8, 28, 24, 5
 #: Keys or nodes up to this many (16 bytes each) are sent to all executors; more are joined by shuffling.
 BROADCAST_LONGS = 1_000_000
 #: Bytes of shingle sets in a block of what stands under one key; shingles whose minima one step takes.

@@ -30,7 +30,7 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url's host, path, deciding rule and verdict."""
     judged = urlfilter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "weight")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +109,11 @@ def _sql_host_path(url: str) -> tuple[str, str]:
 
 def _sql_op2() -> str:
     host, path = _sql_host_path("url")
-    hit = "(regexp_matches(place, '(^|[^\\pL\\pN]){0}($|[^\\pL\\pN])'))::int"
-    total = lambda terms: " + ".join(hit.format(t) for t in terms)
+    edge, end = "(^|[^\\pL\\pN])", "($|s$|s?[^\\pL\\pN])"
+    hit = lambda t: f"(regexp_matches(place, '{edge}{t}{end}'))::int"
+    stem = lambda t: f"(regexp_matches(place, '{edge}{t}|{t}{end}'))::int"
+    total = lambda terms: " + ".join(hit(t) for t in terms)
+    strict = total(urlfilter.STRICT_TERMS) + " + " + " + ".join(stem(t) for t in urlfilter.STRICT_STEMS)
     cases = ""
     for _, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
         own, slash, rest = rule.partition("/")
@@ -119,8 +122,9 @@ def _sql_op2() -> str:
     return f"""
 with cut as (select page_id, {host} as host, {path} as path from pages),
 hits as (select *, lower(host || path) as place, case{cases} end as rule from cut),
-counted as (select *, ({total(urlfilter.STRICT_TERMS)})::int as n_strict, ({total(urlfilter.SOFT_TERMS)})::int as n_soft from hits)
-select page_id, host, path, rule, case rule {verdicts} else case when n_strict > 0 or n_soft >= {urlfilter.SOFT_NEEDED} then 'block' else 'allow' end end as verdict, n_strict, n_soft from counted"""
+counted as (select *, ({strict})::int as n_strict, ({total(urlfilter.SUSPECT_TERMS)})::int as n_two, ({total(urlfilter.SOFT_TERMS)})::int as n_one from hits),
+weighed as (select *, (n_two + n_one)::int as n_soft, ({urlfilter.NEEDED} * n_strict + 2 * n_two + n_one)::int as weight from counted)
+select page_id, host, path, rule, case rule {verdicts} else case when weight >= {urlfilter.NEEDED} then 'block' else 'allow' end end as verdict, n_strict, n_soft, weight from weighed"""
 
 
 def _sql_op5() -> str:

@@ -2,8 +2,10 @@
 
 A url's host runs from behind the first `://` to the next `/`, `?`, `#` or the end, its path from there to `?`, `#`
 or the end. The longest rule whose host is the url's host or a parent domain and whose path begins the url's path
-decides. Urls without a rule are judged by an Aho-Corasick automaton over host and path: a hit counts if no letter or
-digit stands right before or after it. One strict term, or `soft_needed` distinct soft terms, block.
+decides. Urls without a rule are judged by an Aho-Corasick automaton over host and path. A term is hit where no letter or
+digit stands right before it, nor right behind it or its plural's s; a stem, which no ordinary word holds, needs one such
+boundary only. Strict terms and stems weigh `NEEDED`, soft ones less; the distinct terms hit block if they weigh `NEEDED`
+together, that is by one strict term or several soft ones.
 
 Defined results: a null url, or one without `://`, has empty host and path and no hits, so it is allowed; repeated
 rows get equal verdicts; very long urls are scanned whole; input columns pass through, and where one has the name of
@@ -12,17 +14,32 @@ an output it is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from types import MappingProxyType
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary; a strict term weighs as much as `SOFT_NEEDED` soft ones.
-STRICT_TERMS = ("adult", "bdsm", "casino", "escort", "hentai", "nude", "porn", "porno", "sex", "viagra", "warez", "xxx")
-SOFT_TERMS = ("bet", "bonus", "cheap", "click", "coupon", "dating", "download", "farm", "free", "hot", "keygen", "loan", "pills", "poker", "promo", "spam", "torrent", "win")
-SOFT_NEEDED = 2
+from .common import unused
+
+#: The vocabulary: strict terms, stems, soft terms that weigh two, soft terms that weigh one.
+STRICT_TERMS = (
+    "adult", "bdsm", "bordell", "callgirl", "camgirl", "cialis", "erotic", "erotica", "erotik", "escort", "escorte", "fetish", "levitra", "milf", "nsfw", "nude", "phentermine", "prostituta", "puta", "sex", "sexcam", "sexe", "sexo", "sexy",
+    "striptease", "warez", "xvideo", "xxx",
+)
+STRICT_STEMS = ("casino", "hentai", "porn", "viagra")
+SUSPECT_TERMS = (
+    "apuesta", "betting", "gambling", "jackpot", "keygen", "kinky", "naked", "payday", "pill", "poker", "rencontre", "roulette", "serialz", "slot", "spam", "sportwetten", "torrent", "wetten",
+)
+SOFT_TERMS = (
+    "bet", "billig", "bonus", "cam", "cheap", "cita", "click", "coupon", "crack", "credito", "dating", "deal", "discount", "download", "farm", "free", "gewinn", "girl", "gratis", "gratuit", "hot", "kostenlos", "kredit", "loan", "oferta",
+    "premio", "promo", "rabatt", "single", "webcam", "win",
+)
+NEEDED = 3
+WEIGHTS = {**dict.fromkeys(STRICT_TERMS, NEEDED), **dict.fromkeys(SUSPECT_TERMS, 2), **dict.fromkeys(SOFT_TERMS, 1)}
+STEMS = dict.fromkeys(STRICT_STEMS, NEEDED)
 
 
 def host_of(url: Column) -> Column:
@@ -47,40 +64,48 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.lit(None).cast("struct<rule:string,verdict:string>") if chain is None else chain
 
 
-def _automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
+def _automaton(terms: Mapping[str, int], stems: Mapping[str, int], needed: int = NEEDED) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for terms, kind in ((soft, "soft"), (strict, "strict")):
-        for term in terms:
-            found.add_word(term, (kind, term))
+    for of, is_stem in ((terms, False), (stems, True)):
+        for term, weight in of.items():
+            found.add_word(term, (term, is_stem, weight, weight >= needed))
     found.make_automaton()
     return found
 
 
-def vocabulary_hits(place: str, automaton: ahocorasick.Automaton) -> tuple[int, int]:
-    """Distinct strict and soft terms in a lower-cased string, bounded by neither letters nor digits."""
-    strict, soft = set(), set()
-    for end, (kind, term) in automaton.iter(place):
-        begin = end - len(term) + 1
-        if not (begin and place[begin - 1].isalnum()) and not place[end + 1 : end + 2].isalnum():
-            (strict if kind == "strict" else soft).add(term)
-    return len(strict), len(soft)
+def vocabulary_hits(place: str, automaton: ahocorasick.Automaton) -> tuple[int, int, int]:
+    """Distinct strict and soft terms hit in a lower-cased string, and what they weigh together."""
+    seen = {}
+    for end, (term, is_stem, weight, strict) in automaton.iter(place):
+        before = end - len(term)
+        opens = before < 0 or not place[before].isalnum()
+        rest = place[end + 1 : end + 3]
+        closes = not rest[:1].isalnum() or (rest[0] == "s" and not rest[1:].isalnum())
+        if (opens or closes) if is_stem else (opens and closes):
+            seen[term] = (strict, weight)
+    n_strict = sum(strict for strict, _ in seen.values())
+    return n_strict, len(seen) - n_strict, sum(weight for _, weight in seen.values())
 
 
 def filter_urls(
-    df: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS, soft_needed: int = SOFT_NEEDED
+    df: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", terms: Mapping[str, int] = MappingProxyType(WEIGHTS), stems: Mapping[str, int] = MappingProxyType(STEMS), needed: int = NEEDED
 ) -> DataFrame:
-    """Adds host, path, rule (null if none fits), n_strict, n_soft and verdict ("allow" or "block")."""
+    """Adds host, path, rule (null if none fits), n_strict, n_soft, weight and verdict ("allow" or "block")."""
+    terms, stems = dict(terms), dict(stems)
 
-    @F.pandas_udf("struct<n_strict:int,n_soft:int>")
+    @F.pandas_udf("struct<n_strict:int,n_soft:int,weight:int>")
     def hits(places: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(strict, soft)
+        automaton = _automaton(terms, stems, needed)
         for series in places:
-            yield pd.DataFrame([vocabulary_hits(p, automaton) for p in series], columns=["n_strict", "n_soft"])
+            yield pd.DataFrame([vocabulary_hits(p, automaton) for p in series], columns=["n_strict", "n_soft", "weight"])
 
     host, path = host_of(F.col(url)), path_of(F.col(url))
     ruled = longest_rule(host, path, rules)
-    found = df.withColumns({"__rule": ruled, "__hits": hits(F.lower(F.concat(host, path)))})
-    weighed = F.when((F.col("__hits.n_strict") > 0) | (F.col("__hits.n_soft") >= soft_needed), "block").otherwise("allow")
+    packed = F.struct(ruled.alias("rule"), hits(F.lower(F.concat(host, path))).alias("hits"), host.alias("host"), path.alias("path"))
+    name = unused(df, "judged")
+    found = df.withColumn(name, packed)
+    of = lambda field: F.col(f"{name}.{field}")
+    weighed = F.when(of("hits.weight") >= needed, "block").otherwise("allow")
     return found.withColumns(
-        {"host": host, "path": path, "rule": F.col("__rule.rule"), "n_strict": F.col("__hits.n_strict"), "n_soft": F.col("__hits.n_soft"), "verdict": F.coalesce(F.col("__rule.verdict"), weighed)}
-    ).drop("__rule", "__hits")
+        {"host": of("host"), "path": of("path"), "rule": of("rule.rule"), "n_strict": of("hits.n_strict"), "n_soft": of("hits.n_soft"), "weight": of("hits.weight"), "verdict": F.coalesce(of("rule.verdict"), weighed)}
+    ).drop(name)

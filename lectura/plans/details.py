@@ -1,5 +1,7 @@
 """Single expressions and small row changes as queries of their own."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from ..functions import text as T
 from ..operators import enrich, lexical, merge, ranking
 from ..streaming import ingest
 from . import library as L
-from .analysis import _ANY, _FNV_SQL, _GATED_SQL, _LOW, _TOK_SQL, _terms_sql, outcomes
-from .queries import _PARA_SQL, books, paragraphs, translations
+from .analysis import _ANY, _FNV_SQL, _GATED_SQL, _LOW, _MERGED_SQL, _OLD_SQL, _OUTCOME_SQL, _TOK_SQL, _terms_sql, outcomes
+from .queries import _BOOKS_SQL, _PARA_SQL, NEEDS_SQL, books, paragraphs, translations
 from .registry import query
 
 # --- gates one by one ------------------------------------------------------------------------------------------------
@@ -56,9 +58,13 @@ def t17_title_tokens(spark: SparkSession, d: str) -> DataFrame:
     return L.articles(spark, d, reading=False).select("id", F.array_join(T.title_tokens(F.col("title")), " ").alias("tokens"))
 
 
-@query("a17_outcome_by_source", None)
+_OUTCOMES = ("accepted", "blocked", "known", "nav_or_links", "not_english", "old", "paywall", "shell", "too_short", "truncated")
+_BY_SOURCE_SQL = f"with {_GATED_SQL}, told as (select source, {_OUTCOME_SQL} as outcome from gated) select source, " + ", ".join(f"count(*) filter (outcome = '{x}') as {x}" for x in _OUTCOMES) + " from told group by source"
+
+
+@query("a17_outcome_by_source", _BY_SOURCE_SQL, ("entries",))
 def a17_outcome_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes(spark, d).groupBy("source").pivot("outcome", ["accepted", "blocked", "known", "nav_or_links", "not_english", "old", "paywall", "shell", "too_short", "truncated"]).count().fillna(0)
+    return outcomes(spark, d).groupBy("source").pivot("outcome", list(_OUTCOMES)).count().fillna(0)
 
 
 @query("p17_language_gate", f"with {_GATED_SQL} select lang, count(*) filter ({_ANY(_LOW.format('left(content_text, 480)'), gates.CHROME_MARKERS)}) as chrome, count(*) as n from gated group by lang", ("entries",))
@@ -283,6 +289,26 @@ def u3_translate_missing(spark: SparkSession, d: str) -> DataFrame:
     return joined.filter("translated_text is not null").unionByName(asked).select("article_id", "idx", F.col("translated_text").alias("translation"))
 
 
+@query("u4_single_flight", f"with {_PARA_SQL}, v as (select distinct p.article_id, p.idx::varchar as scope_key, p.text as source_text, t.translated_text from para p left join tr t on p.article_id = t.article_id and p.idx::varchar = t.scope_key and p.text = t.source_text) select article_id, scope_key, coalesce(translated_text, '» ' || source_text) as translated_text, translated_text is null as fresh from v", ("articles",))
+def u4_single_flight(spark: SparkSession, d: str) -> DataFrame:
+    """All paragraphs wanted twice: valid translations as they are, each other text asked for once."""
+    wanted = paragraphs(spark, d).select("article_id", F.lit("paragraph").alias("scope"), F.col("idx").cast("string").alias("scope_key"), F.col("text").alias("source_text"))
+    made = enrich.translated(wanted.unionByName(wanted), translations(spark, d), enrich.patient(lambda items: ["» " + x for x in items]))
+    return made.select("article_id", "scope_key", "translated_text", "fresh")
+
+
+def _told(items: list[str]) -> list[str]:
+    """Stands for an outside model: fenced JSON with fields made from what is asked."""
+    asked = [json.loads(x) for x in items]
+    return ["```json\n" + json.dumps({"definition": "told " + x["context"], "word_type": "" if x["kind"] == "phrase" else "noun", "collocations": [x["term"] + " of"]}) + "\n```" for x in asked]
+
+
+@query("u8_memory_fields", f"with {_OLD_SQL}, new as (select kind, k, term, 'told ' || context_sentence as definition, case kind when 'phrase' then 'phrase' else 'noun' end as word_type, case kind when 'phrase' then [] else [term || ' of'] end as list from old where {NEEDS_SQL}) {_MERGED_SQL}", ("memory",))
+def u8_memory_fields(spark: SparkSession, d: str) -> DataFrame:
+    saved = L.memory(spark, d).withColumn("collocations", merge.json_list(F.col("collocations_json")))
+    return enrich.enriched_memory(saved, enrich.patient(_told)).withColumn("collocations", F.array_join("collocations", "; "))
+
+
 @query("u5_engine_route", "select r_regionkey, case r_regionkey when 0 then 'local' when 1 then 'api' when 2 then 'local' else 'auto' end as engine from region")
 def u5_engine_route(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("r_regionkey")
@@ -297,7 +323,7 @@ def st6_completion(spark: SparkSession, d: str) -> DataFrame:
     return ingest.reading_time(beats).select("article_id", "completed")
 
 
-@query("p14_books_by_decade", None)
+@query("p14_books_by_decade", _BOOKS_SQL + "select left(issued, 4)::int // 10 * 10 as decade, count(*) as n from books group by decade")
 def p14_books_by_decade(spark: SparkSession, d: str) -> DataFrame:
     decade = (F.floor(F.left("issued", F.lit(4)).cast("int") / 10) * 10).alias("decade")
     return books(spark, d).groupBy(decade).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, gates
 from ..functions import text as T
-from ..operators import dedup, lexical, listing, merge, ranking, stats
+from ..operators import dedup, enrich, lexical, listing, merge, ranking, stats
 from . import library as L
 from .registry import query
 
@@ -152,9 +152,12 @@ def p20_needs_summary(spark: SparkSession, d: str) -> DataFrame:
     return L.articles(spark, d, reading=False).select("id", F.trim("summary").alias("blurb"), (F.trim("summary") == "").alias("needs"))
 
 
-@query("p21_needs_enrichment", "select id, kind, definition = '' or (kind = 'word' and word_type = '') as needs from memory", ("memory",))
+NEEDS_SQL = "(definition = '' or word_type = '' or (kind = 'phrase' and word_type = 'phrase'))"
+
+
+@query("p21_needs_enrichment", f"select id, kind, {NEEDS_SQL} as needs from memory", ("memory",))
 def p21_needs_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    return L.memory(spark, d).select("id", "kind", ((F.col("definition") == "") | ((F.col("kind") == "word") & (F.col("word_type") == ""))).alias("needs"))
+    return L.memory(spark, d).select("id", "kind", enrich.needs_fields(F.col("kind"), F.col("definition"), F.col("word_type")).alias("needs"))
 
 
 #: Function words that the placement test doesn't ask for.

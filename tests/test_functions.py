@@ -256,3 +256,52 @@ def test_search_catalog(spark):
     books = spark.createDataFrame(rows, "gid long, title string, authors string, shelf string")
     assert [r["gid"] for r in listing.search_catalog(books, "moby-dick").collect()] == [3, 1, 2]
     assert listing.search_catalog(books, "melville").count() == 2 and listing.search_catalog(books, "melville", shelf="Fiction").count() == 1 and listing.search_catalog(books, " ").count() == 0
+
+
+def test_patience():
+    import json
+
+    def failing(*failures):
+        left, pauses = list(failures), []
+
+        def model(items):
+            if left:
+                raise left.pop(0)
+            return list(items)
+
+        return enrich.patient(model, sleep=pauses.append), pauses
+
+    for failure in (TimeoutError(), ConnectionResetError(), json.JSONDecodeError("no", "", 0), enrich.Refused(429), enrich.Refused(503)):
+        model, pauses = failing(failure, failure)
+        assert model(["a"]) == ["a"] and pauses == [0.6, 1.2]
+    for failure in (ValueError("no key"), enrich.Refused(401), enrich.Refused(404)):
+        model, pauses = failing(failure)
+        with pytest.raises(type(failure)):
+            model(["a"])
+        assert pauses == []
+    model, pauses = failing(*[enrich.Refused(500)] * 3)
+    with pytest.raises(enrich.Refused):
+        model(["a"])
+    assert pauses == [0.6, 1.2]
+
+
+def test_asked_once(spark, tmp_path):
+    def model(items):
+        for x in items:
+            with open(f"{tmp_path}/{x}", "a") as seen:
+                seen.write("x")
+        return [x.upper() for x in items]
+
+    rows = [(k, "ab"[k % 2]) for k in range(40)] + [(40, None)]
+    got = enrich.asked_once(spark.createDataFrame(rows, "id long, t string").repartition(8), "t", model).collect()
+    assert {(r["id"], r["answer"]) for r in got} == {(k, t and t.upper()) for k, t in rows} and len(got) == 41
+    assert sorted(f.read_text() for f in tmp_path.iterdir()) == ["x", "x"]
+
+
+def test_memory_answers_that_are_no_json(spark):
+    saved = spark.createDataFrame([("word", "a", "", "", ["x"], "c"), ("phrase", "b up", "", "phrase", [], "c"), ("word", "c", "said", "n", [], "c")], "kind string, term string, definition string, word_type string, collocations array<string>, context_sentence string")
+    rows = {r["term"]: r for r in enrich.enriched_memory(saved, lambda items: ["{broken" for _ in items]).collect()}
+    assert (rows["a"]["definition"], rows["a"]["word_type"], rows["b up"]["word_type"], len(rows)) == ("", "", "phrase", 3)
+    told = lambda items: ['{"definition": "d", "word_type": "idiom", "collocations": ["y"]}' for _ in items]
+    rows = {r["term"]: r for r in enrich.enriched_memory(saved, told).collect()}
+    assert [(rows[t]["definition"], rows[t]["word_type"], rows[t]["collocations"]) for t in ("a", "b up", "c")] == [("d", "idiom", ["x", "y"]), ("d", "idiom", []), ("said", "n", [])]

@@ -82,6 +82,18 @@ def reorder(feeds: DataFrame) -> DataFrame:
     return feeds.withColumn("priority", F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("pos")) + 1)
 
 
+def moved(feeds: DataFrame, sections: list[str], category: str, start: int, end: int) -> DataFrame:
+    """Feeds (with `pos` in their category) in one flat order `place` from 1, after the feed at `start` of a category (from 0) was drawn to `end`."""
+    by = Window.partitionBy("category")
+    own = F.row_number().over(by.orderBy("pos")) - 1
+    step = (F.when(own == start, end).when((own > start) & (own <= end), own - 1).when((own < start) & (own >= end), own + 1)).cast("int")
+    at = F.when((F.col("category") == category) & (start < F.count(F.lit(1)).over(by)), F.coalesce(step, own)).otherwise(own)
+    section = F.array_position(F.array(*map(F.lit, sections)), F.col("category"))
+    last = F.when(section == 0, len(sections) + 1).otherwise(section)
+    # feeds are few; the window holds their ids and places only
+    return feeds.withColumn("at", at).withColumn("place", F.row_number().over(Window.orderBy(last, "category", "at"))).drop("at")
+
+
 def neighbours(chapters: DataFrame) -> DataFrame:
     """For each chapter the ones before and behind it in its book, and the book's size."""
     order = Window.partitionBy("source").orderBy("chapter_no")

@@ -9,7 +9,7 @@ from ..functions import gates, scoring
 from ..functions import text as T
 from ..operators import lexical, listing, merge, ranking, stats
 from . import library as L
-from .queries import NEWEST_SQL, NOW_SQL, POOL_SQL, pool
+from .queries import NEWEST_SQL, NOW_SQL, POOL_SQL, lookup_sql, pool
 from .registry import query
 
 # --- statistics ------------------------------------------------------------------------------------------------------
@@ -385,7 +385,15 @@ def l18_content_terms(spark: SparkSession, d: str) -> DataFrame:
     return L.articles(spark, d, reading=False).select("id", F.array_join(F.array_sort(T.content_terms(F.col("title"))), " ").alias("terms"))
 
 
-@query("l2_lemma_lookup")
+_IRREGULAR_SQL = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in lexical.IRREGULAR.items()) + "}"
+_LEMMAS_SQL = f"""with {lookup_sql("select term from lexicon", "select term, rank from lexicon where rank % 2 = 0")},
+ based as (select t.term, arg_min(form, place) as base from tried t join lexicon l on l.term = t.form where place > 0 and l.rank % 2 = 0 group by t.term),
+ likely as (select term, arg_min(form, place) as form from tried where place > 0 group by term),
+ own as (select term from lexicon where rank % 2 = 0)
+ select a.term, coalesce({_IRREGULAR_SQL}[a.term], base, case when a.term not in (select term from own) then form end, a.term) as lemma from asked a left join based using (term) left join likely using (term)"""
+
+
+@query("l2_lemma_lookup", _LEMMAS_SQL, ("lexicon",))
 def l2_lemma_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The base forms of all words by a lexicon of every second one, so that unknown words occur too."""
     lex = L.lexicon(spark, d)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import gates, prose, scoring
 from ..functions import text as T
-from ..operators import enrich, lexical, merge, ranking
+from ..operators import enrich, lexical, merge, ranking, stats
 from ..streaming import ingest
 from . import library as L
 from .analysis import _ANY, _FNV_SQL, _GATED_SQL, _LOW, _MERGED_SQL, _OLD_SQL, _OUTCOME_SQL, _TOK_SQL, _terms_sql, outcomes
@@ -183,9 +183,17 @@ def s10_append_page(spark: SparkSession, d: str) -> DataFrame:
     return shown.unionByName(page.join(shown, "number", "left_anti"))
 
 
-@query("s11_flat_order", "select id, row_number() over (order by category, name) as place from feeds", ("feeds",))
+_FLAT_SQL = """with g as (select category, list(id order by name) as ids from feeds group by category),
+ n as (select category, case category when 'world' then list_concat([ids[3]], ids[1:2], ids[4:]) else ids end as ids from g),
+ f as (select unnest(ids) as id, generate_subscripts(ids, 1) as nth, coalesce(list_position(['world', 'tech', 'finance', 'other', 'book'], category), 6) as section, category from n)
+ select id, row_number() over (order by section, category, nth) as place from f where id is not null"""
+
+
+@query("s11_flat_order", _FLAT_SQL, ("feeds",))
 def s11_flat_order(spark: SparkSession, d: str) -> DataFrame:
-    return L.feeds(spark, d).select("id", F.row_number().over(Window.orderBy("category", "name")).alias("place"))
+    """The order of all feeds after the third of one category was drawn to its top."""
+    feeds = L.feeds(spark, d).select("id", "category", F.col("name").alias("pos"))
+    return stats.moved(feeds, ["world", "tech", "finance", "other", "book"], "world", 2, 0).select("id", "place")
 
 
 # --- headings, parts: window forms -----------------------------------------------------------------------------------

@@ -281,7 +281,30 @@ def j8_chapter_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return stats.neighbours(L.articles(spark, d, reading=False).filter("origin = 'book'"))
 
 
-@query("j12_lookup_fallback")
+def lemma_forms_sql(word: str) -> str:
+    """The base forms of a word that aren't the word, likeliest first, as a SQL list."""
+    ways = []
+    for ending, least, made in lexical._ENDINGS:
+        cut, quoted = f"left({word}, length({word}) - {len(ending)})", ending.replace("'", "''")
+        fits = f"ends_with({word}, '{quoted}') and length({word}) >= {len(ending) + max(least, 1)}"
+        if ending == "s":
+            fits += f" and not regexp_matches({word}, '(s|u|i)s$')"
+        for way in made:
+            ways.append(f"case when {fits} and length({cut}) >= 2 and left(right({cut}, 2), 1) = right({cut}, 1) then left({cut}, length({cut}) - 1) end" if way == "2" else f"case when {fits} then {cut} || '{way}' end")
+    return f"case when length({word}) >= 3 and not contains({word}, ' ') then list_filter([{', '.join(ways)}], lambda f: f is not null and f <> {word} and length(f) >= 2) else [] end"
+
+
+def lookup_sql(terms: str, entries: str) -> str:
+    """Common table expressions `tried` (term, place, form; the term itself at 0) and `hits` (term, entry, rank)."""
+    return f"""asked as (select distinct term from ({terms})), formed as (select term, list_concat([term], {lemma_forms_sql("term")}) as forms from asked),
+ tried as (select term, unnest(forms) as form, generate_subscripts(forms, 1) - 1 as place from formed),
+ hits as (select t.term, arg_min(e.term, place) as entry, arg_min(e.rank, place) as rank from tried t join ({entries}) e on e.term = t.form group by t.term)"""
+
+
+_TITLES_SQL = "select unnest(list_filter(regexp_extract_all(lower(title), '[a-z][a-z''-]*'), lambda t: length(t) >= 2)) as term from articles where lang = 'en'"
+
+
+@query("j12_lookup_fallback", f"with {lookup_sql(_TITLES_SQL, 'select term, rank from lexicon')} select a.term, entry, rank from asked a left join hits using (term)", ("articles", "lexicon"))
 def j12_lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
     words = L.articles(spark, d, reading=False).filter("lang = 'en'").select(F.explode(F.array_distinct(T.difficulty_tokens(F.col("title")))).alias("term"))
     return lexical.looked_up(words, L.lexicon(spark, d))

@@ -305,3 +305,13 @@ def test_memory_answers_that_are_no_json(spark):
     told = lambda items: ['{"definition": "d", "word_type": "idiom", "collocations": ["y"]}' for _ in items]
     rows = {r["term"]: r for r in enrich.enriched_memory(saved, told).collect()}
     assert [(rows[t]["definition"], rows[t]["word_type"], rows[t]["collocations"]) for t in ("a", "b up", "c")] == [("d", "idiom", ["x", "y"]), ("d", "idiom", []), ("said", "n", [])]
+
+
+@pytest.mark.parametrize(("start", "end"), [(0, 3), (3, 0), (1, 2), (2, 2), (0, 9), (9, 0)])
+def test_moved(spark, start, end):
+    rows = [(f"{c}{k}", c, k) for c in "xyz" for k in range(4)]
+    wanted = [f"y{k}" for k in range(4)]
+    if start < 4:
+        wanted.insert(end, wanted.pop(start))
+    got = stats.moved(spark.createDataFrame(rows, "id string, category string, pos long"), ["z", "y"], "y", start, end).orderBy("place").collect()
+    assert [r["id"] for r in got] == [f"z{k}" for k in range(4)] + wanted + [f"x{k}" for k in range(4)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lm, outliers, pii, repeats, simhash, urlfilter
+from . import bpe, chat, decontaminate, langid, lm, outliers, pii, repeats, simhash, urlfilter, wordbpe
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -102,6 +102,13 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by words, and decoded from its ids."""
+    coded = wordbpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded="decoded", keep_text=False)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _sql_host_path(url: str) -> tuple[str, str]:
     host = f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     return host, f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -166,7 +173,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel, op13_word_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

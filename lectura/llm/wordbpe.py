@@ -1,10 +1,11 @@
 """BPE over words with an end mark: each distinct word of the corpus is encoded once, ids come back by position.
 
-Tasks cut the corpus into blocks of bounded text. A block keeps, for every text, the positions of its words in the
-block's own list of distinct words. These lists are joined, on the word, with the table of all distinct words and their
-ids; the ids go back to the block by their position in its list. A word stands in a block's list once at most, so no
-word is hot. Decoding joins the ids of the distinct words with the table of pieces, whose size is that of the
-vocabulary, and follows the same way back.
+Tasks cut the corpus into blocks of bounded text. A block keeps, for every text, the positions of its words: words that
+are frequent in a bounded sample have one number everywhere and are encoded beforehand, all others a place in the
+block's own list of distinct words. These lists meet by word: dealt by word and sorted, each run of a word is one entry
+of the table of distinct words, is encoded once, and its ids go back to every block by place. A word stands in a block's
+list once at most, so no word is hot. Decoding looks every id up in the table of pieces, whose size is that of the
+vocabulary, and which each task holds. The sample has no influence on results.
 
 Defined results: null and empty texts have no ids and decode to ""; texts of any length are encoded whole; repeated rows
 are encoded alike; input columns with the name of an output are replaced, others pass through whatever their names.
@@ -26,13 +27,16 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, shared_dir, texts
+from .common import bounded_batches, shared_dir, slices, texts
 
 #: Bytes of text in a block (one longer text is a block of its own).
 BLOCK_BYTES = 16 << 20
 #: Below this code point the word rules of the vocabulary's library don't depend on its Unicode version.
 STABLE = "Ԟ"
+#: At most so many words of at most so many letters, the most frequent of at most so many documents, are encoded beforehand.
+FREQUENT, FREQUENT_LETTERS, SAMPLE_DOCS = 1 << 16, 40, 2000
 
 
 def _byte_letters() -> list[str]:
@@ -64,6 +68,9 @@ class WordVocabulary:
         self.odd = f"[^\\x00-\\x{{{ord(STABLE) - 1:x}}}]" + "".join("|" + "".join(f"\\x{{{ord(c):x}}}" for c in x) for x in self.special)
         library = tokenizers.Tokenizer.from_str(content)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.piece_of = pa.array([piece for _, piece in sorted(self.pieces())], pa.string())
+        if len(self.piece_of) != max(i for i, _ in self.pieces()) + 1:
+            raise ValueError("ids must be dense")
         self.bytes = {x: b for b, x in enumerate(letters)}
 
     def pieces(self) -> list[tuple[int, str]]:
@@ -154,13 +161,17 @@ def _pack(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _block(rows: list[pa.RecordBatch], text: str, keep: list[str], vocabulary: WordVocabulary) -> pa.RecordBatch:
-    """A block: its rows with the positions of their words, packed; and its distinct words."""
+def _block(rows: list[pa.RecordBatch], text: str, keep: list[str], vocabulary: WordVocabulary, frequent: dict[str, int]) -> pa.RecordBatch:
+    """A block: its rows with the numbers of their words, packed; and its distinct words beyond the frequent ones."""
     table = pa.Table.from_batches(rows)
     column = pa.chunked_array([texts(b, text) for b in rows]).combine_chunks()
     parts = pc.ascii_split_whitespace(column)
     coded = parts.flatten().dictionary_encode()
-    words, flat, count = vocabulary.split_all(coded.dictionary)
+    names, flat, count = vocabulary.split_all(coded.dictionary)
+    number = np.fromiter((frequent.get(w, -1) for w in names), np.int32, len(names))
+    rare = np.flatnonzero(number < 0)
+    number[rare] = len(frequent) + np.arange(rare.size)
+    words, flat = [names[i] for i in rare.tolist()], number[flat] if len(names) else flat
     start = np.cumsum(count) - count
     code = coded.indices.to_numpy()
     total = np.append(0, np.cumsum(count[code]))
@@ -170,35 +181,62 @@ def _block(rows: list[pa.RecordBatch], text: str, keep: list[str], vocabulary: W
     return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), pa.array([_pack(packed)]), pa.array([words], pa.list_(pa.string()))], ["block", "packed", "words"])
 
 
-def _blocks(df: DataFrame, text: str, keep: list[str], content) -> DataFrame:
+def _blocks(df: DataFrame, text: str, keep: list[str], content, frequent) -> DataFrame:
     """Columns block, packed and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = _vocabulary(content), [], 0
+        vocabulary, known, held, size = _vocabulary(content), {w: i for i, w in enumerate(frequent.value[0])}, [], 0
         for batch in batches:
             bytes_of = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
             at = 0
             for i, more in enumerate(bytes_of.tolist()):
                 if size and size + more > BLOCK_BYTES:
                     held.append(batch.slice(at, i - at))
-                    yield _block(held, text, keep, vocabulary)
+                    yield _block(held, text, keep, vocabulary, known)
                     held, size, at = [], 0, i
                 size += more
             held.append(batch.slice(at))
         if held:
-            yield _block(held, text, keep, vocabulary)
+            yield _block(held, text, keep, vocabulary, known)
 
     return df.mapInArrow(run, "block long, packed binary, words array<string>")
 
 
-def _encoded(words: DataFrame, content) -> DataFrame:
-    """Columns word and ids of a frame of distinct words, dealt as these are."""
+def _frequent(df: DataFrame, text: str, content) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The frequent words of a sample of bounded size, their ids one after another, and where each word's ids begin."""
 
-    def run(word: pa.Array) -> pa.Array:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content)
-        return pa.array([vocabulary.encode(w) for w in word.to_pylist()], pa.list_(pa.int32()))
+        for part in (p for batch in batches for p in slices(iter([batch]), text)):
+            coded = pc.ascii_split_whitespace(texts(part, text)).flatten().dictionary_encode()
+            names, flat, each = vocabulary.split_all(coded.dictionary)
+            times = np.repeat(np.bincount(coded.indices.to_numpy(), minlength=len(each)), each)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(flat, times, len(names)).astype(np.int64))], ["word", "n"])
 
-    return words.select("word", F.arrow_udf(run, "array<int>")("word").alias("ids"))
+    counts = df.select(text).limit(SAMPLE_DOCS).mapInArrow(count, "word string, n long").filter(F.length("word") <= FREQUENT_LETTERS)
+    most = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
+    found = _encoded(most, content).toArrow()
+    ids = found.column("ids").combine_chunks()
+    return found.column("word").to_pylist(), ids.flatten().to_numpy(), ids.offsets.to_numpy()
+
+
+def _encoded(words: DataFrame, content, *others: str) -> DataFrame:
+    """Columns word (or the others in its place) and ids; equal words that follow each other are encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, last, last_ids = _vocabulary(content), None, []
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column("word"))
+            names, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            found = [last_ids if w == last else vocabulary.encode(w) for w in names]
+            if names:
+                last, last_ids = names[-1], found[-1]
+            each = np.repeat(np.arange(len(names)), np.diff(ends, prepend=0))
+            ids = pa.array(found, pa.list_(pa.int32())).take(pa.array(each))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), ids], [*kept, "ids"])
+
+    kept = others or ("word",)
+    return words.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in words.dtypes if c in kept) + ", ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -207,38 +245,26 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame(WordVocabulary(file.read()).pieces(), "id int, piece string")
 
 
-def word_table(words: DataFrame, content, table: DataFrame | None) -> DataFrame:
-    """Columns word and ids (and decoded, if the table of pieces is given) of a frame of distinct words.
-
-    The table of pieces is broadcast: it has a row for each entry of the vocabulary and doesn't grow with the corpus.
-    """
-    coded = _encoded(words, content)
-    if table is None:
-        return coded
-    each = coded.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    whole = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("all"))
-    return whole.select("word", F.col("all.id").alias("ids"), F.array_join("all.piece", " ").alias("decoded"))
-
-
-def _unpack(left: pa.Table, right: pa.Table, fields: pa.Schema, decode: bool) -> pa.Table:
-    """The rows of a block with the ids of their words."""
-    codes, ids = right.column("code").to_numpy(), right.column("ids").combine_chunks()
-    order = np.argsort(codes)
-    ids = ids.take(pa.array(order))
-    flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-    pieces = right.column("decoded").combine_chunks().take(pa.array(order)) if decode else None
+def _unpack(left: pa.Table, right: pa.Table, fields: pa.Schema, frequent: tuple[list[str], np.ndarray, np.ndarray], vocabulary: WordVocabulary | None) -> pa.Table:
+    """The rows of a block with the ids of their words, and what these decode to if a vocabulary is given."""
+    ids = right.column("ids").combine_chunks().take(pc.sort_indices(right.column("code")))
+    ids = ids if isinstance(ids, pa.Array) else ids.combine_chunks()
+    _, flat, at = frequent
+    at = np.append(at, at[-1] + ids.offsets.to_numpy()[1:] - ids.offsets[0].as_py())
+    flat = np.append(flat, ids.flatten().to_numpy())
     out = []
     for blob in left.column("packed"):
         with pa.ipc.open_stream(blob.as_buffer()) as stream:
             rows = stream.read_all().combine_chunks()
         held = rows.column(rows.num_columns - 1).combine_chunks()
         word, begin = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
-        each = np.diff(at)[word] if len(word) else np.zeros(0, np.int64)
+        each = np.diff(at)[word]
         total = np.append(0, np.cumsum(each))
-        whole = flat[np.repeat(at[:-1][word] - total[:-1], each) + np.arange(total[-1])] if len(word) else np.zeros(0, np.int32)
-        more = [pa.LargeListArray.from_arrays(pa.array(total[begin]), pa.array(whole, pa.int32()))]
-        if decode:
-            more.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pieces.take(pa.array(word))), " "))
+        whole = flat[np.repeat(at[:-1][word] - total[:-1], each) + np.arange(total[-1])].astype(np.int32)
+        more = [pa.LargeListArray.from_arrays(pa.array(total[begin]), pa.array(whole))]
+        if vocabulary:
+            said = vocabulary.piece_of.take(pa.array(whole))
+            more.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(total[begin], pa.int32()), said), " "))
         columns = [rows.column(i) for i in range(rows.num_columns - 1)] + more
         out.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
     return pa.concat_tables(out) if out else fields.empty_table()
@@ -256,20 +282,18 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     sent = spark.sparkContext.broadcast(content)
     taken = {ids.lower(), (decoded or ids).lower()} | (set() if keep_text else {text.lower()})
     keep = [c for c in df.columns if c.lower() not in taken]
-    places = {c: i for i, c in enumerate(df.columns)}
-    kinds = [df.schema[places[c]] for c in keep]
+    kinds = [f for f in df.schema if f.name in keep]
     more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
     schema = T.StructType([*kinds, *more])
-    blocks = _written(_blocks(df, text, keep, sent))
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    table = word_table(words.select("word").distinct(), sent, pieces(spark, path) if decoded else None)
-    back = words.join(table, "word").select(F.col("block").alias("at"), "code", *table.columns[1:])
-    narrow = bool(decoded)
+    frequent = spark.sparkContext.broadcast(_frequent(df, text, sent))
+    blocks = _written(_blocks(df, text, keep, sent, frequent))
+    words = blocks.select(F.col("block").alias("at"), F.posexplode("words").alias("code", "word"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = _encoded(words.repartition(n, "word").sortWithinPartitions("word"), sent, "at", "code")
+    out = to_arrow_schema(schema)
 
     def unpack(left: pa.Table, right: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        return _unpack(left, right, to_arrow_schema(schema), narrow)
+        return _unpack(left, right, out, frequent.value, _vocabulary(sent) if decoded else None)
 
     return blocks.select("block", "packed").groupBy("block").cogroup(back.groupBy("at")).applyInArrow(unpack, schema)
 
@@ -283,7 +307,13 @@ def _written(blocks: DataFrame) -> DataFrame:
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds the text of every row's ids: their pieces, looked up by id, with spaces between. Null ids decode to null."""
-    table = pieces(df.sparkSession, path).agg(F.map_from_entries(F.collect_list(F.struct("id", "piece"))).alias("__pieces"))
-    said = F.array_join(F.transform(ids, lambda i: F.element_at("__pieces", i)), " ")
-    return df.crossJoin(F.broadcast(table)).withColumn(decoded, said).drop("__pieces")
+    """Adds the text of every row's ids: each id joined with its piece, put together again in order, with spaces between.
+
+    Rows with equal ids share one way through the join. Null ids decode to null, none to ""; unknown ids are left out.
+    """
+    key = F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
+    each = df.select(key.alias("__key"), ids).filter(F.col("__key").isNotNull()).dropDuplicates(["__key"]).select("__key", F.posexplode(ids).alias("pos", "id"))
+    found = each.join(F.broadcast(pieces(df.sparkSession, path)), "id").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("all"))
+    found = found.select("__key", F.array_join("all.piece", " ").alias("__said"))
+    joined = df.drop(decoded).withColumn("__key", key).join(found, "__key", "left")
+    return joined.withColumn(decoded, F.when(F.col(ids).isNotNull(), F.coalesce("__said", F.lit("")))).drop("__key", "__said")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lm, outliers, pii, repeats, simhash, urlfilter, wordbpe
+from . import bpe, chat, decontaminate, langid, lm, outliers, pii, repeats, simhash, txlog, urlfilter, wordbpe
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -102,6 +102,20 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_undo_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a log of transactions: the store after each epoch of commits, and every change that was undone."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    turn = F.col("h") % 41
+    kind = F.when(turn <= 1, "commit").when(turn == 2, "abort").when(turn <= 4, "savepoint").when(turn <= 6, "rollback").otherwise("change")
+    docs = docs.withColumns({"kind": kind, "key": F.floor(F.col("h") / 100).cast("long") % 3000})
+    docs = docs.select("doc_id", "source", "kind", "key", F.when(F.col("kind") == "change", F.crc32(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("text")).cast("binary"))).alias("said"))
+    toxic = read(spark, sf_dir, "labels", "doc_id", "toxic").filter("toxic = 1").select("doc_id", F.lit(True).alias("gone")).distinct()
+    log = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").alias("at"), "source", "kind", "key", F.when(F.col("gone").isNull(), F.col("said")).alias("value"))
+    changes, commits = txlog.reassemble(log)
+    stored = txlog.states(changes, commits).select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), "n", F.col("total").alias("value"))
+    return stored.unionByName(changes.filter("what <> 'commit'").select(F.col("what").alias("kind"), F.col("at").alias("id"), F.col("by").alias("n"), F.col("key").alias("value")))
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by words, and decoded from its ids."""
     coded = wordbpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded="decoded", keep_text=False)
@@ -173,7 +187,7 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel, op13_word_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel, op11_undo_log, op13_word_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

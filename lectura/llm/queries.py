@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lm, outliers, pii, repeats, simhash, txlog, urlfilter, wordbpe
+from . import bpe, chat, decontaminate, impact, langid, lm, outliers, pii, repeats, simhash, txlog, urlfilter, wordbpe
 from .common import read
 
 #: (verdict, rule): the host of a rule ends at its first slash.
@@ -79,6 +79,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+SQL_OP12 = r"""
+with split as (select doc_id, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+asked as (select item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from (select distinct item_id, text from benchmark)),
+wanted as (select item_id, text, term, count(*) as times from asked group by all),
+totals as (select count(*) filter (len(terms) > 0) as n_docs, sum(len(terms))::bigint as n_terms from split),
+found as (select d, unnest(terms) as term from split),
+tfs as (select d, term, count(*) as tf from found where term in (select term from wanted) group by all),
+weights as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from tfs, totals group by term),
+lengths as (select doc_id, d, 100 - 75 + (75 * len(terms) * n_docs) // n_terms as m from split, totals where len(terms) > 0),
+scores as (select item_id, text, doc_id, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from wanted join tfs using (term) join weights using (term) join lengths using (d) group by all),
+ranked as (select item_id, row_number() over (partition by item_id, text order by score desc, doc_id asc nulls first)::int as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 10"""
+
 #: Bytes as pairs of hex digits; every string of 100 bytes by where it starts.
 SQL_OP1 = """
 with hexed as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -116,6 +129,11 @@ def op11_undo_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(changes.filter("what <> 'commit'").select(F.col("what").alias("kind"), F.col("at").alias("id"), F.col("by").alias("n"), F.col("key").alias("value")))
 
 
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each item of the benchmark."""
+    return impact.search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by words, and decoded from its ids."""
     coded = wordbpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded="decoded", keep_text=False)
@@ -187,8 +205,8 @@ select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel, op11_undo_log, op13_word_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repeats, op2_url_filter, op3_simhash, op4_outliers, op5_chat_windows, op6_log_bilinear, op7_surrogates, op8_templates, op9_byte_bpe, op10_string_kernel, op11_undo_log, op12_impact_search, op13_word_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repeats": SQL_OP1, "op2_url_filter": _sql_op2(), "op5_chat_windows": _sql_op5()}
+    return {"op1_suffix_repeats": SQL_OP1, "op2_url_filter": _sql_op2(), "op5_chat_windows": _sql_op5(), "op12_impact_search": SQL_OP12}

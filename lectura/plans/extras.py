@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import prose, scoring
 from ..functions import text as T
-from ..operators import dedup, enrich, etl, stats
-from ..sources import readers, writers
+from ..operators import dedup, enrich, etl, phrases, stats
+from ..sources import extraction, readers, writers
 from ..streaming import ingest
 from . import library as L
 from .registry import query
@@ -64,13 +64,41 @@ def t32_chapters(spark: SparkSession, d: str) -> DataFrame:
     return book.select("book", F.posexplode(prose.chapters_column("raw")).alias("idx", "c")).select("book", "idx", "c.title", F.char_length("c.text").alias("chars"))
 
 
-@query("l12_annotate")
+_SQL_SPANS = """cut as (select id, regexp_extract_all(content_text, '[A-Za-z][A-Za-z''’-]*') as w, regexp_split_to_array(content_text, '[A-Za-z][A-Za-z''’-]*') as g from articles where lang = 'en'),
+ toks as (select id, i, replace(lower(w[i + 1]), '’', '''') as word, case when regexp_full_match(g[i + 2], '\\s+') then 1 else 0 end as joined from (select id, w, g, unnest(range(len(w))) as i from cut)),
+ sized as (select key, split_part(key, ' ', 1) as first, len(string_split(key, ' ')) as n from phrases),
+ begun as (select t.id, t.i, p.n, p.key from toks t join sized p on p.first = t.word),
+ long as (select b.id, b.i, b.n, b.key from begun b join toks t on t.id = b.id and t.i >= b.i and t.i < b.i + b.n group by all having count(*) = b.n and sum(case when t.i < b.i + b.n - 1 then joined else 1 end) = b.n and string_agg(t.word, ' ' order by t.i) = b.key),
+ best as (select id, i, max(n) as n, arg_max(key, n) as key from long group by all),
+ linked as (select b.*, o.i as nxt, row_number() over (partition by b.id order by b.i) = 1 as head from best b asof left join best o on o.id = b.id and o.i >= b.i + b.n),
+ taken as (select id, i, n, key, nxt from linked where head union all select l.id, l.i, l.n, l.key, l.nxt from taken t join linked l on l.id = t.id and l.i = t.nxt)"""
+
+
+@query("j13_longest_phrases", "with recursive " + L.with_views("phrases", sql="")[5:] + ", " + _SQL_SPANS + " select id, i, n, key from taken")
+def j13_longest_phrases(spark: SparkSession, d: str) -> DataFrame:
+    texts = L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.col("content_text").alias("text"))
+    return phrases.longest_matches(texts, L.phrases(spark, d))
+
+
+@query("l12_annotate", "with recursive " + L.with_views("phrases", "lexicon", sql="")[5:] + ", " + _SQL_SPANS + """,
+ covered as (select id, unnest(range(i, i + n)) as i from taken), known as (select id, i, n, 'phrase' as type, key, null::int as rank from taken union all select t.id, t.i, 1, 'word', t.word, l.rank from toks t join lexicon l on l.term = t.word anti join covered c on c.id = t.id and c.i = t.i),
+ ends as (select *, coalesce(lag(i + n) over (partition by id order by i), 0) as past, row_number() over (partition by id order by i) as k from known), tail as (select c.id, len(w) as i, 0 as n, 'text' as type, null::varchar as key, null::int as rank, coalesce(m.past, 0) as past, coalesce(m.k, 0) + 1 as k from cut c left join (select id, max(i + n) as past, max(k) as k from ends group by id) m using (id)),
+ pieces as (select id, list_concat(flatten(list_transform(range(len(w)), lambda i: [g[i + 1], w[i + 1]])), [g[len(w) + 1]]) as p from cut), parts as (select * from ends union all select * from tail),
+ spans as (select id, 2 * k as spot, 'text' as type, array_to_string(p[case when k = 1 then 1 else past * 2 + 1 end : case when n = 0 then len(p) else i * 2 + 1 end], '') as text, null::varchar as key, null::int as rank from parts join pieces using (id)
+ union all select id, 2 * k + 1, type, array_to_string(p[i * 2 + 2 : (i + n) * 2], ''), key, rank from parts join pieces using (id) where n > 0)
+ select id, (row_number() over (partition by id order by spot) - 1)::int as idx, type, text, key, rank from spans where text <> ''""")
 def l12_annotate(spark: SparkSession, d: str) -> DataFrame:
-    words = {r["term"]: r["rank"] for r in L.lexicon(spark, d).filter("rank <= 5000").select("term", "rank").collect()}  # 5000 words at most
-    pairs = [r["term"] for r in L.lexicon(spark, d).filter("rank <= 60").select("term").collect()]
-    lexicon = prose.Lexicon(words, frozenset(f"{a} {b}" for a, b in zip(pairs, pairs[1:], strict=False)))
-    spans = L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.posexplode(prose.annotate_column(lexicon)(F.col("title"))).alias("idx", "s"))
-    return spans.select("id", "idx", "s.type", "s.text", "s.key", "s.rank")
+    texts = L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.col("content_text").alias("text"))
+    return phrases.annotate(texts, L.lexicon(spark, d), L.phrases(spark, d))
+
+
+@query("src6_main_text", """with a as (select page_id, html, regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1) as own from pages), b as (select page_id, regexp_replace(regexp_replace(own, '<(br|/?p|/?h1|/?li|/?ul|/?div)[^>]*>', ' ', 'gi'), '<[^>]+>', '', 'g') as own from a),
+ c as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(own, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) as main_text from b) select page_id, main_text, len(string_split(main_text, ' ')) as main_words, len(string_split(main_text, ' ')) >= 400 as enough, null::varchar as defect from c""")
+def src6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's main text, found by its shape, not by its element's name."""
+    found = extraction.extract(L.table(spark, d, "pages").select("page_id", "html"))
+    return found.select("page_id", T.collapse_spaces(F.col("main_text")).alias("main_text"), "main_words", (F.col("main_words") >= extraction.LEAST_WORDS).alias("enough"), "defect")
+
 
 
 @query("t34_clip", "select id, trim(left(title, 60)) as clipped from articles", ("articles",))

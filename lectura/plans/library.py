@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.phrases import WORD, folded
 
 NOW = "2024-01-31 00:00:00"
 RETENTION_DAYS = 14
@@ -94,6 +95,14 @@ def ranked_words(counted: DataFrame) -> DataFrame:
     return parts.withColumn("own", own).join(before, ["n", "part"]).select("term", "n", (F.col("before") + F.col("own")).cast("int").alias("rank"))
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key of the phrases that English titles begin with: two to five words, by the article's number."""
+    words = F.regexp_extract_all("title", F.lit(f"({WORD})"), F.lit(1))
+    begun = articles(spark, sf_dir, reading=False).filter("lang = 'en'").withColumns({"words": words, "n": (F.col("number") % 4 + 2).cast("int")}).filter(F.size("words") >= F.col("n"))
+    return begun.select(F.array_join(F.transform(F.slice("words", F.lit(1), F.col("n")), folded), " ").alias("key")).distinct()
+
+
+
 def entries(spark: SparkSession, sf_dir: str, reading: bool = False) -> DataFrame:
     """Articles as feed entries, with planted defects so that every gate has cases; with reading activity only if asked for."""
     n = F.col("number")
@@ -136,6 +145,7 @@ SQL_VIEWS = {
         from (select source, category, count(*) as n, max(published_at) as latest from articles group by all) group by source)""",
     "words": """select unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda t: length(t) >= 2)) as term from documents where lang = 'en'""",
     "lexicon": "select term, n, row_number() over (order by n desc, term) as rank from (select term, count(*) as n from words group by term)",
+    "phrases": """select distinct replace(lower(array_to_string(w[1:number % 4 + 2], ' ')), '’', '''') as key from (select number, regexp_extract_all(title, '[A-Za-z][A-Za-z''’-]*') as w from articles where lang = 'en') where len(w) >= number % 4 + 2""",
     "entries": """select * replace (case when number % 23 = 3 then 'Weekly links: ' || title else title end as title, case when number % 41 = 7 then timestamp '2024-01-31 00:00:00' - to_days(40) else published_at end as published_at,
         (case when number % 19 = 2 then 'Skip to main content' || chr(10) else '' end) || content_text || (case when number % 17 = 1 then ' Continue reading…' else '' end) || (case when number % 29 = 4 then ' Subscription required.' else '' end)
         || (case when number % 31 = 5 then repeat(' 12:34', 20) else '' end) || (case when number % 37 = 6 then repeat(' https://x.example', word_count // 8 + 1) else '' end) as content_text) from articles""",
@@ -144,7 +154,7 @@ SQL_VIEWS = {
         case when rank % 6 = 0 then '=sum' else 'see ' || term end as context_sentence, case when rank % 3 = 0 then 'mastered' else 'learning' end as status, (rank % 40)::varchar as article_id,
         timestamp '2024-01-31 00:00:00' - to_hours(rank) as created_at from lexicon where rank between 50 and 249""",
 }
-_NEEDS = {"articles": ("activity",), "feeds": ("articles",), "lexicon": ("words",), "entries": ("articles",), "memory": ("lexicon",)}
+_NEEDS = {"articles": ("activity",), "feeds": ("articles",), "lexicon": ("words",), "phrases": ("articles",), "entries": ("articles",), "memory": ("lexicon",)}
 
 
 def with_views(*names: str, sql: str) -> str:

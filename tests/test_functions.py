@@ -146,19 +146,6 @@ def test_cleaning_again_changes_nothing(text):
     assert prose.clean_body(once) == once
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["look", "looking", "forward", "to", "it", ",", "  ", "\n", " ", "x-ray", "ü"]), max_size=14))
-def test_annotation_gives_the_text_back(parts):
-    text = "".join(parts)
-    spans = prose.annotate(text, prose.Lexicon({"look": 1, "it": 2}, frozenset({"looking forward to", "forward to"})))
-    assert "".join(s["text"] for s in spans) == text
-
-
-def test_annotation_takes_the_longest():
-    spans = prose.annotate("We look forward to it", prose.Lexicon({"it": 5}, frozenset({"look forward", "look forward to"})))
-    assert [(s["type"], s["text"]) for s in spans] == [("text", "We "), ("phrase", "look forward to"), ("text", " "), ("word", "it")]
-
-
 def test_chapters():
     body = [b for k in range(1, 7) for b in (f"CHAPTER {k}. Of things", "word " * 50)]
     contents = [f"CHAPTER {k}. Of things" for k in range(1, 7)]

@@ -14,6 +14,7 @@ are encoded alike; input columns with the name of an output are replaced, others
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import secrets
 import unicodedata
@@ -35,8 +36,10 @@ from .common import bounded_batches, shared_dir, slices, texts
 BLOCK_BYTES = 16 << 20
 #: Below this code point the word rules of the vocabulary's library don't depend on its Unicode version.
 STABLE = "Ԟ"
-#: At most so many words of at most so many letters, the most frequent of at most so many documents, are encoded beforehand.
-FREQUENT, FREQUENT_LETTERS, SAMPLE_DOCS = 1 << 16, 40, 2000
+#: At most so many words of at most so many letters, the most frequent of about so many documents, are encoded beforehand.
+FREQUENT, FREQUENT_LETTERS, SAMPLE_DOCS = 1 << 17, 40, 4000
+#: Rows of ids that a task holds before it sends them back, those of a block together.
+HELD_ROWS = 100_000
 
 
 def _byte_letters() -> list[str]:
@@ -177,12 +180,24 @@ def _block(rows: list[pa.RecordBatch], text: str, keep: list[str], vocabulary: W
     total = np.append(0, np.cumsum(count[code]))
     codes = flat[np.repeat(start[code] - total[:-1], count[code]) + np.arange(total[-1])]
     begin = total[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-    packed = table.select(keep).append_column("", pa.LargeListArray.from_arrays(pa.array(begin), pa.array(codes)))
-    return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), pa.array([_pack(packed)]), pa.array([words], pa.list_(pa.string()))], ["block", "packed", "words"])
+    packed = _pack(table.select(keep).append_column("", pa.array(np.diff(begin))))
+    return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), pa.array([packed]), pa.array([_squeezed(codes)], pa.binary()), pa.array([words], pa.list_(pa.string()))], ["block", "packed", "codes", "words"])
+
+
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Whole numbers, their lowest bytes first and together: these hardly shrink, the others do."""
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(codes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _blocks(df: DataFrame, text: str, keep: list[str], content, frequent) -> DataFrame:
-    """Columns block, packed and words."""
+    """Columns block, packed (rows and how many words each has), codes (all words' numbers) and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known, held, size = _vocabulary(content), {w: i for i, w in enumerate(frequent.value[0])}, [], 0
@@ -199,7 +214,7 @@ def _blocks(df: DataFrame, text: str, keep: list[str], content, frequent) -> Dat
         if held:
             yield _block(held, text, keep, vocabulary, known)
 
-    return df.mapInArrow(run, "block long, packed binary, words array<string>")
+    return df.mapInArrow(run, "block long, packed binary, codes binary, words array<string>")
 
 
 def _frequent(df: DataFrame, text: str, content) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -213,30 +228,76 @@ def _frequent(df: DataFrame, text: str, content) -> tuple[list[str], np.ndarray,
             times = np.repeat(np.bincount(coded.indices.to_numpy(), minlength=len(each)), each)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(flat, times, len(names)).astype(np.int64))], ["word", "n"])
 
-    counts = df.select(text).limit(SAMPLE_DOCS).mapInArrow(count, "word string, n long").filter(F.length("word") <= FREQUENT_LETTERS)
+    some = df.select(text).sample(min(1.0, SAMPLE_DOCS / max(1, df.count())), seed=0)
+    counts = some.mapInArrow(count, "word string, n long").filter(F.length("word") <= FREQUENT_LETTERS)
     most = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
     found = _encoded(most, content).toArrow()
     ids = found.column("ids").combine_chunks()
     return found.column("word").to_pylist(), ids.flatten().to_numpy(), ids.offsets.to_numpy()
 
 
-def _encoded(words: DataFrame, content, *others: str) -> DataFrame:
-    """Columns word (or the others in its place) and ids; equal words that follow each other are encoded once."""
+def _runs(word: pa.Array, vocabulary: WordVocabulary, last: list) -> pa.Array:
+    """The ids of words; equal ones that follow each other, also from batch to batch, are encoded once."""
+    runs = pc.run_end_encode(word)
+    names = runs.values.to_pylist()
+    found = [last[1] if last and w == last[0] else vocabulary.encode(w) for w in names]
+    if names:
+        last[:] = names[-1], found[-1]
+    each = np.repeat(np.arange(len(names)), np.diff(runs.run_ends.to_numpy(), prepend=0))
+    return pa.array(found, pa.list_(pa.int32())).take(pa.array(each))
+
+
+def _encoded(words: DataFrame, content) -> DataFrame:
+    """Columns word and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, last, last_ids = _vocabulary(content), None, []
+        last: list = []
         for batch in batches:
-            runs = pc.run_end_encode(batch.column("word"))
-            names, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
-            found = [last_ids if w == last else vocabulary.encode(w) for w in names]
-            if names:
-                last, last_ids = names[-1], found[-1]
-            each = np.repeat(np.arange(len(names)), np.diff(ends, prepend=0))
-            ids = pa.array(found, pa.list_(pa.int32())).take(pa.array(each))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), ids], [*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _runs(batch.column("word"), _vocabulary(content), last)], ["word", "ids"])
 
-    kept = others or ("word",)
-    return words.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in words.dtypes if c in kept) + ", ids array<int>")
+    return words.mapInArrow(run, "word string, ids array<int>")
+
+
+def _sent_back(words: DataFrame, content) -> DataFrame:
+    """Columns at (a block) and ids (places, numbers of ids and ids of some of its words, one array after another)."""
+
+    def grouped(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        at, code = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        order = np.argsort(at, kind="stable")
+        ids = pa.chunked_array([h[2] for h in held]).combine_chunks().take(pa.array(order))
+        begin, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+        at, code, count = at[order], code[order].astype("<i4"), np.diff(begin).astype("<i4")
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        rows = [(hi - lo).to_bytes(4, "little") + code[lo:hi].tobytes() + count[lo:hi].tobytes() + flat[begin[lo] : begin[hi]].astype("<i4").tobytes() for lo, hi in itertools.pairwise(cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), pa.array(rows, pa.binary())], ["at", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, last, held, size = _vocabulary(content), [], [], 0
+        for batch in batches:
+            held.append((batch.column("at").to_numpy(), batch.column("code").to_numpy(), _runs(batch.column("word"), vocabulary, last)))
+            size += batch.num_rows
+            if size >= HELD_ROWS:
+                yield from grouped(held)
+                held, size = [], 0
+        if size:
+            yield from grouped(held)
+
+    return words.mapInArrow(run, "at long, ids binary")
+
+
+def _arrived(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block's words in the order of their places, and how many each word has."""
+    codes, counts, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for raw in rows.to_pylist():
+        n = int.from_bytes(raw[:4], "little")
+        own = np.frombuffer(raw, "<i4", offset=4)
+        codes.append(own[:n])
+        counts.append(own[n : 2 * n])
+        ids.append(own[2 * n :])
+    code, count, flat = map(np.concatenate, (codes, counts, ids))
+    order = np.argsort(code)
+    start, each = (np.cumsum(count) - count)[order], count[order]
+    return flat[np.repeat(start - (np.cumsum(each) - each), each) + np.arange(flat.size)], each
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -247,17 +308,14 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def _unpack(left: pa.Table, right: pa.Table, fields: pa.Schema, frequent: tuple[list[str], np.ndarray, np.ndarray], vocabulary: WordVocabulary | None) -> pa.Table:
     """The rows of a block with the ids of their words, and what these decode to if a vocabulary is given."""
-    ids = right.column("ids").combine_chunks().take(pc.sort_indices(right.column("code")))
-    ids = ids if isinstance(ids, pa.Array) else ids.combine_chunks()
+    more, each = _arrived(right.column("ids"))
     _, flat, at = frequent
-    at = np.append(at, at[-1] + ids.offsets.to_numpy()[1:] - ids.offsets[0].as_py())
-    flat = np.append(flat, ids.flatten().to_numpy())
+    at, flat = np.append(at, at[-1] + np.cumsum(each)), np.append(flat, more)
     out = []
-    for blob in left.column("packed"):
+    for blob, codes in zip(left.column("packed"), left.column("codes").to_pylist(), strict=True):
         with pa.ipc.open_stream(blob.as_buffer()) as stream:
             rows = stream.read_all().combine_chunks()
-        held = rows.column(rows.num_columns - 1).combine_chunks()
-        word, begin = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
+        begin, word = np.append(0, np.cumsum(rows.column(rows.num_columns - 1).to_numpy())), _unsqueezed(codes)
         each = np.diff(at)[word]
         total = np.append(0, np.cumsum(each))
         whole = flat[np.repeat(at[:-1][word] - total[:-1], each) + np.arange(total[-1])].astype(np.int32)
@@ -289,13 +347,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     blocks = _written(_blocks(df, text, keep, sent, frequent))
     words = blocks.select(F.col("block").alias("at"), F.posexplode("words").alias("code", "word"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    back = _encoded(words.repartition(n, "word").sortWithinPartitions("word"), sent, "at", "code")
+    back = _sent_back(words.repartition(n, "word").sortWithinPartitions("word"), sent)
     out = to_arrow_schema(schema)
 
     def unpack(left: pa.Table, right: pa.Table) -> pa.Table:
         return _unpack(left, right, out, frequent.value, _vocabulary(sent) if decoded else None)
 
-    return blocks.select("block", "packed").groupBy("block").cogroup(back.groupBy("at")).applyInArrow(unpack, schema)
+    return blocks.select("block", "packed", "codes").groupBy("block").cogroup(back.groupBy("at")).applyInArrow(unpack, schema)
 
 
 def _written(blocks: DataFrame) -> DataFrame:

@@ -13,13 +13,13 @@ Equal fingerprints are one node from the start. Under a key only a spanning fore
 Keys that hold more than `CROWD` fingerprints are split by the pigeonhole rule over the bits that the key leaves free:
 by four more bytes, then by four times six more bits; after that at most 2^18 different fingerprints can share a key.
 
-Near copies (`near_copies`, `keep_one`) are texts whose sets of five-word shingles are 0.8 alike or more. Their
-fingerprints differ in up to `COPY_BITS` bits, for which a ring of 64 bits has no exact keys that are long enough to
-tell texts apart. So these meet under `BANDS` keys of `MINIMA` least shingle hashes each; the ring's chains with the
-budgets of `COPY_BITS` and the full Hamming check then prune the meetings, and the exact similarity decides. A pair
-that is exactly 0.8 alike shares a key but with a probability of (1 - 0.8^5)^24 = 7e-5, a closer one with a lower one.
-Under each key all nodes are compared with the one that shares most keys with others; what is still apart then is
-compared, in blocks of bounded bytes, with all that stands under the key, each pair under its first common key only.
+Near copies (`near_copies`, `keep_one`) are texts whose sets of five-word shingles are 0.8 alike or more. This part does
+not use fingerprints: such texts' fingerprints differ in up to 28 of 64 bits, for which a ring has no exact keys that
+are long enough to tell texts apart, and a filter by bits would neither prune nor be exact. Texts meet under `BANDS`
+keys of `MINIMA` least shingle hashes each, and the exact similarity decides. A pair that is exactly 0.8 alike shares no
+key with a probability of (1 - 0.8^5)^24 = 7e-5, a closer one with a lower one. Under each key all nodes are compared
+with the one that shares most keys with others; what is still apart then is compared, in blocks of bounded bytes, with
+all that stands under the key, each pair under its first common key only.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length are whole;
 a repeated row is linked to its like; rows with a null id get a component by the others' ids, null if there are none
@@ -41,8 +41,8 @@ from .common import bounded_batches, cut, slices, texts, unused
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
-#: Near copies: words of a shingle, tenths of similarity, differing bits, keys, and minima in each.
-COPY_SHINGLE, ALIKE, COPY_BITS, BANDS, MINIMA = 5, 8, 28, 24, 5
+#: Near copies: words of a shingle, tenths of similarity, keys, and minima in each.
+COPY_SHINGLE, ALIKE, BANDS, MINIMA = 5, 8, 24, 5
 #: Keys or nodes up to this many (16 bytes each) are sent to all executors; more are joined by shuffling.
 BROADCAST_LONGS = 1_000_000
 #: Bytes of shingle sets in a block of what stands under one key; shingles whose minima one step takes.
@@ -206,12 +206,6 @@ def shingles_of(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=False)], np.uint64))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The fingerprint of a set of hashes."""
-    held = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(held * 2 > len(hashes), bitorder="little").tobytes(), "little")
-
-
 def keys_of(found: np.ndarray) -> np.ndarray:
     """The keys of a set of hashes (0 to BANDS - 1 in the lowest bits, so bands never meet)."""
     least = np.full(BANDS * MINIMA, 2**64 - 1, np.uint64)
@@ -224,32 +218,6 @@ def keys_of(found: np.ndarray) -> np.ndarray:
     return (bands & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)
 
 
-def in_ring(differ: np.ndarray, bits: int = COPY_BITS) -> np.ndarray:
-    """Which differences have a chain of segments that keeps within its budget at each length, the whole ring included."""
-    each = np.bitwise_count(differ.view(np.uint8).reshape(-1, 8)).astype(np.int64)
-    found, most = np.zeros(differ.size, bool), np.arange(1, 9) * bits
-    for start in range(8):
-        found |= (8 * np.cumsum(np.roll(each, -start, 1), 1) <= most).all(1)
-    return found
-
-
-def _in_ring(differ: Column, bits: int = COPY_BITS) -> tuple[Column, Column]:
-    """Differing bits of each segment, and `in_ring` of these once they are column `each`."""
-    each = [F.bit_count(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255).cast("long"))) for k in range(8)]
-
-    def chain(start: int) -> Column:
-        within, held = F.lit(True), F.lit(0)
-        for length in range(1, 9):
-            held = held + F.get("each", F.lit((start + length - 1) % 8))
-            within = within & (held * 8 <= length * bits)
-        return within
-
-    found = F.lit(False)
-    for start in range(8):
-        found = found | chain(start)
-    return F.array(*each), found
-
-
 def _alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which of the others reach the similarity with one."""
     size = np.fromiter(map(len, others), np.int64, len(others))
@@ -268,20 +236,19 @@ def _set_hash(found: np.ndarray) -> int:
 
 
 def _sketched(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node (of the shingle set), fp (of the set) and keys of every row."""
+    """doc_id, node (of the shingle set) and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = [shingles_of(t) for t in texts(part).cast(pa.large_binary()).to_pylist()]
             node = np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)
-            fp = np.array([majority(s) if s.size else 0 for s in sets], np.uint64).view(np.int64)
             keys = np.array([keys_of(s) for s in sets], np.uint64).view(np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array(fp), listed], names=["doc_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), listed], names=["doc_id", "node", "keys"])
 
     bounded_batches(df)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, fp long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, keys array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -312,12 +279,12 @@ def _confirmed(pairs: DataFrame, holder: DataFrame) -> DataFrame:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between what is apart and all others of a block; rows are sorted by key and block."""
-    columns = ("node", "root", "fp", "apart", "inner", "keys", "shingles")
+    columns = ("node", "root", "apart", "inner", "keys", "shingles")
     held: dict[str, list] = {}
     last = None
 
     def solved(key: int) -> Iterator[pa.RecordBatch]:
-        node, root, fp, keys = (np.array(held[c], np.int64) for c in ("node", "root", "fp", "keys"))
+        node, root, keys = (np.array(held[c], np.int64) for c in ("node", "root", "keys"))
         inner, apart = np.array(held["inner"], bool), np.array(held["apart"], bool)
         sets = [np.frombuffer(s, np.uint64) for s in held["shingles"]]
         band = int(np.flatnonzero(keys[0] == key)[0])
@@ -326,7 +293,6 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in np.flatnonzero(~inner).tolist():
             some = theirs[(root[theirs] != root[x]) & (~apart[theirs] | (node[theirs] > node[x]))]
             some = some[~(keys[some, :band] == keys[x, :band]).any(1)]  # met under an earlier key
-            some = some[in_ring((fp[some] ^ fp[x]).view(np.uint64))]
             if some.size:
                 links += [(int(node[x]), n) for n in node[some[_alike(sets[x], [sets[k] for k in some.tolist()])]].tolist()]
         if links:
@@ -355,7 +321,7 @@ def _still_apart(under: DataFrame, roots: DataFrame, holder: DataFrame, block: i
     Under each key the nodes of the root that most nodes have are in; the others are apart. Both are dealt into blocks
     of bounded bytes, and each block of what is apart (`inner` false) meets each block of all (`inner` true).
     """
-    nodes = holder.select("node", "fp", "keys", "shingles")
+    nodes = holder.select("node", "keys", "shingles")
     at = under.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
     at = at.join(split, "key").join(holder.select("node", (F.octet_length("shingles") + 256).alias("bytes")), "node")
@@ -374,7 +340,7 @@ def _still_apart(under: DataFrame, roots: DataFrame, holder: DataFrame, block: i
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and component_id (the least doc_id that links of near copies lead to, its own included) of every row."""
     rows = cut(_sketched(df, doc_id, text))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
     each = nodes.select("node", F.explode("keys").alias("key"))
     shared = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     small = F.broadcast if shared.count() <= BROADCAST_LONGS else (lambda x: x)
@@ -385,11 +351,9 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     texts_of = source.join(small(needed.select("node", F.col("least").alias("doc_id"))), "doc_id")
     holder = cut(needed.join(_sets(texts_of), "node"))
     # the node that shares most keys with others stands in the middle of its like
-    placed = under.join(small(holder.select("node", "degree", "fp")), "node")
-    hubs = placed.groupBy("key").agg(F.max(F.struct("degree", "node", "fp")).alias("hub"))
-    pairs = placed.join(hubs, "key").filter("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.col("fp").bitwiseXOR(F.col("hub.fp")).alias("differ"))
-    each, found = _in_ring(F.col("differ"))
-    pairs = pairs.distinct().withColumn("each", each).filter(found).select("a", "b")
+    placed = under.join(small(holder.select("node", "degree")), "node")
+    hubs = placed.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    pairs = placed.join(hubs, "key").filter("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     links = cut(_confirmed(pairs, holder))
     roots = components(links)
     more = cut(_still_apart(under, roots, holder, block))

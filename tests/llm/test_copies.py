@@ -1,8 +1,6 @@
 import random
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lectura.llm import simhash
@@ -60,21 +58,6 @@ def test_stage_drops_near_copies(spark):
     assert {r["doc_id"] for r in left.collect()} == {k for k, v in _brute(docs).items() if k == v}
 
 
-def test_ring():
-    rnd = np.random.default_rng(2)
-    differ = np.array([sum(1 << int(k) for k in rnd.choice(64, n, replace=False)) for n in range(0, 40) for _ in range(50)], np.uint64)
-    few = np.bitwise_count(differ) <= simhash.COPY_BITS
-    assert (simhash.in_ring(differ) == few).all()  # the principle: whatever is within the budget has such a chain
-
-
-def test_ring_column(spark):
-    values = [0, -1, 1, 255, 0x0101010101010101, 0x0303030303030303, 0x7FFF, -(1 << 63)]
-    rows = spark.createDataFrame([(v,) for v in values], "differ long")
-    each, found = simhash._in_ring(F.col("differ"))
-    got = {r["differ"]: r["found"] for r in rows.withColumn("each", each).withColumn("found", found).collect()}
-    assert [got[v] for v in values] == simhash.in_ring(np.array(values, np.int64).view(np.uint64)).tolist()
-
-
 def test_rows_without_id(spark):
     text = " ".join(f"w{k}" for k in range(80))
     rows = [(None, text), (None, text), (None, text + " more"), (None, "other words here"), (5, "a b c"), (None, "A b c"), (5, "a b c"), (6, "a b c")]

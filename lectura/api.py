@@ -1,13 +1,14 @@
 """The library as one object: named commands over a folder of Parquet tables.
 
-Reading commands give DataFrames and run nothing. Changing commands write a new snapshot of one table and point to it,
-so readers see either all of a change or nothing; snapshots other than the newest two may be deleted.
+Reading commands give DataFrames and run nothing. Changes of some rows are appended to a table by key and merged when it
+is read; changes of a whole table write it anew. Either way a version counts at once and whole, and a command that
+another writer has overtaken runs again on what is there now. Objects aren't shared between threads; tables are.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import catalog, gates, prose, text
 from .operators import dedup, enrich, lexical, listing, merge, ranking, stats
 from .sources import readers, writers
+from .sources.versions import TRIES, Overtaken, Versions
 
 TABLES = {
     "articles": "id string, number long, url string, title string, source string, category string, content_text string, published_at timestamp_ntz, fetched_at timestamp_ntz, origin string, chapter_no long, summary string, word_count long, open_count long, last_opened_at timestamp_ntz, dwell_ms long, read_completed boolean, liked boolean",
@@ -25,46 +27,60 @@ TABLES = {
     "catalog": "gid long, title string, authors string, issued string, shelf string",
     "meta": "key string, value string",
 }
+KEYS = {"articles": ["id"], "feeds": ["id"], "categories": ["id"], "translations": ["article_id", "scope", "scope_key"], "memory": ["id"], "catalog": ["gid"], "meta": ["key"]}
 BUILTIN_CATEGORIES = ("world", "tech", "finance", "other", "book")
 STATUSES = ("learning", "mastered")
 
 
+def again(command: Callable) -> Callable:
+    """A command that runs once more if another writer was faster."""
+
+    @wraps(command)
+    def run(self, *args, **kwargs):
+        if self._reading is not None:
+            return command(self, *args, **kwargs)
+        for left in range(TRIES - 1, -1, -1):
+            self._reading = {}
+            try:
+                return command(self, *args, **kwargs)
+            except Overtaken:
+                if not left:
+                    raise
+            finally:
+                self._reading = None
+
+    return run
+
+
 class Library:
     """Commands over the tables below `root`, a folder that driver and executors share. `now` is asked for each command."""
 
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], Column], model: enrich.Model | None = None):
         self.spark, self.root, self.now, self.model = spark, root.rstrip("/"), now, model
+        self._reading: dict[str, int] | None = None  # versions that the running command has read
 
     # --- tables -----------------------------------------------------------------------------------------------------
 
-    def _log(self, name: str) -> str:
-        return f"{self.root}/_log/{name}"
-
-    def _newest(self, name: str) -> str | None:
-        """The path of a table's last snapshot; the log holds one small row a change."""
-        try:
-            row = self.spark.read.schema("path string, version long").json(self._log(name)).orderBy(F.desc("version")).first()
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return None
-        return row["path"] if row else None
+    def _versions(self, name: str) -> Versions:
+        return Versions(self.spark, f"{self.root}/{name}", TABLES[name], KEYS[name])
 
     def table(self, name: str) -> DataFrame:
-        path = self._newest(name)
-        return self.spark.read.schema(TABLES[name]).parquet(path) if path else self.spark.createDataFrame([], TABLES[name])
+        found = self._versions(name)
+        if self._reading is None:
+            return found.read()
+        return found.read(self._reading.setdefault(name, found.version()))
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes a snapshot and then its line in the log, which is what makes it seen."""
-        columns = self.spark.createDataFrame([], TABLES[name]).schema.fields
-        version = self.spark.read.schema("version long").json(self._log(name)).agg(F.max("version")).first()[0] if self._newest(name) else 0
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns)).write.parquet(path)
-        self.spark.createDataFrame([(path, version + 1)], "path string, version long").coalesce(1).write.mode("append").json(self._log(name))
+        """Writes a table whole; not if another writer has changed it since the running command read it."""
+        version = self._versions(name).replace(rows, (self._reading or {}).get(name))
+        if self._reading is not None:
+            self._reading[name] = version
 
     def _update(self, name: str, where: Column, **changes: Column) -> None:
-        df = self.table(name)
-        self.replace(name, df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in changes.items()}))
+        """Appends the rows that change."""
+        version = self._versions(name).update(lambda df: df.filter(where).withColumns(changes))
+        if self._reading is not None:
+            self._reading[name] = version
 
     # --- articles ---------------------------------------------------------------------------------------------------
 
@@ -101,6 +117,7 @@ class Library:
     def set_article_liked(self, article_id: str, liked: bool) -> None:
         self._update("articles", F.col("id") == article_id, liked=F.lit(liked))
 
+    @again
     def delete_article(self, article_id: str) -> None:
         left = self.table("articles").filter(F.col("id") != article_id)
         translations, memory = merge.cascaded(self.table("translations"), left, "article_id"), merge.nulled(self.table("memory"), left, "article_id")
@@ -134,9 +151,11 @@ class Library:
             self.save_translations(made.select(F.lit(article_id).alias("article_id"), F.lit("selection").alias("scope"), "scope_key", "source_text", "translated_text", F.lit("model").alias("model"), self.now().alias("created_at")))
         return self.table("translations").filter((F.col("article_id") == article_id) & (F.col("scope") == "selection") & (F.col("source_text") == selection))
 
+    @again
     def save_translations(self, rows: DataFrame) -> None:
         self.replace("translations", merge.upsert_latest(self.table("translations"), rows, ["article_id", "scope", "scope_key"], "created_at"))
 
+    @again
     def fill_missing_cards(self, model: enrich.Model, most: int = 200) -> None:
         """Summaries for the newest articles without one."""
         articles = self.table("articles")
@@ -156,6 +175,7 @@ class Library:
         """Switching a feed on restarts its clock."""
         self._update("feeds", F.col("id") == feed_id, enabled=F.lit(enabled), last_new_article_at=self.now() if enabled else F.col("last_new_article_at"))
 
+    @again
     def reorder_feeds(self, ids: list[str]) -> None:
         """Priorities by the wanted order; unknown and blank ids are ignored, feeds that aren't named keep theirs."""
         wanted = self.spark.createDataFrame([(i.strip(), k) for k, i in enumerate(ids) if i.strip()], "id string, pos int")
@@ -163,6 +183,7 @@ class Library:
         placed = stats.reorder(feeds.drop("priority").join(wanted, "id")).select("id", F.col("priority").alias("placed"))
         self.replace("feeds", feeds.join(placed, "id", "left").withColumn("priority", F.coalesce("placed", "priority")))
 
+    @again
     def delete_feed_source(self, feed_id: str) -> None:
         """The user's feeds and books only; a book takes its chapters along."""
         feeds = self.table("feeds")
@@ -176,11 +197,13 @@ class Library:
     def list_source_article_counts(self) -> DataFrame:
         return stats.counts_by_source(self.table("articles"))
 
+    @again
     def add_feed_category(self, label: str) -> None:
         new = self.spark.createDataFrame([(label.strip(),)], "label string").select(text.slug(F.col("label")).alias("id"), "label", F.lit(False).alias("builtin"))
         known = self.table("categories")
         self.replace("categories", known.unionByName(new.join(known, "id", "left_anti").select(*known.columns)))
 
+    @again
     def subscribe_feed(self, name: str, url: str, category: str) -> None:
         """Adds a feed unless its url is known; an id that is taken gets a suffix of the url's hash."""
         feeds = self.table("feeds")
@@ -191,12 +214,14 @@ class Library:
         state = {"enabled": F.lit(True), "origin": F.lit("user"), "kind": F.lit("rss"), "priority": F.lit(0), "fulltext_ratio": F.lit(-1.0), "last_new_article_at": self.now()}
         self.replace("feeds", feeds.unionByName(fresh.withColumns(state), allowMissingColumns=True))
 
+    @again
     def seed_feeds(self, seed: DataFrame) -> None:
         self.replace("feeds", merge.reconcile(self.table("feeds"), seed).withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "origin": F.coalesce("origin", F.lit("curated")), "kind": F.coalesce("kind", F.lit("rss")), "priority": F.coalesce("priority", F.lit(0)), "fulltext_ratio": F.coalesce("fulltext_ratio", F.lit(-1.0))}))
 
     def validate_feed(self, path: str) -> DataFrame:
         return readers.validated(readers.rss(self.spark, path))
 
+    @again
     def refresh_feeds(self, entries: DataFrame, days: int = 14) -> None:
         """Adds accepted entries (url, title, source, category, body, published, lang), upgrades bodies, purges, retires stale feeds."""
         articles = merge.retained(merge.without_short(self.table("articles")), self.now(), days)
@@ -232,6 +257,7 @@ class Library:
 
     # --- memory -----------------------------------------------------------------------------------------------------
 
+    @again
     def add_memory(self, kind: str, term: str, definition: str = "", word_type: str = "", collocations: list[str] | None = None, context: str = "", article_id: str | None = None) -> None:
         """A new word or phrase, or more about a known one: empty fields are filled, lists are joined."""
         memory = self.table("memory").withColumn("collocations", merge.json_list(F.col("collocations_json")))
@@ -255,6 +281,7 @@ class Library:
             raise ValueError(f"status must be one of {STATUSES}")
         self._update("memory", F.col("id") == memory_id, status=F.lit(status))
 
+    @again
     def delete_memory(self, memory_id: str) -> None:
         self.replace("memory", self.table("memory").filter(F.col("id") != memory_id))
 
@@ -263,6 +290,7 @@ class Library:
 
     # --- books, words -----------------------------------------------------------------------------------------------
 
+    @again
     def ensure_book_catalog(self, path: str) -> None:
         self.replace("catalog", readers.catalog_csv(self.spark, path))
 
@@ -271,6 +299,7 @@ class Library:
         found = listing.search_catalog(self.table("catalog"), query, limit, shelf)
         return found.join(F.broadcast(imported), F.col("gid") == F.col("there"), "left").withColumn("imported", F.col("there").isNotNull()).drop("there")
 
+    @again
     def import_book(self, path: str, name: str, url: str) -> None:
         """One feed and an article for each chapter; chapters that are there stay as they are."""
         chapters = readers.books(self.spark, path)
@@ -291,6 +320,7 @@ class Library:
 
     # --- settings, copies -------------------------------------------------------------------------------------------
 
+    @again
     def save_config(self, **values: str) -> None:
         new = self.spark.createDataFrame(list(values.items()), "key string, value string")
         known = self.table("meta").join(new.select("key"), "key", "left_anti")

@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import catalog, gates, prose, text
+from .functions import catalog, gates, prose, reflow, text
 from .operators import dedup, enrich, lexical, listing, merge, ranking, stats
 from .sources import readers, writers
 from .sources.versions import TRIES, Overtaken, Versions
@@ -99,7 +99,7 @@ class Library:
     def get_article_view(self, article_id: str) -> DataFrame:
         """idx, paragraph, translation (if it was made from the very same text) of one article."""
         one = self.table("articles").filter(F.col("id") == article_id)
-        parts = one.select(F.col("id").alias("article_id"), F.posexplode(prose.reflow_column("content_text")).alias("idx", "text"))
+        parts = one.select(F.col("id").alias("article_id"), F.posexplode(reflow.reflow_column("content_text")).alias("idx", "text"))
         cached = self.table("translations").filter((F.col("article_id") == article_id) & (F.col("scope") == "paragraph"))
         valid = merge.valid_translations(parts, cached)
         return parts.join(valid.select("idx", "translated_text"), "idx", "left").orderBy("idx").select("idx", F.col("text").alias("paragraph"), F.col("translated_text").alias("translation"))

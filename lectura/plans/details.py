@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import gates, prose, scoring
+from ..functions import gates, prose, reflow, scoring
 from ..functions import text as T
 from ..operators import enrich, lexical, merge, ranking, stats
 from ..streaming import ingest
@@ -234,24 +234,29 @@ def w8_parts(spark: SparkSession, d: str) -> DataFrame:
 # --- text kernels one by one ------------------------------------------------------------------------------------------
 
 
-def _kernel(name: str, function) -> None:
+def _kernel(name: str, expression, joined: bool = False) -> None:
     @query(name)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        def each(s: pd.Series) -> pd.Series:
-            return s.map(function)
+        found = expression(F.col("content_text"))
+        return L.entries(spark, d).select("id", (F.array_join(found, "\n\n") if joined else found.cast("string")).alias("text"))
 
-        return L.entries(spark, d).select("id", F.pandas_udf(each, StringType())("content_text").alias("text"))
 
+_kernel("t21_strip_links", reflow.strip_links)
+_kernel("t22_rejoin_hyphens", reflow.rejoin_hyphens)
+_kernel("t23_normal_paragraph", reflow.normal_paragraph)
+_kernel("t25_add_spaces", reflow.add_spaces)
+_kernel("t24_split_block", reflow.split_block, joined=True)
+_kernel("t26_sentence_ends", reflow.sentence_ends)
+_kernel("t27_split_long", reflow.split_long, joined=True)
+_kernel("t29_t30_book_blocks", reflow.book_blocks, joined=True)
 
-_kernel("t21_strip_links", prose.strip_links)
-_kernel("t22_rejoin_hyphens", prose.rejoin_hyphens)
-_kernel("t23_normal_paragraph", prose.normal_paragraph)
-_kernel("t25_add_spaces", prose.add_spaces)
-_kernel("t24_split_block", lambda t: "\n\n".join(prose.split_block(t)))
-_kernel("t26_sentence_ends", lambda t: str(sum(prose.ends_sentence(t, k) for k, c in enumerate(t) if c in ".!?")))
-_kernel("t27_split_long", lambda t: "\n\n".join(prose.split_long(t)))
-_kernel("t29_t30_book_blocks", lambda t: "\n\n".join(prose.book_blocks(prose.book_body(t))))
-_kernel("t31_heading_title", lambda t: (prose.heading_title(t.split("\n")[0]) or ("", False))[0])
+
+@query("t31_heading_title")
+def t31_heading_title(spark: SparkSession, d: str) -> DataFrame:
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: (prose.heading_title(t.split("\n")[0]) or ("", False))[0])
+
+    return L.entries(spark, d).select("id", F.pandas_udf(each, StringType())("content_text").alias("text"))
 
 
 # --- words ------------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prose, scoring
+from ..functions import prose, reflow, scoring
 from ..functions import text as T
 from ..operators import dedup, enrich, etl, phrases, stats
 from ..sources import extraction, readers, writers
@@ -52,7 +52,7 @@ def t20_clean_body(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t28_paragraphs")
 def t28_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return L.articles(spark, d, reading=False).select("id", F.posexplode(prose.reflow_column("content_text")).alias("idx", "paragraph"))
+    return L.articles(spark, d, reading=False).select("id", F.posexplode(reflow.reflow_column("content_text")).alias("idx", "paragraph"))
 
 
 @query("t32_chapters")
@@ -61,7 +61,7 @@ def t32_chapters(spark: SparkSession, d: str) -> DataFrame:
     block = F.concat(F.lit("CHAPTER "), F.col("number").cast("string"), F.lit(". Of "), F.col("source"), F.lit("\n\n"), F.col("content_text"))
     each = L.articles(spark, d, reading=False).select(F.floor(F.col("number") / 20).alias("book"), "number", block.alias("block"))
     book = each.groupBy("book").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "block"))), lambda x: x["block"]), "\n\n").alias("raw"))
-    return book.select("book", F.posexplode(prose.chapters_column("raw")).alias("idx", "c")).select("book", "idx", "c.title", F.char_length("c.text").alias("chars"))
+    return book.select("book", F.posexplode(reflow.chapters_column("raw")).alias("idx", "c")).select("book", "idx", "c.title", F.char_length("c.text").alias("chars"))
 
 
 _SQL_SPANS = """cut as (select id, regexp_extract_all(content_text, '[A-Za-z][A-Za-z''’-]*') as w, regexp_split_to_array(content_text, '[A-Za-z][A-Za-z''’-]*') as g from articles where lang = 'en'),

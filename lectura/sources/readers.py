@@ -80,7 +80,7 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 def books(spark: SparkSession, path: str) -> DataFrame:
     """path, number, title, text of the chapters of plain-text books."""
-    from ..functions.prose import chapters_column
+    from ..functions.reflow import chapters_column
 
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.select("path", F.posexplode(chapters_column("value")).alias("number", "chapter")).select("path", F.col("number") + 1, "chapter.title", "chapter.text").toDF("path", "number", "title", "text")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectura.functions import catalog, gates, prose, scoring
+from lectura.functions import catalog, gates, prose, reflow, scoring
 from lectura.functions import text as T
 from lectura.operators import dedup, enrich, lexical, listing, merge, ranking, stats
 
@@ -129,13 +129,13 @@ def test_calibration(spark):
     ("See example.com now", ["See example.com now"]), ("end.Next one", ["end. Next one"]), ("a -- b", ["a—b"]), ("wait . . . ok", ["wait… ok"]), ("“Hi”", ['"Hi"']), ("a b", ["a b"]), ("soft\nwrap here", ["soft wrap here"]), ("Done.\nNext line", ["Done.", "Next line"]),
     ("see [label](http://x.y/z) ok", ["see label ok"]), ("![alt](http://x.y/z.png) shown here", ["alt shown here"]), ("at https://example.com/a.", ["at."]), ("[name][1] is here with some words\n\n[1]: https://x.y/z", ["name is here with some words"]), ("Subscribe to our newsletter\n\nReal text stays.", ["Real text stays."]),
 ])
-def test_reflow(text, wanted):
-    assert prose.reflow(text) == wanted
+def test_reflow(spark, text, wanted):
+    assert value(spark, reflow.reflow_column(F.lit(text))) == wanted
 
 
-def test_long_blocks_are_regrouped():
+def test_long_blocks_are_regrouped(spark):
     text = "This is a sentence of some length that goes on for a while. " * 40
-    parts = prose.reflow(text)
+    parts = value(spark, reflow.reflow_column(F.lit(text)))
     assert len(parts) > 1 and " ".join(parts) == text.strip()
 
 
@@ -156,9 +156,9 @@ def test_chapters():
     assert prose.split_chapters([]) == []
 
 
-def test_book_text():
+def test_book_text(spark):
     raw = "head\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\r\n\r\na para-\r\ngraph\r\n[Pg 12]\r\nmore\r\n\r\n***\r\nend\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\ntail"
-    assert prose.book_blocks(prose.book_body(raw)) == ["a paragraph more", "end"]
+    assert value(spark, reflow.book_blocks(F.lit(raw))) == ["a paragraph more", "end"]
 
 
 # --- operators --------------------------------------------------------------------------------------------------------

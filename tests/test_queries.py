@@ -51,12 +51,15 @@ def test_ranks_without_one_sort(spark, small):
 
 
 def test_chapters_of_whole_texts(spark, small):
-    from lectura.functions import prose
+    from pyspark.sql import functions as F
+
+    from lectura.functions import prose, reflow
 
     books = {}
     for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
         books.setdefault(r["doc_id"] // 20, []).append(f"CHAPTER {r['doc_id']}. Of {r['source']}\n\n{r['text']}")
-    wanted = {(b, k): (title, len(text)) for b, blocks in books.items() for k, (title, text) in enumerate(prose.split_chapters(prose.book_blocks(prose.book_body("\n\n".join(blocks)))))}
+    raw = spark.createDataFrame([(b, "\n\n".join(blocks)) for b, blocks in books.items()], "book long, raw string").select("book", reflow.book_blocks(F.col("raw")).alias("blocks")).collect()
+    wanted = {(r["book"], k): (title, len(text)) for r in raw for k, (title, text) in enumerate(prose.split_chapters(r["blocks"]))}
     rows = QUERIES["t32_chapters"](spark, small).collect()
     assert {(r["book"], r["idx"]): (r["title"], r["chars"]) for r in rows} == wanted
     titles = [t for t, _ in wanted.values()]

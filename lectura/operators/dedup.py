@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,7 @@ def greedy_kept(titles: DataFrame, title: str = "title", key: str = "id", order:
     """Keys of the rows that stay if, in order, each is dropped that duplicates one kept before it.
 
     Rows with one token set share their fate but for the first, so sets are nodes; short titles only fall to exact
-    copies, empty ones never. Among nodes, those without an undecided earlier neighbour stay, their neighbours go, and
-    so on in rounds until no link is undecided; no group of similar titles is ever gathered. The order must be unique.
+    copies, empty ones never. No group of similar titles is ever gathered. The order must be unique.
     """
     rows = titles.select(F.col(key).alias("key"), F.col(order).alias("o"), title_tokens(F.col(title)).alias("tokens"))
     long = F.size("tokens") >= LEAST_TOKENS
@@ -53,16 +53,44 @@ def greedy_kept(titles: DataFrame, title: str = "title", key: str = "id", order:
     sets = rows.filter(long).groupBy(F.array_sort(F.array_distinct("tokens")).alias("set")).agg(F.min_by(F.struct("key", "tokens"), "o").alias("first"), F.min("o").alias("o"))
     nodes = _cut(sets.select("o", "first.key", "first.tokens"))
     links = _cut(similar_pairs(nodes.select(F.col("o").alias("id"), "tokens")).select("a", "b"))
-    gone = links.select(F.col("b").alias("o")).limit(0)
-    while not links.isEmpty():
-        stay = links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_anti").distinct()
-        fall = _cut(links.join(stay, "a", "left_semi").select(F.col("b").alias("o")).distinct())
-        gone = gone.unionByName(fall)
-        links = _cut(links.join(fall, F.col("b") == F.col("o"), "left_anti").join(fall, F.col("a") == F.col("o"), "left_anti"))
+    gone = first_independent(links)
     kept = nodes.join(gone, "o", "left_anti").select("key")
     return kept.unionByName(short).unionByName(empty).withColumnRenamed("key", key)
 
 
+def first_independent(links: DataFrame) -> DataFrame:
+    """Column o: the nodes that go if, in order, each goes that has a link to an earlier one that stays.
+
+    `links` has columns a < b, each once. Rounds decide all nodes without an undecided earlier neighbour (they stay) and
+    what these have links to. A node with a single undecided earlier neighbour does the opposite of what that does: such
+    chains are followed to their beginnings by doubling, so a chain of any length takes one round of as many joins as
+    its length has binary digits. Links of decided nodes go after each round.
+    """
+    links = _cut(links.select("a", "b"))
+    gone: list[DataFrame] = []
+    while not links.isEmpty():
+        earlier = _cut(links.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")))
+        begins = links.join(earlier.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("o")).distinct()
+        # node, the node that its fate hangs on, and whether it does the opposite of that
+        chain = _cut(earlier.filter("n = 1").select(F.col("b").alias("o"), F.col("a").alias("on"), F.lit(True).alias("other")))
+        while True:
+            above = chain.select(F.col("o").alias("on"), F.col("on").alias("on_"), F.col("other").alias("other_"))
+            longer = chain.join(above, "on", "left")
+            longer = _cut(longer.select("o", F.coalesce("on_", "on").alias("on"), (F.col("other") != F.coalesce("other_", F.lit(False))).alias("other"), F.col("on_").isNotNull().alias("moved")))
+            chain = longer.drop("moved")
+            if longer.filter("moved").isEmpty():
+                break
+        known = chain.join(begins.select(F.col("o").alias("on")), "on", "left_semi")
+        stay = begins.unionByName(known.filter("not other").select("o"))
+        fall = known.filter("other").select("o").unionByName(links.join(stay.select(F.col("o").alias("a")), "a", "left_semi").select(F.col("b").alias("o"))).distinct()
+        stay, fall = _cut(stay), _cut(fall)
+        gone.append(fall)
+        decided = stay.unionByName(fall)
+        links = links.join(decided.select(F.col("o").alias("b")), "b", "left_anti").join(decided.select(F.col("o").alias("a")), "a", "left_anti")
+        links = _cut(links.select("a", "b"))
+    return reduce(DataFrame.unionByName, gone) if gone else links.select(F.col("b").alias("o"))
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, in the checkpoint folder of the session."""
     spark = df.sparkSession

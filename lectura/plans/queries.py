@@ -268,7 +268,13 @@ def j7_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.similar_pairs(titles).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("d2_greedy_kept")
+_GREEDY_SQL = f"""with recursive {{articles}}, {_TOKENS_SQL}, raw as (select number, list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN]+'), lambda x: x <> '') as tk from articles),
+ links as (select a.node as a, b.node as b from nodes a join nodes b on a.node < b.node and len(list_intersect(a.s, b.s)) >= 0.85 * len(list_distinct(list_concat(a.s, b.s)))), ids as (select distinct unnest([a, b]) as o from links),
+ walk as (select min(o) as o, [min(o)] as kept from ids having min(o) is not null union all select min(i.o), list_append(any_value(w.kept), min(i.o)) from walk w join ids i on i.o > w.o left join links l on l.b = i.o and list_contains(w.kept, l.a) where l.a is null having min(i.o) is not null)
+ select node as number from nodes where node not in (select o from ids) or node in (select o from walk) union all select min(number) from raw where len(tk) between 1 and 7 group by tk union all select number from raw where len(tk) = 0"""
+
+
+@query("d2_greedy_kept", _GREEDY_SQL.replace("{articles}", L.with_views("articles", sql="")[5:]))
 def d2_greedy_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.greedy_kept(L.articles(spark, d, reading=False).select("number", "title"), key="number")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dedup
+from ..operators import child, dedup
 from ..sources.ledger import Ledger
 from ..sources.versions import Versions
 from ..streaming import refresh
@@ -102,3 +102,13 @@ def st7_counters(spark: SparkSession, d: str) -> DataFrame:
     told = outcomes(spark, d).observe(seen, *(F.count_if(F.col("outcome") == x).alias(x) for x in names))
     told.filter("outcome = 'accepted'").select("id", "url", "title", "content_text").write.parquet(f"{_folder(spark)}/accepted")
     return spark.createDataFrame([(k, v) for k, v in seen.get.items() if v], "outcome string, n long")
+
+
+#: Answers every text with a mark in front of it.
+_PROGRAM = "import json, sys\nfor line in sys.stdin:\n    q = json.loads(line)\n    print(json.dumps({'id': q['id'], 'text': '» ' + q['text']}), flush=True)\n"
+
+
+@query("u6_child_engine", "select id, '» ' || title as translated from articles", ("articles",))
+def u6_child_engine(spark: SparkSession, d: str) -> DataFrame:
+    """Titles through a program that runs beside each task."""
+    return child.through_child(L.articles(spark, d, reading=False).select("id", "title"), "title", (child.PYTHON, "-c", _PROGRAM), "translated").select("id", "translated")

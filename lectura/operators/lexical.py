@@ -242,13 +242,13 @@ def spaced_aliases(lexicon: DataFrame) -> DataFrame:
     return good.join(lexicon.select(F.col("term").alias("lemma_key")), "lemma_key", "left_anti").groupBy(F.col("lemma_key").alias("alias")).agg(F.min("phrase").alias("term"))
 
 
-def decoded_details(rows: DataFrame, column: str = "row") -> DataFrame:
-    """word, senses, phonetic, pos, collins, oxford, rank, lemma, examples of positional arrays; an odd last example is dropped."""
+def decoded_details(rows: DataFrame, column: str = "row", *others: str) -> DataFrame:
+    """The other columns, and word, senses, phonetic, pos, collins, oxford, rank, lemma, examples of positional arrays; an odd last example is dropped."""
     at = lambda k: F.get(column, F.lit(k))
     tail = F.slice(F.col(column), F.lit(9), F.greatest(F.size(column) - 8, F.lit(0)))
     pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size(tail) / 2).cast("int") - 1, F.lit(0))), lambda k: k * 2 + 1 < F.size(tail)), lambda k: F.struct(F.get(tail, k * 2).alias("en"), F.get(tail, k * 2 + 1).alias("zh")))
     return rows.filter(F.coalesce(F.trim(at(0)), F.lit("")) != "").select(
-        F.trim(at(0)).alias("word"), F.filter(F.split(F.coalesce(at(1), F.lit("")), "\n"), lambda s: F.trim(s) != "").alias("senses"), F.nullif(at(2), F.lit("")).alias("phonetic"), F.nullif(at(3), F.lit("")).alias("pos"),
+        *others, F.trim(at(0)).alias("word"), F.filter(F.split(F.coalesce(at(1), F.lit("")), "\n"), lambda s: F.trim(s) != "").alias("senses"), F.nullif(at(2), F.lit("")).alias("phonetic"), F.nullif(at(3), F.lit("")).alias("pos"),
         F.coalesce(at(4).try_cast("int"), F.lit(0)).alias("collins"), F.coalesce(at(5).try_cast("int") == 1, F.lit(False)).alias("oxford"), at(6).try_cast("int").alias("rank"), F.nullif(at(7), F.lit("")).alias("lemma"), pairs.alias("examples"),
     )
 

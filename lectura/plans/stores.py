@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import child, dedup
+from ..sources import checked
 from ..sources.ledger import Ledger
 from ..sources.versions import Versions
 from ..streaming import refresh
@@ -112,3 +114,36 @@ _PROGRAM = "import json, sys\nfor line in sys.stdin:\n    q = json.loads(line)\n
 def u6_child_engine(spark: SparkSession, d: str) -> DataFrame:
     """Titles through a program that runs beside each task."""
     return child.through_child(L.articles(spark, d, reading=False).select("id", "title"), "title", (child.PYTHON, "-c", _PROGRAM), "translated").select("id", "translated")
+
+
+_RANKED_SQL = """select term, rank, case when rank % 11 = 0 then 'not_json' when rank % 11 = 1 then 'no_term' when rank % 11 = 2 then 'unknown_level' when rank % 11 = 3 then 'no_rank' end as lexicon,
+ case when rank % 11 = 0 then 'not_json' when rank % 11 = 1 then 'no_key' when rank % 11 = 2 then 'one_word' end as chunk, case when rank % 11 = 0 then 'not_json' when rank % 11 = 1 then 'too_short' when rank % 11 = 2 then 'no_word' when rank % 11 = 3 then 'nothing_in_it' end as detail from lexicon"""
+
+
+@query("src12_checked_loads", f"with r as ({_RANKED_SQL}) select 'lexicon' as kind, case when lexicon is null then term end as word, lexicon as reason, count(*) as n from r group by all union all select 'chunk', case when chunk is null then term || ' up' end, chunk, count(*) from r group by all union all select 'detail', case when detail is null then term end, detail, count(*) from r group by all", ("lexicon",))
+def src12_checked_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Word, phrase and detail lines of the whole lexicon with planted defects: good ones by name, others by reason."""
+    r, bad = F.col("rank"), F.col("rank") % 11
+    lex = L.lexicon(spark, d)
+    word = F.to_json(F.struct(F.when(bad == 1, " ").otherwise(F.col("term")).alias("term"), F.when(bad == 2, "D1").otherwise("B1").alias("cefr"), F.when(bad == 3, "none").otherwise(r.cast("string")).alias("rank")))
+    array = lambda *c: F.to_json(F.array(*c))
+    chunk = array(F.when(bad == 1, "").when(bad == 2, F.translate("term", "-", "")).otherwise(F.concat("term", F.lit(" up"))), F.lit("zh"), F.lit(""), F.lit("rare"), F.lit("none"))
+    detail = F.when(bad == 1, array(F.col("term"), F.lit("x"))).otherwise(array(F.when(bad == 2, " ").otherwise(F.col("term")), F.when(bad == 3, " \n").otherwise("one\ntwo"), *map(F.lit, ("", "", "1", "0", "5", ""))))
+    lines = lambda c: lex.select(F.when(bad == 0, F.lit("{broken")).otherwise(c).alias("value"))
+    told = (("lexicon", checked.lexicon_lines(lines(word)), "term"), ("chunk", checked.chunk_lines(lines(chunk)), "key"), ("detail", checked.detail_lines(lines(detail)), "word"))
+    parts = [df.select(F.lit(kind).alias("kind"), F.when(F.col("reason").isNull(), F.col(key)).alias("word"), "reason") for kind, df, key in told]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "word", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src7_probe", """with n as (select source, regexp_extract(source, '([0-9]+)$', 1)::int % 5 as k, least(count(*), 40) as n from documents group by source)
+ select source as path, k > 2 as ok, case when k > 2 then 'Feed & ' || source end as title, case when k > 2 then n else 0 end as entries, case k when 0 then 'broken' when 1 then 'not_a_feed' when 2 then 'empty' end as error from n""")
+def src7_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Every source as a feed of its first entries, some of them cut off, no feeds, or empty."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    few = L.table(spark, d, "documents").select("source", "doc_id").withColumn("place", place).filter("place <= 40")
+    item = F.concat(F.lit("<item><title>Entry "), F.col("doc_id").cast("string"), F.lit("</title></item>"))
+    feed = few.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("items"))
+    k = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 5
+    xml = F.concat(F.lit("<?xml version='1.0'?><rss><channel><title>Feed &amp; "), F.col("source"), F.lit("</title>"), F.col("items"), F.when(k == 0, "</chan").otherwise("</channel></rss>"))
+    content = F.when(k == 1, "<html><title>page</title></html>").when(k == 2, " \n").otherwise(xml)
+    return checked.probed(feed.select(F.col("source").alias("path"), F.octet_length(content).alias("length"), content.alias("content")))

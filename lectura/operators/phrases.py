@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import _cut
+
 WORD = r"[A-Za-z][A-Za-z'’-]*"
 LONGEST = 6
+#: Phrases of so many bytes, and so many words by rank, are sent to all executors; more are joined by shuffling.
+BROADCAST_BYTES, FREQUENT = 16 << 20, 200_000
 
 
 def folded(word: Column) -> Column:
@@ -41,10 +45,13 @@ def _tokens(texts: DataFrame) -> DataFrame:
 def longest_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """id, i, n and key of the phrases (column key) in texts (id, text), by leftmost-longest choice."""
     keyed = phrases.select("key").filter("key <> ''").distinct().withColumn("n", F.size(F.split("key", " "))).filter(F.col("n") <= LONGEST)
+    keyed = _cut(keyed)
+    size = keyed.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
+    sent = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     first = keyed.select(F.substring_index("key", " ", 1).alias("word")).distinct()
-    begun = _tokens(texts).join(first, "word", "left_semi")
+    begun = _tokens(texts).join(sent(first), "word", "left_semi")
     windows = begun.select("id", "i", F.explode(F.transform(F.sequence(F.lit(1), F.size("keys")), lambda n: F.array_join(F.slice("keys", F.lit(1), n), " "))).alias("key"))
-    found = windows.join(keyed, "key").groupBy("id", "i").agg(F.max(F.struct("n", "key")).alias("m")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "m.n", "m.key"))).alias("all"))
+    found = windows.join(sent(keyed), "key").groupBy("id", "i").agg(F.max(F.struct("n", "key")).alias("m")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "m.n", "m.key"))).alias("all"))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,n:int,key:string>>").alias("kept"))
     step = lambda s, m: F.when(m["i"] >= s["end"], F.struct((m["i"] + m["n"]).alias("end"), F.array_append(s["kept"], m).alias("kept"))).otherwise(s)
     chosen = found.select("id", F.inline(F.aggregate("all", empty, step)["kept"]))
@@ -58,7 +65,15 @@ def annotate(texts: DataFrame, lexicon: DataFrame, phrases: DataFrame) -> DataFr
     have no spans; ids are unique.
     """
     matched = longest_matches(texts, phrases).select("id", "i", "n", "key", F.lit(None).cast("int").alias("rank"))
-    words = _tokens(texts).join(lexicon.select(F.col("term").alias("word"), "rank"), "word").select("id", "i", F.lit(1).alias("n"), F.col("word").alias("key"), "rank")
+    ranked = _cut(lexicon.select(F.col("term").alias("word"), "rank"))
+    tokens = _tokens(texts).select("id", "i", "word")
+    often = ranked.filter(F.col("rank") <= FREQUENT)
+    if often.count() <= FREQUENT:
+        rare = tokens.join(F.broadcast(often.select("word")), "word", "left_anti").join(ranked.filter(F.col("rank") > FREQUENT), "word")
+        words = tokens.join(F.broadcast(often), "word").unionByName(rare)
+    else:  # ranks that many words share
+        words = tokens.join(ranked, "word")
+    words = words.select("id", "i", F.lit(1).alias("n"), F.col("word").alias("key"), "rank")
     order = Window.partitionBy("id").orderBy("i", F.col("rank").asc_nulls_first())
     reach = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     known = matched.unionByName(words).withColumn("reach", F.coalesce(reach, F.lit(0))).filter(F.col("i") >= F.col("reach"))

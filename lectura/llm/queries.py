@@ -141,6 +141,39 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _nibble_table() -> list[int]:
+    """CRC-32 of half a byte."""
+    found = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ 0xEDB88320 * (n & 1)
+        found.append(n)
+    return found
+
+
+def _sql_crc32(value: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, half a byte at a time."""
+    half = lambda c: f"xor({c} >> 4, {_nibble_table()}[(({c} & 15) + 1)::int])"
+    octets = f"list_transform(regexp_extract_all(hex(encode({value})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: {half(half('xor(c, b)'))}, 4294967295::bigint))"
+
+
+def _sql_op11() -> str:
+    return f"""
+with h as (select doc_id, coalesce('+' || source, '-') as source, text, {_sql_crc32("doc_id::varchar")} as h from documents where doc_id is not null),
+kinds as (select *, case when h % 41 <= 1 then 'commit' when h % 41 = 2 then 'abort' when h % 41 <= 4 then 'savepoint' when h % 41 <= 6 then 'rollback' else 'change' end as kind, (h // 100) % 3000 as key from h),
+log as (select doc_id, source, kind, key, case when kind = 'change' and text is not null and doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null) then {_sql_crc32("(key || ':' || coalesce(text, ''))")} end as said from kinds),
+told as (select *, first_value(case when kind <> 'change' then kind end ignore nulls) over later as mark, first_value(case when kind <> 'change' then doc_id end ignore nulls) over later as mark_id,
+  first_value(case when kind in ('commit', 'abort') then kind end ignore nulls) over later as last, first_value(case when kind in ('commit', 'abort') then doc_id end ignore nulls) over later as last_id
+  from log window later as (partition by source order by doc_id rows between 1 following and unbounded following)),
+commits as (select doc_id as last_id, row_number() over (order by doc_id) - 1 as number from log where kind = 'commit'),
+writes as (select key, said, doc_id, number, number // 16 + 1 as epoch from told join commits using (last_id) where kind = 'change' and last = 'commit' and mark <> 'rollback'),
+epochs as (select distinct number // 16 + 1 as epoch from commits),
+stored as (select e.epoch, key, arg_max({{'v': said}}, {{'n': number, 'd': doc_id}}).v as v from epochs e join writes w on w.epoch <= e.epoch group by all)
+select 'state' as kind, e.epoch::bigint as id, count(v)::bigint as n, coalesce(sum(v), 0)::bigint as value from epochs e left join stored s on s.epoch = e.epoch group by e.epoch
+union all select case when mark = 'rollback' then 'rollback' else 'abort' end, doc_id, case when mark = 'rollback' then mark_id else last_id end, key::bigint from told where kind = 'change' and (coalesce(mark, '') = 'rollback' or coalesce(last, 'abort') = 'abort')"""
+
+
 def _sql_host_path(url: str) -> tuple[str, str]:
     host = f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     return host, f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -209,4 +242,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repeats": SQL_OP1, "op2_url_filter": _sql_op2(), "op5_chat_windows": _sql_op5(), "op12_impact_search": SQL_OP12}
+    return {"op1_suffix_repeats": SQL_OP1, "op2_url_filter": _sql_op2(), "op5_chat_windows": _sql_op5(), "op11_undo_log": _sql_op11(), "op12_impact_search": SQL_OP12}

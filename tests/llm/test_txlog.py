@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lectura.llm import queries, txlog
+from tests.oracle import same_rows, views
 
 COLUMNS = "at long, source string, kind string, key long, value long"
 
@@ -93,3 +94,8 @@ def test_query(spark, small):
     rows = queries.op11_undo_log(spark, small).collect()
     assert {r["id"]: (r["kind"], r["n"], r["value"]) for r in rows if r["kind"] != "state"} == undone
     assert [(r["n"], r["value"]) for r in sorted((r for r in rows if r["kind"] == "state"), key=lambda r: r["id"])] == states
+
+
+def test_sql(spark, small):
+    mine, theirs = same_rows(queries.op11_undo_log(spark, small), views(small).sql(queries.oracle_sql()["op11_undo_log"]))
+    assert mine == theirs and mine

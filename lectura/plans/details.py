@@ -75,11 +75,13 @@ def p17_language_gate(spark: SparkSession, d: str) -> DataFrame:
 # --- row changes -----------------------------------------------------------------------------------------------------
 
 
-@query("m9_once", "select distinct 'cleanup-4' as key, 'done' as value from region where r_regionkey >= 0")
+@query("m9_once", "select 'once-' || event_type as key, min(event_id)::varchar as value from events group by event_type")
 def m9_once(spark: SparkSession, d: str) -> DataFrame:
-    """A run-once guard: the key is written by the first of all who ask."""
-    asked = L.table(spark, d, "region").select(F.lit("cleanup-4").alias("key"), F.lit("done").alias("value"))
-    return merge.insert_if_new(asked.limit(0), asked, "key")
+    """Run-once guards: of all who ask for a key the first one gets it, and who asks again finds it taken."""
+    asked = L.table(spark, d, "events").groupBy(F.concat(F.lit("once-"), F.col("event_type")).alias("key")).agg(F.min("event_id").cast("string").alias("value"))
+    taken = merge.insert_if_new(asked.limit(0), asked, "key")
+    again = merge.insert_if_new(taken, L.table(spark, d, "events").select(F.concat(F.lit("once-"), F.col("event_type")).alias("key"), F.lit("late").alias("value")).distinct(), "key")
+    return taken.unionByName(again.select("key", "value"))
 
 
 @query("m11_enable_feed", "select id, case when id = 'feed-src4' then true else enabled end as enabled, case when id = 'feed-src4' then timestamp '2024-01-31 00:00:00' else last_new_article_at end as clock from feeds", ("feeds",))
@@ -119,9 +121,12 @@ def m15_add_category(spark: SparkSession, d: str) -> DataFrame:
     return known.unionByName(merge.insert_if_new(known, new, "id").select("id", "label"))
 
 
-@query("m16_status", "select id, case when id = 'm60' then 'mastered' else status end as status from memory", ("memory",))
+@query("m16_status", "select m.id, case when w.status in ('learning', 'mastered') then w.status else m.status end as status from memory m left join (select 'm' || user_id as id, arg_max(case event_type when 'view' then 'mastered' when 'click' then 'learning' else event_type end, {'t': ts, 'e': event_id}) as status from events group by user_id) w using (id)", ("memory",))
 def m16_status(spark: SparkSession, d: str) -> DataFrame:
-    return L.memory(spark, d).select("id", F.when((F.col("id") == "m60") & F.lit("mastered").isin("learning", "mastered"), "mastered").otherwise(F.col("status")).alias("status"))
+    """The last status that events ask for each saved word; one that isn't allowed changes nothing."""
+    wanted = F.when(F.col("event_type") == "view", "mastered").when(F.col("event_type") == "click", "learning").otherwise(F.col("event_type"))
+    asked = L.table(spark, d, "events").groupBy(F.concat(F.lit("m"), F.col("user_id")).alias("id")).agg(F.max_by(wanted, F.struct("ts", "event_id")).alias("wanted"))
+    return L.memory(spark, d).join(asked, "id", "left").select("id", F.when(F.col("wanted").isin("learning", "mastered"), F.col("wanted")).otherwise(F.col("status")).alias("status"))
 
 
 @query("m17_deletes", f"with {_PARA_SQL} select count(*) as n from tr where article_id <> '11'", ("articles",))
@@ -220,12 +225,12 @@ def w9_sections(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).withColumn("section", F.sum(F.col("head").cast("int")).over(order)).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.min("idx").alias("first"))
 
 
-@query("w8_parts", "with li as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\\S+'))) as w from documents), f as (select doc_id, list_reduce(list_prepend([0, 500], list_transform(w, lambda n: [n, -1])), lambda s, x: case when s[2] >= 500 then [s[1] + 1, x[1]] else [s[1], s[2] + x[1]] end) as r from li) select doc_id, r[1]::bigint as parts from f")
+@query("w8_parts", "with li as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\\S+'))) as w from documents), f as (select doc_id, list_reduce(list_prepend([0, 8000], list_transform(w, lambda n: [n, -1])), lambda s, x: case when s[2] >= 8000 then [s[1] + 1, x[1]] else [s[1], s[2] + x[1]] end) as r from li) select doc_id, r[1]::bigint as parts from f")
 def w8_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that are closed by the line with which they reach 500 words: a fold over the lines' counts."""
+    """Parts that are closed by the line with which they reach 8,000 words: a fold over the lines' counts."""
     counts = F.transform(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).cast("long"))
     pair = lambda p, w: F.struct(p.alias("parts"), w.alias("words"))
-    most = F.lit(500).cast("long")
+    most = F.lit(prose.PART_WORDS).cast("long")
     step = lambda s, n: F.when(s["words"] >= most, pair(s["parts"] + 1, n)).otherwise(pair(s["parts"], s["words"] + n))
     folded = F.aggregate(counts, pair(F.lit(0).cast("long"), most), step, lambda s: s["parts"])
     return L.table(spark, d, "documents").select("doc_id", folded.alias("parts"))
@@ -272,10 +277,18 @@ def l9_phrase_keys(spark: SparkSession, d: str) -> DataFrame:
     return lexical.phrase_keys(L.memory(spark, d).select(F.col("term").alias("phrase")), L.lexicon(spark, d))
 
 
-@query("l15_l16_levels", "with s as (select rank, rank / 100000.0 as score, rank % 60 as x from lexicon), f as (select rank, x, score * case when x <= 0 then 1 else least(1.25, greatest(0.9, 1 + 0.15 * ((x - 18) / 18.0))) end as v from s) select rank, round(v, 9) as v, case when v < 0.02 then 'easy' when v < 0.05 then 'normal' when v < 0.1 then 'hard' when v < 0.18 then 'harder' else 'hardest' end as level from f", ("lexicon",))
+@query("l15_l16_levels", """with t as (select id, list_filter(regexp_extract_all(lower(left(content_text, 6000)), '[a-z][a-z''-]*'), lambda x: length(x) >= 2) as tokens, len(regexp_extract_all(left(content_text, 6000), '[^.!?]+[.!?]*')) as s from articles where lang = 'en'),
+ c as (select id, any_value(s) as s, count(*) as n, count(*) filter (coalesce(rank > 1000, true)) as rare from (select id, s, unnest(tokens) as term from t) left join lexicon using (term) group by id), f as (select id, n::double / greatest(s, 1) as x, rare::double / n / 5 as score from c),
+ v as (select id, round(score * case when x <= 0 then 1 else least(1.25, greatest(0.9, 1 + 0.15 * ((x - 18) / 18.0))) end, 9) as v from f) select id, v, case when v < 0.02 then 'easy' when v < 0.05 then 'normal' when v < 0.1 then 'hard' when v < 0.18 then 'harder' else 'hardest' end as level from v""", ("articles", "lexicon"))
 def l15_l16_levels(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("rank") / 100000.0 * scoring.sentence_factor((F.col("rank") % 60).cast("double"))
-    return L.lexicon(spark, d).select("rank", F.round(v, 9).alias("v"), scoring.level_of(v).alias("level"))
+    """English articles' level by their share of words beyond rank 1,000 and the length of their sentences."""
+    t = T.excerpt(F.col("content_text"))
+    each = L.articles(spark, d, reading=False).filter("lang = 'en'").select("id", F.regexp_count(t, F.lit(r"[^.!?]+[.!?]*")).alias("s"), F.explode(T.difficulty_tokens(t)).alias("term"))
+    terms = each.groupBy("id", "s", "term").agg(F.count(F.lit(1)).alias("n"))
+    rare = F.coalesce(F.col("rank") > 1000, F.lit(True))
+    c = terms.join(L.lexicon(spark, d).select("term", "rank"), "term", "left").groupBy("id", "s").agg(F.sum("n").alias("n"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare"))
+    v = F.round(F.col("rare") / F.col("n") / 5 * scoring.sentence_factor(F.col("n") / F.greatest(F.col("s"), F.lit(1))), 9)
+    return c.select("id", v.alias("v"), scoring.level_of(v).alias("level"))
 
 
 @query("n5_jitter", f"select id, round(({_FNV_SQL}::ubigint % 1000)::double / 999.0 * 0.6 - 0.3, 9) as jitter from (select id, id || ':' || (epoch(timestamp '2024-01-31 00:00:00')::bigint // 86400 + {scoring.EPOCH_DAYS}) as x from articles)", ("articles",))

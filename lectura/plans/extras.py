@@ -138,9 +138,11 @@ def t44_part_of_speech(spark: SparkSession, d: str) -> DataFrame:
     return L.memory(spark, d).select("id", T.part_of_speech(F.col("word_type")).alias("label"))
 
 
-@query("n12_retry", "select r_regionkey, (600 * power(2, least(r_regionkey, 4)))::int as seconds from region")
+@query("n12_retry", "select user_id, (600 * power(2, least(count(*), 4)))::int as seconds from events where event_type = 'error' group by user_id")
 def n12_retry(spark: SparkSession, d: str) -> DataFrame:
-    return L.table(spark, d, "region").select("r_regionkey", scoring.retry_seconds(F.col("r_regionkey")).cast("int").alias("seconds"))
+    """How long to wait behind each user's failures so far."""
+    failed = L.table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return failed.select("user_id", scoring.retry_seconds(F.col("n")).cast("int").alias("seconds"))
 
 
 @query("t36_chat_url", "select distinct source, case source when 'src1' then 'https://api.openai.com/v1/chat/completions' when 'src2' then 'https://h/v1/chat/completions' else 'https://h/' || source || '/chat/completions' end as url from documents")

@@ -1,6 +1,6 @@
 """Texts in spans of phrases, words and what stands between: a longest-match join of all texts with all phrases.
 
-Word windows meet phrases by their whole key, after their first words have met; where several match at one place the
+Word windows meet phrases by their whole key, after their first two words have met; where several match at one place the
 longest is taken, and places go from left to right. Nothing of lexicon or phrases is collected.
 """
 
@@ -46,11 +46,15 @@ def longest_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """id, i, n and key of the phrases (column key) in texts (id, text), by leftmost-longest choice."""
     keyed = phrases.select("key").filter("key <> ''").distinct().withColumn("n", F.size(F.split("key", " "))).filter(F.col("n") <= LONGEST)
     keyed = _cut(keyed)
-    size = keyed.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
-    sent = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
-    first = keyed.select(F.substring_index("key", " ", 1).alias("word")).distinct()
-    begun = _tokens(texts).join(sent(first), "word", "left_semi")
-    windows = begun.select("id", "i", F.explode(F.transform(F.sequence(F.lit(1), F.size("keys")), lambda n: F.array_join(F.slice("keys", F.lit(1), n), " "))).alias("key"))
+    size = keyed.agg(F.sum(F.octet_length("key") + 32).alias("bytes"), F.collect_set("n").alias("lengths")).first()
+    sent = F.broadcast if (size["bytes"] or 0) <= BROADCAST_BYTES else (lambda df: df)
+    # all phrases begin with at least so many words, so windows that begin otherwise go before they are spelled out
+    lengths = sorted(size["lengths"]) or [1]
+    head = min(2, lengths[0])
+    first = keyed.select(F.substring_index("key", " ", head).alias("head")).distinct()
+    begun = _tokens(texts).filter(F.size("keys") >= head).withColumn("head", F.array_join(F.slice("keys", 1, head), " ")).join(sent(first), "head", "left_semi")
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("keys"))
+    windows = begun.select("id", "i", F.explode(F.transform(fitting, lambda n: F.array_join(F.slice("keys", F.lit(1), n), " "))).alias("key"))
     found = windows.join(sent(keyed), "key").groupBy("id", "i").agg(F.max(F.struct("n", "key")).alias("m")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "m.n", "m.key"))).alias("all"))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,n:int,key:string>>").alias("kept"))
     step = lambda s, m: F.when(m["i"] >= s["end"], F.struct((m["i"] + m["n"]).alias("end"), F.array_append(s["kept"], m).alias("kept"))).otherwise(s)

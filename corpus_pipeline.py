@@ -28,7 +28,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies: five-word shingles 0.8 alike or more, met by minima, not by fingerprints."""
+    """Keeps the document with the least id of each group of near copies: met by pigeonring SimHash, then five-word shingles 0.8 alike or more."""
     return simhash.keep_one(docs)
 
 

@@ -87,3 +87,61 @@ def test_near_copies_meet_by_their_rings(spark):
     assert len(met & wanted) >= 0.99 * len(wanted) and len(met - wanted) <= 2
     left = cp.keep_one_of_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
     assert {r["doc_id"] for r in left.collect()} == {k for k in range(len(texts))} - {b for _, b in met & wanted}
+
+
+def test_crowds_get_few_links_under_a_key():
+    """A crowd without a middle: links grow with its rows, not with all its pairs."""
+    rnd = random.Random(5)
+    word, following, rows = rnd.getrandbits(64), rnd.getrandbits(64), []
+    for k in range(600):
+        word, following = _flipped(rnd, word, 3), _flipped(rnd, following, 3)
+        rows += [(2 * k, word, following), (2 * k + 1, _flipped(rnd, word, 12), following)]
+    rows = np.array(rows, np.uint64)
+    found = simhash._within(rows, 20)
+    apart = np.bitwise_count(rows[:, None, 1:] ^ rows[None, :, 1:]).sum(2, dtype=np.int64)
+    assert (apart[found[:, 0], found[:, 1]] <= 20).all() and len(found) < 2 * len(rows) < np.sum(apart <= 20) / 2
+
+    def roots(x, y):
+        root = np.arange(len(rows))
+        while (root[x] != root[y]).any():
+            least = np.minimum(root[x], root[y])
+            np.minimum.at(root, x, least)
+            np.minimum.at(root, y, least)
+        return root
+
+    assert (roots(*found.T) == roots(*np.nonzero(apart <= 20))).all()
+
+
+def test_rings_do_not_repeat_links(spark, monkeypatch):
+    """However many keys and rings near copies share, tasks make a few links for each, and the same groups."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for size in (400, 30, 2, 2):
+        base = [word() for _ in range(150)]
+        for _ in range(size):
+            new = list(base)
+            for _ in range(rnd.randrange(3)):
+                new[rnd.randrange(150)] = word()
+            texts.append(" ".join([*new, word()]))
+    rows = [(k, simhash.rings_of(simhash.shingles_of(t.encode())).view(np.int64).tolist()) for k, t in enumerate(texts)]
+    made, chained = spark.sparkContext.accumulator(0), simhash._chained
+
+    def counted(batches):
+        for batch in chained(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(simhash, "_chained", counted)
+    options = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        links = simhash.ring_links(spark.createDataFrame(rows, "node long, rings array<long>")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(texts) - 4 <= made.value <= 20 * len(texts)
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame([r[:2] for r in links], "a long, b long")).collect()}
+    assert [found[k] for k in range(len(texts))] == [0] * 400 + [400] * 30 + [430] * 2 + [432] * 2

@@ -72,3 +72,11 @@ def test_known_words_stand_for_their_forms(spark, small):
     ranks = {r["term"]: r["rank"] for r in library.lexicon(spark, small).collect()}
     for r in QUERIES["j12_lookup_fallback"](spark, small).collect():
         assert r["rank"] == ranks.get(r["entry"]) and (r["term"] not in ranks or r["entry"] == r["term"])
+
+
+def test_levels_count_sentences_once_a_text(spark, small):
+    plan = QUERIES["l15_l16_levels"](spark, small)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    exploded = [k for k, line in enumerate(plan) if "Generate explode" in line]
+    counted = [k for k, line in enumerate(plan) if "[^.!?]+" in line]
+    assert exploded and counted and min(counted) > min(exploded)  # below the explode, not above it
+    assert not any("Window" in line for line in plan)  # words beyond rank 1,000 need no rank

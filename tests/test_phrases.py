@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from lectura.operators import phrases
 
 WORD = re.compile(phrases.WORD)
@@ -70,3 +72,25 @@ def test_a_long_text(spark):
     text = "the cat sat on the mat and " * 3000
     found = got(spark, [("1", text)], {"cat": 1, "mat": 2}, {"the cat", "cat sat", "sat on the"})
     assert found["1"] == scanned(text, {"cat": 1, "mat": 2}, {"the cat", "cat sat", "sat on the"})
+
+
+@pytest.mark.parametrize("frequent, marks, sent", [(200_000, 1000, 1 << 20), (1, 1000, 1), (1, 0, 1), (0, 0, 1 << 20)])
+def test_what_is_sent_changes_nothing(spark, monkeypatch, frequent, marks, sent):
+    for name, value in (("FREQUENT", frequent), ("MARKS", marks), ("BROADCAST_BYTES", sent)):
+        monkeypatch.setattr(phrases, name, value)
+    rng = random.Random(7)
+    alphabet = ["a", "B", "c", "dog", "Dog’s", "x-y", "Ka", "İb", "é", "été", "’a"]
+    gaps = [" ", " ", " ", "  ", "\t", "\x0b\n", "\xa0", "  ", ", ", "-, ", "’", "1", ""]
+    texts = [(str(k), "".join(rng.choice(alphabet) + rng.choice(gaps) for _ in range(rng.randrange(60)))) for k in range(60)]
+    known = {" ".join(rng.choice(["a", "b", "c", "dog", "dog's", "x-y"]) for _ in range(rng.choice([1, 2, 2, 3, 4, 5, 6]))) for _ in range(60)}
+    ranks = {"a": 1, "dog": 2, "x-y": 3, "dog's": 3, "ka": 4, "ib": 5}
+    found = got(spark, texts, ranks, known)
+    for name, text in texts:
+        assert found.get(name, []) == scanned(text, ranks, known)
+
+
+def test_words_of_texts_are_made_once_and_not_sorted(spark):
+    texts = spark.createDataFrame([("1", "the cat sat")], "id string, text string")
+    rows = phrases.annotate(texts, spark.createDataFrame([("cat", 1)], "term string, rank int"), spark.createDataFrame([("the cat",)], "key string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") <= 1 and "Window" not in plan
